@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lexigrid.llm import chat, licenses, mixing, quality, sharding, urls, warc
+from lexigrid.llm import chat, decontaminate, licenses, mixing, quality, sharding, simhash, urls, warc
 from lexigrid.llm.common import scratch, table
 
 
@@ -27,6 +27,18 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.hex_fingerprint().alias("fingerprint"), "component_id")
+
+
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, item_id) of each benchmark item found in a document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", F.explode("__items").alias("item_id"))
+
+
 def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(table(spark, sf_dir, "pages"), keep=["page_id"])
 
@@ -62,6 +74,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_mixing": op2_mixing,
     "op3_quality": op3_quality,
+    "op4_simhash": op4_simhash,
+    "op5_decontaminate": op5_decontaminate,
     "op6_urls": op6_urls,
     "op7_licenses": op7_licenses,
     "op8_chat": op8_chat,

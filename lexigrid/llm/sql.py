@@ -47,7 +47,7 @@ WITH turns AS (
   SELECT conv_id, count(*) AS n_turns,
          string_agg(concat(role, chr(10), text, chr(10)), '' ORDER BY turn NULLS FIRST, role, text) AS turns,
          coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '') AS loss,
-         sum(length({_escaped('role')}) + length({_escaped('text')}) + 31) AS formatted_chars
+         sum(length({_escaped('role')}) + length({_escaped('text')}) + 32) AS formatted_chars
   FROM turns GROUP BY conv_id
 )
 SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, CAST(formatted_chars AS BIGINT) AS formatted_chars
