@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lexigrid.llm import chat, decontaminate, licenses, mixing, quality, sharding, simhash, urls, warc
+from lexigrid.llm import chat, decontaminate, katz, licenses, mixing, quality, sharding, simhash, urls, warc
 from lexigrid.llm.common import scratch, table
 
 
@@ -70,6 +70,10 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op10_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score_texts(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_mixing": op2_mixing,
@@ -80,4 +84,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_licenses": op7_licenses,
     "op8_chat": op8_chat,
     "op9_sharding": op9_sharding,
+    "op10_katz": op10_katz,
 }
