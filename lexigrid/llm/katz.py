@@ -51,7 +51,7 @@ from lexigrid.llm.hashing import NOT_SPACE, hash_words, mix
 
 K = 5
 #: Bytes of text in a chunk, but for a last document that goes beyond.
-CHUNK_BYTES = 12 << 20
+CHUNK_BYTES = 8 << 20
 END = np.uint64(0x6C65786967726964)
 START_ID = 0
 _PLANES = {1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.uint64}
@@ -192,11 +192,13 @@ def _pairs(buckets: int, tokens: int, types: int, training_docs: int):
         before = np.append(0, 1 + places[:-1])
         before[np.append(0, np.cumsum(sizes)[:-1])] = 0  # 0: the start; else a word's place + 1
         key = before * words + places
+        del before, places, c
         order = np.argsort(key, kind="stable")
         key, doc = key[order], doc[order]
         first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
         occurs = np.diff(np.append(first, len(key)))
         trained = np.add.reduceat((~held)[doc].astype(np.int64), first)
+        del order
         context, follower = np.divmod(key[first], words)
         own_id, own_total = np.append(START_ID, ids), np.append(training_docs, totals)
         context_id, context_total = own_id[context], own_total[context]
@@ -335,9 +337,10 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     fold = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(7))
     training_docs = texts.where(fold != 2).count()
     # 2 and 3: bigrams
+    buckets = 2 * parts
     chunks = texts.mapInArrow(_token_rows, TOKENS)
     words = lexicon.where("kind = 'chunk'").select("chunk", "bucket", "ids", "counts")
-    pairs = chunks.groupBy("chunk").cogroup(words.groupBy("chunk")).applyInArrow(_pairs(parts, tokens, types, training_docs), PAIRS)
+    pairs = chunks.groupBy("chunk").cogroup(words.groupBy("chunk")).applyInArrow(_pairs(buckets, tokens, types, training_docs), PAIRS)
     path = scratch(spark, "katz-bigrams")
     pairs.groupBy("bucket").applyInArrow(_score_bucket(tokens, once), RESULTS).write.partitionBy("kind").parquet(path)
     found = spark.read.schema(RESULTS).option("basePath", path).parquet(path)
