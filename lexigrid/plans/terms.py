@@ -241,7 +241,7 @@ ORACLES = {
     "rarity_category": f"SELECT CASE WHEN r < 0.2 THEN 'common' WHEN r < 0.4 THEN 'somewhat common' WHEN r < 0.6 THEN 'somewhat rare' WHEN r < 0.8 THEN 'rare' WHEN r IS NOT NULL THEN 'ultra-rare' END AS category, count(*) AS n FROM (SELECT round(final_rarity, 9) AS r FROM ({BLEND})) GROUP BY 1",
     "rarity_histogram": f"SELECT CAST(b.i AS INT) AS bucket, coalesce(n, 0) AS n FROM range(20) b(i) LEFT JOIN (SELECT CAST(floor(least(greatest(r, 0), 0.999999) * 20) AS INT) AS k, count(*) AS n FROM (SELECT round(final_rarity, 9) AS r FROM ({BLEND})) WHERE r IS NOT NULL GROUP BY 1) ON i = k",
     "source_coverage": f"SELECT num_sources, count(*) AS n FROM ({BLEND}) GROUP BY 1",
-    "letter_counts": f"SELECT upper(substring(term, 1, 1)) AS letter, count(DISTINCT term) AS n FROM ({LEXICON}) GROUP BY 1",
+    "letter_counts": f"SELECT CASE substring(term, 1, 1) WHEN 'ß' THEN 'ß' ELSE upper(substring(term, 1, 1)) END AS letter, count(DISTINCT term) AS n FROM ({LEXICON}) GROUP BY 1",
     "next_letters": f"SELECT DISTINCT substring(term, 1, 3) AS prefix FROM ({LEXICON}) WHERE starts_with(term, 'th') AND length(term) > 2",
     "search_prefix": f"SELECT term, total, rank FROM (SELECT term, total, rank() OVER (ORDER BY total) AS rank FROM ({LEXICON})) WHERE starts_with(term, 'an')",
     "search_substring": f"SELECT term, total, rank FROM (SELECT term, total, rank() OVER (ORDER BY total) AS rank FROM ({LEXICON})) WHERE contains(term, 'tion') AND total BETWEEN 2 AND 500",
