@@ -1,15 +1,15 @@
 """Quality rules by weak supervision, native: all in DataFrame operations.
 
 Each rule votes good, votes bad or abstains. Expectation-maximisation over the votes estimates how
-accurate each rule is and how common good documents are, without labels; a document is kept if its
-posterior probability of being good reaches the threshold. Nothing has to pass every rule.
+accurate each rule is, without labels; a document is kept if its posterior probability of being good
+reaches the threshold. Nothing has to pass every rule.
 
 Defined cases. Null text: no words, and so base_failed. Empty text likewise. Repeated rows count each.
 An empty table gives no rows (the rules keep their prior accuracies). Other columns pass through if
 named in `keep`; the operator's own columns are within one struct while it works.
 
-Scale: one scan computes all signals within the row, without exploding words; it is written once.
-EM then runs on counts of vote patterns: rules have three votes, so there are at most 3^rules
+Scale: one scan computes all signals within the row, without exploding words. They are written for
+their second use. EM then runs on counts of vote patterns: rules have three votes, so there are at most 3^rules
 patterns however large the corpus, and only one number per rule goes to the driver in each round.
 Windows of words are compared by 64-bit hashes; within a text of a million words, two different
 windows share one with a probability below 1e-7.
@@ -31,23 +31,31 @@ WINDOW = 8
 
 @dataclass(frozen=True)
 class Rule:
-    """SQL over the signals. Good where `good` holds, else bad where `bad` holds, else it abstains."""
+    """SQL over the signals. Good where `good` holds, else bad where `bad` holds, else it abstains.
+
+    Most rules look for one defect and abstain where it is missing, as that says little. `accuracy` is
+    how often the rule is thought to be right, before any vote is counted.
+    """
 
     name: str
     good: str
     bad: str
+    accuracy: float
 
 
 RULES = (
-    Rule("length", "n_words >= 40", "n_words < 12"),
-    Rule("word_length", "word_chars BETWEEN 3 * n_words AND 9 * n_words", "word_chars < 2 * n_words OR word_chars > 14 * n_words"),
-    Rule("symbols", "50 * n_symbols <= n_words", "10 * n_symbols > n_words"),
-    Rule("repeated_lines", "n_dup_lines = 0", "5 * n_dup_lines >= n_lines"),
-    Rule("repeated_words", "20 * n_repeat_words <= n_words", "5 * n_repeat_words > n_words"),
-    Rule("shouting", "10 * n_upper <= word_chars", "2 * n_upper > word_chars"),
-    Rule("exclamations", "50 * n_exclaim <= n_words", "5 * n_exclaim > n_words"),
-    Rule("digits", "20 * n_digits <= word_chars", "4 * n_digits > word_chars"),
-    Rule("variety", "5 * n_distinct >= n_words OR n_words > 2000", "20 * n_distinct < n_words AND n_words <= 2000"),
+    Rule("length", "n_words >= 40", "n_words < 12", 0.7),
+    Rule("prose", "50 * n_symbols <= n_words AND 2 * n_distinct >= n_words", "10 * n_symbols > n_words", 0.8),
+    Rule("symbols", "false", "10 * n_symbols > n_words", 0.95),
+    Rule("dense_symbols", "false", "n_symbols > n_words", 0.95),
+    Rule("word_length", "false", "word_chars > 12 * n_words OR word_chars < 2 * n_words", 0.85),
+    Rule("repeated_lines", "false", "2 * n_dup_lines > n_lines AND n_lines >= 4", 0.75),
+    Rule("repeated_words", "false", "5 * n_repeat_words > n_words", 0.75),
+    Rule("shouting", "false", "2 * n_upper > word_chars", 0.85),
+    Rule("exclamations", "false", "5 * n_exclaim > n_words", 0.85),
+    Rule("digits", "false", "3 * n_digits > word_chars", 0.8),
+    Rule("variety", "false", "3 * n_distinct < n_words AND n_words <= 1000", 0.9),
+    Rule("monotony", "false", "5 * n_distinct < n_words AND n_words <= 1000", 0.95),
 )
 
 
@@ -92,7 +100,7 @@ def covered_words(hashes: Column, size: int = WINDOW) -> Column:
 
 
 def with_signals(docs: DataFrame, *, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns in `keep` (all by default) and a struct __signals."""
+    """The columns in `keep` (all by default) and the signals, each with __s_ before its name."""
     keep = docs.columns if keep is None else keep
     own = [F.col(f"`{c}`") for c in keep]
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -101,35 +109,35 @@ def with_signals(docs: DataFrame, *, text_col: str = "text", keep: list[str] | N
     found = signals(F.col("__text"), F.col("__words"))
     some = F.size(F.array_distinct("__windows")) < F.size("__windows")
     found["n_repeat_words"] = F.when(some, covered_words(F.col("__windows"))).otherwise(F.lit(0).cast("long"))
-    return hashed.select(*own, F.struct(*(c.alias(k) for k, c in found.items())).alias("__signals"))
+    return hashed.select(*own, *(c.alias(f"__s_{k}") for k, c in found.items()))
 
 
-def vote(rule: Rule, prefixed: list[str] | None = None) -> Column:
-    """1 good, 0 bad, null abstains. prefixed: signals whose columns are called __s_ and the name."""
-    on = lambda sql: re.sub(rf"\b({'|'.join(prefixed)})\b", r"__s_\1", sql) if prefixed else sql
+def vote(rule: Rule, names: list[str]) -> Column:
+    """1 good, 0 bad, null abstains; over signals of these names."""
+    on = lambda sql: re.sub(rf"\b({'|'.join(names)})\b", r"__s_\1", sql)
     return F.when(F.expr(on(rule.good)), 1).when(F.expr(on(rule.bad)), 0)
 
 
-def fit(patterns: DataFrame, n_rules: int, *, rounds: int = 12, prior_accuracy: float = 0.8, strength: float = 20.0, prior_good: float = 0.7) -> tuple[float, list[float]]:
-    """The share of good documents and each rule's accuracy, by EM over (v0, v1, ..., n) counts.
+def fit(patterns: DataFrame, rules: tuple[Rule, ...], good: float, *, rounds: int = 12, weight: float = 2.0, least: float = 20.0) -> list[float]:
+    """Each rule's accuracy, by EM over (v0, v1, ..., n) counts of patterns.
 
-    Accuracies have a Beta prior around prior_accuracy, which also says which class is the good one.
+    The prior is a Beta around what the rule is thought to have; it weighs `weight` times the rule's votes,
+    as votes alone can't tell two classes from two kinds of good documents. `good` is the share of good ones.
     """
-    good, accuracy = prior_good, [prior_accuracy] * n_rules
+    accuracy = [r.accuracy for r in rules]
     for _ in range(rounds):
-        p = posterior([F.col(f"v{j}") for j in range(n_rules)], good, accuracy)
-        sums = [F.sum(F.col("n") * F.when(F.col(f"v{j}") == 1, F.col("p")).when(F.col(f"v{j}") == 0, 1 - F.col("p"))).alias(f"r{j}") for j in range(n_rules)]
-        voted = [F.sum(F.when(F.col(f"v{j}").isNotNull(), F.col("n"))).alias(f"n{j}") for j in range(n_rules)]
-        row = patterns.withColumn("p", p).agg(F.sum(F.col("n") * F.col("p")).alias("g"), F.sum("n").alias("n"), *sums, *voted).first()
-        if not row["n"]:
+        p = posterior([F.col(f"v{j}") for j in range(len(rules))], good, accuracy)
+        right = [F.sum(F.col("n") * F.when(F.col(f"v{j}") == 1, F.col("p")).when(F.col(f"v{j}") == 0, 1 - F.col("p"))).alias(f"r{j}") for j in range(len(rules))]
+        voted = [F.sum(F.when(F.col(f"v{j}").isNotNull(), F.col("n"))).alias(f"n{j}") for j in range(len(rules))]
+        row = patterns.withColumn("p", p).agg(*right, *voted).first()
+        before, accuracy = accuracy, []
+        for j, r in enumerate(rules):
+            n = row[f"n{j}"] or 0
+            prior = least + weight * n
+            accuracy.append(min(max(((row[f"r{j}"] or 0.0) + prior * r.accuracy) / (n + prior), 0.55), 0.99))
+        if max(abs(a - b) for a, b in zip(before, accuracy, strict=True)) < 1e-5:
             break
-        weight = min(strength, row["n"])
-        before = [good, *accuracy]
-        good = min(max((row["g"] + weight * prior_good) / (row["n"] + weight), 0.05), 0.95)
-        accuracy = [min(max(((row[f"r{j}"] or 0) + strength * prior_accuracy) / ((row[f"n{j}"] or 0) + strength), 0.55), 0.99) for j in range(n_rules)]
-        if max(abs(a - b) for a, b in zip(before, [good, *accuracy], strict=True)) < 1e-5:
-            break
-    return good, accuracy
+    return accuracy
 
 
 def posterior(votes: list[Column], good: float, accuracy: list[float]) -> Column:
@@ -140,23 +148,21 @@ def posterior(votes: list[Column], good: float, accuracy: list[float]) -> Column
     return 1 / (1 + F.exp(-odds))
 
 
-def judge(docs: DataFrame, *, text_col: str = "text", keep: list[str] | None = None, rules: tuple[Rule, ...] = RULES, threshold: float = 0.5, min_words: int = 20, max_repeat_percent: int = 30) -> DataFrame:
+def judge(docs: DataFrame, *, text_col: str = "text", keep: list[str] | None = None, rules: tuple[Rule, ...] = RULES, good: float = 0.6, threshold: float = 0.5, min_words: int = 20, max_repeat_percent: int = 30) -> DataFrame:
     """The columns in `keep` (all by default), the signals, base_failed, quality (the posterior) and kept."""
     keep = docs.columns if keep is None else keep
-    scored = written(with_signals(docs, text_col=text_col, keep=keep), "quality-signals")
-    votes = scored.select("__signals.*").select(*(vote(r).alias(f"v{j}") for j, r in enumerate(rules)))
-    patterns = written(votes.groupBy(*votes.columns).agg(F.count("*").alias("n")).coalesce(1), "quality-votes")
-    good, accuracy = fit(patterns, len(rules))
-    names = scored.schema["__signals"].dataType.names
-    base_failed = F.expr(f"__signals.n_words < {min_words} OR 100 * __signals.n_repeat_words > {max_repeat_percent} * __signals.n_words")
-    flat = scored.select("*", *(F.col(f"__signals.{n}").alias(f"__s_{n}") for n in names))
-    cast = [vote(r, names) for r in rules]
+    scored = with_signals(docs, text_col=text_col, keep=keep)
+    scored = written(scored, "quality-signals")
+    names = [c.removeprefix("__s_") for c in scored.columns if c.startswith("__s_")]
+    votes = [vote(r, names) for r in rules]
+    counted = scored.select(*(v.alias(f"v{j}") for j, v in enumerate(votes))).groupBy(*(f"v{j}" for j in range(len(rules)))).agg(F.count("*").alias("n"))
+    accuracy = fit(written(counted.coalesce(1), "quality-votes"), rules, good)
+    base_failed = F.expr(f"__s_n_words < {min_words} OR 100 * __s_n_repeat_words > {max_repeat_percent} * __s_n_words")
     taken = {*names, "base_failed", "quality", "kept"}
-    return flat.withColumn("__p", posterior(cast, good, accuracy)).select(
+    return scored.withColumn("__p", posterior(votes, good, accuracy)).select(
         *(F.col(f"`{c}`") for c in keep if c not in taken),
         *(F.col(f"__s_{n}").alias(n) for n in names),
         base_failed.alias("base_failed"),
         F.col("__p").alias("quality"),
         (~base_failed & (F.col("__p") >= threshold)).alias("kept"),
     )
-
