@@ -27,11 +27,12 @@ from itertools import combinations, islice, repeat
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 from xxhash import xxh64_intdigest
 
 from lexigrid.llm.common import written
 from lexigrid.llm.components import connected_components
+from lexigrid.llm.hashing import NOT_SPACE, hash_words, mix
 
 BITS = 64
 TAU = 2
@@ -161,13 +162,6 @@ def allocate(n: int, together: np.ndarray, tau: int = TAU) -> list[tuple[list[in
     return best[1]
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    """A bijection of 64-bit numbers that spreads them."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def _masks(plan: list[tuple[list[int], int]]) -> np.ndarray:
     """The bits that each key keeps: a group's, less as many as its threshold."""
     out = [sum(1 << b for b in bits if b not in gone) for bits, t in plan for gone in combinations(bits, t)]
@@ -176,14 +170,14 @@ def _masks(plan: list[tuple[list[int], int]]) -> np.ndarray:
 
 def _probe(masks: np.ndarray):
     """(key, fp) of each fingerprint and mask. Two masks may give one key; that only adds candidates."""
-    salts = _mix(masks + np.uint64(0x9E3779B97F4A7C15))
+    salts = mix(masks + np.uint64(0x9E3779B97F4A7C15))
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             every = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
             for begin in range(0, len(every), 4096):
                 fps = every[begin : begin + 4096]
-                keys = _mix((fps[:, None] & masks[None, :]) ^ salts[None, :])
+                keys = mix((fps[:, None] & masks[None, :]) ^ salts[None, :])
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(fps, len(masks)).view(np.int64))], ["key", "fp"])
 
     return probe
@@ -200,12 +194,12 @@ def _around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def links(fps: DataFrame, tau: int = TAU) -> DataFrame:
-    """(a, b): fingerprints that differ in at most tau (1 or 2) bits; a chain for those under a crowded key.
+    """(a, b): fingerprints that differ in at most tau bits; for those under a crowded key, in 2 at most.
 
-    fps: distinct, in a column fp.
+    fps: distinct, in a column fp. Crowds are chained, so that their components come out as of all pairs.
     """
-    if tau not in (1, 2):
-        raise ValueError("tau must be 1 or 2")
+    if tau < 2:
+        raise ValueError("tau must be 2 or more")
     plan = allocate(*bit_statistics(fps), tau)
     keys = fps.select("fp").mapInArrow(_probe(_masks(plan)), "key long, fp long")
     shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
@@ -216,12 +210,8 @@ def links(fps: DataFrame, tau: int = TAU) -> DataFrame:
     )
     few = pairs.select(F.explode(near).alias("e")).select("e.a", "e.b")
     crowd = met.where(f"n > {BUCKET}").select("fp").distinct()
-    if tau == 1:  # one bit apart: each under itself and its neighbours, linked to itself only
-        around = crowd.mapInArrow(_around, "mid long, fp long")
-        many = around.join(crowd.withColumnRenamed("fp", "mid"), "mid", "left_semi").select(F.col("mid").alias("a"), F.col("fp").alias("b")).where("a <> b")
-    else:
-        mids = crowd.mapInArrow(_around, "mid long, fp long").groupBy("mid").agg(F.collect_list("fp").alias("fps")).where("size(fps) > 1")  # 65 at most
-        many = mids.select(F.array_min("fps").alias("a"), F.explode("fps").alias("b")).where("a <> b")
+    mids = crowd.mapInArrow(_around, "mid long, fp long").groupBy("mid").agg(F.sort_array(F.collect_list("fp")).alias("fps")).where("size(fps) > 1")  # 65 at most
+    many = mids.select(F.explode(F.transform(F.slice("fps", F.lit(2), F.size("fps") - 1), lambda b, i: F.struct(F.get("fps", i).alias("a"), b.alias("b")))).alias("e")).select("e.a", "e.b")
     return few.union(many).distinct()
 
 
@@ -246,6 +236,67 @@ def hex_fingerprint(fp="__fp"):
     return F.lpad(F.lower(F.hex(F.col(fp))), 16, "0")
 
 
-def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = 42, tau: int = TAU) -> DataFrame:
-    """docs with one row of each component: that with the least id."""
-    return near_duplicates(docs, id_col=id_col, text_col=text_col, keep=docs.columns, shingle=shingle, seed=seed, tau=tau).where("__first").select(*(F.col(f"`{c}`") for c in docs.columns))
+def _describe(shingle: int, size: int, seed: int):
+    """__fp over words, __digest of the word sequence, __sketch: the least hashes of its distinct shingles."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers = np.array([0x9E3779B97F4A7C15], np.uint64) ** np.arange(shingle, dtype=np.uint64)
+        for batch in batches:
+            texts = [(t.as_py() or "").encode("utf-8", "surrogatepass").lower() for t in batch.column(batch.schema.get_field_index("__text"))]
+            words, offsets = hash_words(texts, NOT_SPACE)
+            fps, digests, sketches = [], [], []
+            for text, a, b in zip(texts, offsets[:-1], offsets[1:], strict=True):
+                own = words[a:b]
+                fps.append(fingerprint(text.decode("utf-8", "surrogatepass"), 1, seed))
+                digests.append(xxh64_intdigest(own.tobytes(), seed))
+                k = min(shingle, len(own))
+                shingles = sum((own[j : len(own) - k + 1 + j] * powers[j] for j in range(k)), np.zeros(max(len(own) - k + 1, 0) if k else 0, np.uint64))
+                sketches.append(np.unique((mix(shingles) >> np.uint64(32)).astype(np.uint32))[:size].tobytes())
+            rest = [(c, n) for c, n in zip(batch.columns, batch.schema.names, strict=True) if n != "__text"]
+            found = [pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(np.array(digests, np.uint64).view(np.int64)), pa.array(sketches, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*(c for c, _ in rest), *found], [*(n for _, n in rest), "__fp", "__digest", "__sketch"])
+
+    return add
+
+
+def sketched_jaccard(a: bytes, b: bytes, size: int) -> float:
+    """Jaccard similarity by the least `size` hashes of both sets: exact if neither has more shingles."""
+    x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
+    both = np.union1d(x, y)[:size]
+    return float(np.isin(both, np.intersect1d(x, y, assume_unique=True), assume_unique=True).mean()) if len(both) else 1.0
+
+
+def _alike(size: int, similarity: float):
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = [sketched_jaccard(a, b, size) >= similarity for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            yield batch.filter(pa.array(good, pa.bool_())).select(["a", "b"])
+
+    return check
+
+
+def drop_near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tau: int = 4, similarity: float = 0.8, shingle: int = 5, size: int = 128, seed: int = 42) -> DataFrame:
+    """docs with one row, that with the least id, of each group of texts that are alike.
+
+    Texts with the same words are copies. Others are candidates if fingerprints over their words, which an
+    edit moves less than those over shingles, differ in at most tau bits, and linked if their sets
+    of word shingles have the Jaccard similarity: exact for up to `size` shingles, else estimated from
+    as many of them. Texts that share a fingerprint are compared with the first of them.
+    """
+    text = F.col(text_col).cast("string")
+    asked = docs.select(*(F.col(f"`{c}`") for c in docs.columns), text.alias("__text"))
+    fields = [f for f in asked.schema.fields if f.name != "__text"]
+    schema = StructType([*fields, StructField("__fp", LongType()), StructField("__digest", LongType()), StructField("__sketch", BinaryType())])
+    rows = written(asked.mapInArrow(_describe(shingle, size, seed), schema).withColumn("__row", F.monotonically_increasing_id()), "simhash-rows")
+    order = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("__row").alias("row"))
+    texts = written(rows.groupBy("__fp", "__digest").agg(F.min(order).alias("first")).select(F.col("__fp").alias("fp"), "first"), "simhash-texts")
+    heads = written(texts.groupBy("fp").agg(F.min("first").alias("head")).select("fp", F.col("head.row").alias("head")), "simhash-heads")
+    pairs = links(heads.select("fp"), tau)
+    across = pairs.join(heads.toDF("a", "x"), "a").join(heads.toDF("b", "y"), "b").select("x", "y")
+    within = texts.join(heads, "fp").where("first.row <> head").select(F.col("head").alias("x"), F.col("first.row").alias("y"))
+    sketches = rows.select(F.col("__row").alias("r"), "__sketch")
+    met = across.union(within).join(sketches.toDF("x", "sx"), "x").join(sketches.toDF("y", "sy"), "y").select(F.col("x").alias("a"), F.col("y").alias("b"), "sx", "sy")
+    roots = connected_components(met.mapInArrow(_alike(size, similarity), "a long, b long"))
+    rooted = texts.join(roots, F.col("first.row") == F.col("node"), "left").select(F.coalesce("root", "first.row").alias("root"), "first")
+    kept = written(rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("__row")), "simhash-kept")
+    return rows.join(kept, "__row", "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
