@@ -6,39 +6,70 @@ passages go, sources are brought to their target weights, and what is left is pu
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lexigrid.llm import decontaminate, mixing, quality, sharding, simhash
-from lexigrid.llm.common import table, written
+from lexigrid.llm.common import MADE, discard, scratch, table
 
 DOCUMENT = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+#: What the stage before wrote for itself.
+_before: list[str] = []
+
+
+def stage(f: Stage) -> Stage:
+    """A stage's result has to be written before the next stage is called, as run() does.
+
+    What the stage before wrote for itself is then of no use, and is deleted.
+    """
+
+    @functools.wraps(f)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        discard(spark, _before)
+        at = len(MADE)
+        result = f(spark, docs, sf_dir)
+        _before[:] = MADE[at:]
+        del MADE[at:]
+        return result
+
+    return run_stage
+
+
 def _columns(docs: DataFrame) -> list:
     return [F.col(f"`{c}`") for c in docs.columns]
 
 
+@stage
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the weakly supervised rules keep."""
     return quality.judge(docs).where("kept").select(*_columns(docs))
 
 
+@stage
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of copies and near copies (0.8 of five-word shingles), that with the least id."""
     return simhash.drop_near_copies(docs)
 
 
+@stage
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
     found = decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark"))
     return found.where(F.size("__items") == 0).select(*_columns(docs))
 
 
+@stage
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as its source's target says; copies are rows of their own."""
     return mixing.emit(mixing.mix_to_targets(docs)).select(*_columns(docs))
 
 
+@stage
 def shard_rows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with size, text_crc32, shard and slot."""
     return sharding.shuffle_into_shards(docs)
@@ -59,6 +90,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages, one after the other, from the table of documents."""
     docs = table(spark, sf_dir, "documents").select(*DOCUMENT)
-    for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    for name, step in STAGES:
+        path = scratch(spark, name.replace(" ", "-"))
+        step(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
     return docs

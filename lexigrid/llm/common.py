@@ -29,13 +29,26 @@ def scratch(spark: SparkSession, tag: str) -> str:
     return f"{base.rstrip('/')}/lexigrid/{tag}-{uuid.uuid4().hex}"
 
 
+#: Folders that `written` made in this session, in order.
+MADE: list[str] = []
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
     """df, written as Parquet to the shared folder and read again: cuts lineage, survives lost executors."""
     spark, path = df.sparkSession, scratch(df.sparkSession, tag)
     df.write.parquet(path)
+    MADE.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Delete folders that nothing will read again."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for path in paths:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(conf).delete(where, True)
+
+
 def n_words(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
 
