@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from lexigrid.sources.tables import written
 
 CUTS = 64
+#: So many distinct values are numbered in one range, beyond that in CUTS ranges.
+ONE_RANGE = 100_000
 
 
 def _numbered(values: DataFrame, col: str, weight: str, descending: bool) -> DataFrame:
@@ -14,7 +16,8 @@ def _numbered(values: DataFrame, col: str, weight: str, descending: bool) -> Dat
 
     Values are dealt to ranges by cut points, summed there in parallel, and offset by the ranges' totals.
     """
-    cuts = sorted(set(values.approxQuantile(col, [i / CUTS for i in range(1, CUTS)], 0.005)))
+    many = values.count() > ONE_RANGE
+    cuts = sorted(set(values.approxQuantile(col, [i / CUTS for i in range(1, CUTS)], 0.005))) if many else []
     at = F.size(F.filter(F.array(*(F.lit(c) for c in cuts)), lambda c: c <= F.col(col))) if cuts else F.lit(0)
     at = F.when(F.col(col).isNull(), F.lit(len(cuts) + 1)).otherwise(F.lit(len(cuts)) - at if descending else at)
     ranged = values.withColumn("__range", at)

@@ -24,6 +24,17 @@ def test_row_number_over_many_partitions(spark):
     assert [r["n"] for r in got] == list(range(1, 1001)) and [r["x"] for r in got] == sorted((r["x"] for r in got), reverse=True)
 
 
+def test_rank_in_ranges(spark, monkeypatch):
+    monkeypatch.setattr(ranks, "ONE_RANGE", 10)
+    df = spark.range(3000).select(F.when(F.col("id") % 50 != 0, F.col("id") * 31 % 700).cast("double").alias("x"))
+    values = sorted((r["x"] for r in df.collect()), key=lambda v: (v is None, v))
+    for r in ranks.with_rank(df, "x", "r").distinct().collect():
+        assert r["r"] == values.index(r["x"]) + 1
+    down = sorted((v for v in values if v is not None), reverse=True)
+    for r in ranks.with_rank(df, "x", "r", descending=True).distinct().where("x IS NOT NULL").collect():
+        assert r["r"] == down.index(r["x"]) + 1
+
+
 def test_rank_of_empty_table(spark):
     assert ranks.with_rank(spark.createDataFrame([], "x double"), "x", "r").count() == 0
 
