@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -16,16 +17,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@functools.cache
+def _own_folder() -> str:
+    return f"file://{tempfile.mkdtemp(prefix='lexigrid-')}"
+
+
 def scratch(spark: SparkSession, tag: str) -> str:
     """A new folder name below the cluster's shared folder.
 
     spark.checkpoint.dir comes from the session. Only where it is unset, as in tests, is a
-    temporary folder of this machine set for it.
+    temporary folder of this machine used.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='lexigrid-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
+    base = spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
     return f"{base.rstrip('/')}/lexigrid/{tag}-{uuid.uuid4().hex}"
 
 
