@@ -26,7 +26,7 @@ from itertools import combinations, islice, repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 from xxhash import xxh64_intdigest
 
@@ -41,6 +41,11 @@ BUCKET = 32
 #: Cost of comparing a candidate pair against that of writing a key.
 PAIR_COST = 0.2
 _AT_ONCE = 1 << 15
+#: Buckets by which shingles are ordered, parts in which they are summed, and texts that are counted for it.
+ORDER_BITS, ORDER_PARTS = 20, 16
+ORDER_DOCS = 50_000
+#: Texts of a key in a block.
+CELL = 256
 
 
 def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
@@ -236,67 +241,157 @@ def hex_fingerprint(fp="__fp"):
     return F.lpad(F.lower(F.hex(F.col(fp))), 16, "0")
 
 
-def _describe(shingle: int, size: int, seed: int):
-    """__fp over words, __digest of the word sequence, __sketch: the least hashes of its distinct shingles."""
+def _shingle_sets(texts: list[str | None], shingle: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Each text's word hashes and the sorted distinct hashes of its shingles; one of all words if these are fewer."""
+    powers = np.array([0x9E3779B97F4A7C15], np.uint64) ** np.arange(shingle, dtype=np.uint64)
+    words, offsets = hash_words([(t or "").encode("utf-8", "surrogatepass").lower() for t in texts], NOT_SPACE)
+    for a, b in zip(offsets[:-1], offsets[1:], strict=True):
+        own = words[a:b]
+        k = min(shingle, len(own))
+        found = sum((own[j : len(own) - k + 1 + j] * powers[j] for j in range(k)), np.zeros(max(len(own) - k + 1, 0) if k else 0, np.uint64))
+        yield own, np.unique(mix(found))
+
+
+def _count_shingles(shingle: int):
+    """How many texts have a shingle of each bucket, in parts, once per task."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(1 << ORDER_BITS, np.int32)
+        for batch in batches:
+            for _, found in _shingle_sets(batch.column(0).to_pylist(), shingle):
+                np.add.at(n, found >> np.uint64(64 - ORDER_BITS), 1)
+        if n.any():
+            yield pa.RecordBatch.from_arrays([pa.array(range(ORDER_PARTS), pa.int64()), pa.array([x.tobytes() for x in np.split(n, ORDER_PARTS)], pa.binary())], ["part", "sums"])
+
+    return count
+
+
+def _add_counts(group: pa.Table) -> pa.Table:
+    total = np.sum([np.frombuffer(x.as_py(), np.int32) for x in group.column("sums")], axis=0, dtype=np.int32)
+    return pa.table({"part": group.column("part").slice(0, 1), "sums": pa.array([total.tobytes()], pa.binary())})
+
+
+def shingle_order(texts: DataFrame, shingle: int, seed: int) -> np.ndarray:
+    """How common the shingles of each bucket are, by a sample of some ORDER_DOCS texts.
+
+    The prefix filter misses nothing by any order that is the same for all texts; a good one saves work.
+    """
+    sample = texts.sample(min(1.0, ORDER_DOCS / max(texts.count(), 1)), seed)
+    out = np.zeros((ORDER_PARTS, (1 << ORDER_BITS) // ORDER_PARTS), np.int32)
+    for r in sample.mapInArrow(_count_shingles(shingle), "part long, sums binary").groupBy("part").applyInArrow(_add_counts, "part long, sums binary").toLocalIterator():
+        out[r["part"]] = np.frombuffer(r["sums"], np.int32)
+    return out.ravel()
+
+
+def _describe(shingle: int, similarity: float, seed: int, order):
+    """__fp over words, __digest of the word sequence, __n distinct shingles, and __prefix: the rarest of them.
+
+    Two sets of at least the similarity share a shingle of both prefixes, n - ceil(similarity n) + 1 long.
+    """
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers = np.array([0x9E3779B97F4A7C15], np.uint64) ** np.arange(shingle, dtype=np.uint64)
         for batch in batches:
-            texts = [(t.as_py() or "").encode("utf-8", "surrogatepass").lower() for t in batch.column(batch.schema.get_field_index("__text"))]
-            words, offsets = hash_words(texts, NOT_SPACE)
-            fps, digests, sketches = [], [], []
-            for text, a, b in zip(texts, offsets[:-1], offsets[1:], strict=True):
-                own = words[a:b]
-                fps.append(fingerprint(text.decode("utf-8", "surrogatepass"), 1, seed))
+            texts = batch.column(batch.schema.get_field_index("__text")).to_pylist()
+            fps, digests, sizes, prefixes = [], [], [], []
+            for text, (own, found) in zip(texts, _shingle_sets(texts, shingle), strict=True):
+                fps.append(fingerprint(text, 1, seed))
                 digests.append(xxh64_intdigest(own.tobytes(), seed))
-                k = min(shingle, len(own))
-                shingles = sum((own[j : len(own) - k + 1 + j] * powers[j] for j in range(k)), np.zeros(max(len(own) - k + 1, 0) if k else 0, np.uint64))
-                sketches.append(np.unique((mix(shingles) >> np.uint64(32)).astype(np.uint32))[:size].tobytes())
+                n = len(found)
+                rare = np.argsort(order.value[found >> np.uint64(64 - ORDER_BITS)], kind="stable")
+                sizes.append(n)
+                prefixes.append(found[rare[: n - math.ceil(similarity * n - 1e-9) + 1]].tobytes())
             rest = [(c, n) for c, n in zip(batch.columns, batch.schema.names, strict=True) if n != "__text"]
-            found = [pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(np.array(digests, np.uint64).view(np.int64)), pa.array(sketches, pa.binary())]
-            yield pa.RecordBatch.from_arrays([*(c for c, _ in rest), *found], [*(n for _, n in rest), "__fp", "__digest", "__sketch"])
+            made = [pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(np.array(digests, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*(c for c, _ in rest), *made], [*(n for _, n in rest), "__fp", "__digest", "__n", "__prefix"])
 
     return add
 
 
-def sketched_jaccard(a: bytes, b: bytes, size: int) -> float:
-    """Jaccard similarity by the least `size` hashes of both sets: exact if neither has more shingles."""
-    x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
-    both = np.union1d(x, y)[:size]
-    return float(np.isin(both, np.intersect1d(x, y, assume_unique=True), assume_unique=True).mean()) if len(both) else 1.0
+def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, r, n, at): a row for each shingle of a prefix, and its place there."""
+    for batch in batches:
+        for begin in range(0, batch.num_rows, 1024):
+            part = batch.slice(begin, 1024)
+            found = [np.frombuffer(x, np.int64) for x in part.column(2).to_pylist()]
+            sizes = [len(x) for x in found]
+            r, n = (np.repeat(part.column(k).to_numpy(zero_copy_only=False), sizes) for k in (0, 1))
+            at = np.concatenate([np.arange(k) for k in sizes])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(r), pa.array(n), pa.array(at)], ["key", "r", "n", "at"])
+
+
+def _may_be_alike(similarity: float, x: tuple, y: tuple):
+    """Whether sets of these sizes whose first common shingle has these places can have the similarity."""
+    (n, at), (m, to) = x, y
+    most = F.lit(1) + F.least(n - at - 1, m - to - 1)
+    return (F.least(n, m) >= similarity * F.greatest(n, m) - 1e-6) & (most >= similarity / (1 + similarity) * (n + m) - 1e-6)
 
 
-def _alike(size: int, similarity: float):
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if len(a) + len(b) else 1.0
+
+
+def _alike(shingle: int, similarity: float):
+    """Pairs (a, b) whose whole texts have the similarity."""
+
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = [sketched_jaccard(a, b, size) >= similarity for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            yield batch.filter(pa.array(good, pa.bool_())).select(["a", "b"])
+            for begin in range(0, batch.num_rows, 256):
+                part = batch.slice(begin, 256)
+                x, y = ((f for _, f in _shingle_sets(part.column(k).to_pylist(), shingle)) for k in (2, 3))
+                good = [jaccard(a, b) >= similarity for a, b in zip(x, y, strict=True)]
+                yield part.filter(pa.array(good, pa.bool_())).select(["a", "b"])
 
     return check
 
 
-def drop_near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tau: int = 4, similarity: float = 0.8, shingle: int = 5, size: int = 128, seed: int = 42) -> DataFrame:
+def _across_components(met: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): texts of different components that meet under a key and may be alike. Crowded keys are compared in blocks."""
+    rooted = met.join(roots.select(F.col("node").alias("r"), "root"), "r", "left").select("key", "r", "n", "at", F.coalesce("root", "r").alias("root"))
+    split = rooted.groupBy("key").agg(F.count("*").alias("rows"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key", F.ceil(F.col("rows") / CELL).cast("int").alias("blocks"))
+    own = rooted.join(split, "key").withColumn("s", F.pmod(F.xxhash64("r"), F.col("blocks")).cast("int"))
+    cells = own.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", F.least("s", "o").alias("i"), F.greatest("s", "o").alias("j"), F.struct("r", "n", "at", "root", "s").alias("t"))
+    c = F.col
+    meet = cells.withColumnRenamed("t", "x").join(cells.withColumnRenamed("t", "y"), ["key", "i", "j"])
+    fit = meet.where((c("x.r") < c("y.r")) & (c("x.root") != c("y.root")) & (F.least("x.s", "y.s") == c("i")) & (F.greatest("x.s", "y.s") == c("j")))
+    return fit.where(_may_be_alike(similarity, (c("x.n"), c("x.at")), (c("y.n"), c("y.at")))).select(c("x.r").alias("a"), c("y.r").alias("b")).distinct()
+
+
+def drop_near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tau: int = 4, similarity: float = 0.8, shingle: int = 5, seed: int = 42) -> DataFrame:
     """docs with one row, that with the least id, of each group of texts that are alike.
 
-    Texts with the same words are copies. Others are candidates if fingerprints over their words, which an
-    edit moves less than those over shingles, differ in at most tau bits, and linked if their sets
-    of word shingles have the Jaccard similarity: exact for up to `size` shingles, else estimated from
-    as many of them. Texts that share a fingerprint are compared with the first of them.
+    Texts with the same words are copies. Others are linked if their whole sets of word shingles have the
+    Jaccard similarity. First, texts are compared whose fingerprints over words differ in at most tau
+    bits, or that share one, and each text with the least that shares a shingle of its prefix; this joins most.
+    Then all texts that share such a shingle and aren't joined yet are compared, which misses no pair.
     """
+    sc = docs.sparkSession.sparkContext
     text = F.col(text_col).cast("string")
+    order = sc.broadcast(shingle_order(docs.select(text.alias("text")), shingle, seed))
     asked = docs.select(*(F.col(f"`{c}`") for c in docs.columns), text.alias("__text"))
     fields = [f for f in asked.schema.fields if f.name != "__text"]
-    schema = StructType([*fields, StructField("__fp", LongType()), StructField("__digest", LongType()), StructField("__sketch", BinaryType())])
-    rows = written(asked.mapInArrow(_describe(shingle, size, seed), schema).withColumn("__row", F.monotonically_increasing_id()), "simhash-rows")
-    order = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("__row").alias("row"))
-    texts = written(rows.groupBy("__fp", "__digest").agg(F.min(order).alias("first")).select(F.col("__fp").alias("fp"), "first"), "simhash-texts")
+    schema = StructType([*fields, StructField("__fp", LongType()), StructField("__digest", LongType()), StructField("__n", LongType()), StructField("__prefix", BinaryType())])
+    rows = written(asked.mapInArrow(_describe(shingle, similarity, seed, order), schema).withColumn("__row", F.monotonically_increasing_id()), "simhash-rows")
+    least = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("__row").alias("row"))
+    texts = written(rows.groupBy("__fp", "__digest").agg(F.min(least).alias("first")).select(F.col("__fp").alias("fp"), "first"), "simhash-texts")
     heads = written(texts.groupBy("fp").agg(F.min("first").alias("head")).select("fp", F.col("head.row").alias("head")), "simhash-heads")
     pairs = links(heads.select("fp"), tau)
     across = pairs.join(heads.toDF("a", "x"), "a").join(heads.toDF("b", "y"), "b").select("x", "y")
     within = texts.join(heads, "fp").where("first.row <> head").select(F.col("head").alias("x"), F.col("first.row").alias("y"))
-    sketches = rows.select(F.col("__row").alias("r"), "__sketch")
-    met = across.union(within).join(sketches.toDF("x", "sx"), "x").join(sketches.toDF("y", "sy"), "y").select(F.col("x").alias("a"), F.col("y").alias("b"), "sx", "sy")
-    roots = connected_components(met.mapInArrow(_alike(size, similarity), "a long, b long"))
+    keys = rows.join(texts.select(F.col("first.row").alias("__row")), "__row", "left_semi").where("__n > 0").select("__row", "__n", "__prefix").mapInArrow(_spread, "key long, r long, n long, at long")
+    w = Window.partitionBy("key")
+    met = written(keys.withColumns({"others": F.count("*").over(w), "least": F.min(F.struct("r", "n", "at")).over(w)}).where("others > 1").drop("others"), "simhash-shared")
+    star = met.where((F.col("r") != F.col("least.r")) & _may_be_alike(similarity, (F.col("n"), F.col("at")), (F.col("least.n"), F.col("least.at")))).select(F.col("least.r").alias("x"), F.col("r").alias("y"))
+
+    def alike(asked_pairs: DataFrame) -> DataFrame:
+        bodies = rows.select(F.col("__row").alias("r"), text.alias("t"))
+        both = asked_pairs.join(bodies.toDF("a", "s"), "a").join(bodies.toDF("b", "t"), "b").select("a", "b", "s", "t")
+        return written(both.mapInArrow(_alike(shingle, similarity), "a long, b long"), "simhash-alike")
+
+    ordered = across.union(within).union(star).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    known = alike(ordered)
+    late = alike(_across_components(met, connected_components(known), similarity))
+    roots = connected_components(known.union(late))
     rooted = texts.join(roots, F.col("first.row") == F.col("node"), "left").select(F.coalesce("root", "first.row").alias("root"), "first")
     kept = written(rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("__row")), "simhash-kept")
     return rows.join(kept, "__row", "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
