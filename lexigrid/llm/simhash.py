@@ -44,6 +44,8 @@ _AT_ONCE = 1 << 15
 #: Buckets by which shingles are ordered, parts in which they are summed, and texts that are counted for it.
 ORDER_BITS, ORDER_PARTS = 20, 16
 ORDER_DOCS = 50_000
+#: Ids of texts to verify that may be broadcast, so that other texts aren't moved.
+WANTED = 1_000_000
 #: Texts of a key in a block.
 CELL = 256
 
@@ -346,7 +348,7 @@ def _alike(shingle: int, similarity: float):
 
 
 def _across_components(met: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): texts of different components that meet under a key and may be alike. Crowded keys are compared in blocks."""
+    """(x, y): texts of different components that meet under a key and may be alike. Crowded keys are compared in blocks."""
     rooted = met.join(roots.select(F.col("node").alias("r"), "root"), "r", "left").select("key", "r", "n", "at", F.coalesce("root", "r").alias("root"))
     split = rooted.groupBy("key").agg(F.count("*").alias("rows"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key", F.ceil(F.col("rows") / CELL).cast("int").alias("blocks"))
     own = rooted.join(split, "key").withColumn("s", F.pmod(F.xxhash64("r"), F.col("blocks")).cast("int"))
@@ -354,7 +356,13 @@ def _across_components(met: DataFrame, roots: DataFrame, similarity: float) -> D
     c = F.col
     meet = cells.withColumnRenamed("t", "x").join(cells.withColumnRenamed("t", "y"), ["key", "i", "j"])
     fit = meet.where((c("x.r") < c("y.r")) & (c("x.root") != c("y.root")) & (F.least("x.s", "y.s") == c("i")) & (F.greatest("x.s", "y.s") == c("j")))
-    return fit.where(_may_be_alike(similarity, (c("x.n"), c("x.at")), (c("y.n"), c("y.at")))).select(c("x.r").alias("a"), c("y.r").alias("b")).distinct()
+    return fit.where(_may_be_alike(similarity, (c("x.n"), c("x.at")), (c("y.n"), c("y.at")))).select(c("x.r").alias("x"), c("y.r").alias("y"))
+
+
+def _unjoined(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs (x, y) of different components."""
+    of = lambda n: roots.select(F.col("node").alias(n), F.col("root").alias(f"{n}_root"))
+    return pairs.distinct().join(of("x"), "x", "left").join(of("y"), "y", "left").where(F.coalesce("x_root", "x") != F.coalesce("y_root", "y")).select("x", "y")
 
 
 def drop_near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tau: int = 4, similarity: float = 0.8, shingle: int = 5, seed: int = 42) -> DataFrame:
@@ -384,12 +392,15 @@ def drop_near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     star = met.where((F.col("r") != F.col("least.r")) & _may_be_alike(similarity, (F.col("n"), F.col("at")), (F.col("least.n"), F.col("least.at")))).select(F.col("least.r").alias("x"), F.col("r").alias("y"))
 
     def alike(asked_pairs: DataFrame) -> DataFrame:
-        bodies = rows.select(F.col("__row").alias("r"), text.alias("t"))
-        both = asked_pairs.join(bodies.toDF("a", "s"), "a").join(bodies.toDF("b", "t"), "b").select("a", "b", "s", "t")
+        ordered = written(asked_pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "simhash-asked")
+        wanted = ordered.select(F.col("a").alias("r")).union(ordered.select("b")).distinct()
+        wanted = F.broadcast(wanted) if 2 * ordered.count() <= WANTED else wanted
+        bodies = rows.select(F.col("__row").alias("r"), text.alias("t")).join(wanted, "r", "left_semi")
+        both = ordered.join(bodies.toDF("a", "s"), "a").join(bodies.toDF("b", "t"), "b").select("a", "b", "s", "t")
         return written(both.mapInArrow(_alike(shingle, similarity), "a long, b long"), "simhash-alike")
 
-    ordered = across.union(within).union(star).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    known = alike(ordered)
+    known = alike(across.union(within))
+    known = written(known.union(alike(_unjoined(star, connected_components(known)))), "simhash-known")
     late = alike(_across_components(met, connected_components(known), similarity))
     roots = connected_components(known.union(late))
     rooted = texts.join(roots, F.col("first.row") == F.col("node"), "left").select(F.coalesce("root", "first.row").alias("root"), "first")

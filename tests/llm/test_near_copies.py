@@ -61,3 +61,14 @@ def test_crowded_fingerprints(spark):
     far = [bits_apart(texts[i], texts[j]) for i, j in alike(texts)]
     assert 3 in far and 4 in far
     check(spark, texts)
+
+
+def test_recall_of_short_and_long_texts(spark):
+    """Edits up to a similarity of 0.8 move the fingerprints of some texts by more than 4 bits, short ones most."""
+    rng = random.Random(2)
+    texts = []
+    for n in [20, 30, 40, 60, 100, 200, 600] * 12:
+        own = " ".join(f"w{rng.randrange(9000)}" for _ in range(n))
+        texts += [own, edited(rng, own, max(n // 50, 1)), edited(rng, own, max(n // 60, 1))]
+    assert any(bits_apart(texts[i], texts[j]) > 4 for i, j in alike(texts))
+    check(spark, texts)
