@@ -72,3 +72,16 @@ def test_recall_of_short_and_long_texts(spark):
         texts += [own, edited(rng, own, max(n // 50, 1)), edited(rng, own, max(n // 60, 1))]
     assert any(bits_apart(texts[i], texts[j]) > 4 for i, j in alike(texts))
     check(spark, texts)
+
+
+def test_texts_of_one_fingerprint(spark):
+    """The same words in other orders have one fingerprint; two that are alike aren't like the first."""
+    rng = random.Random(3)
+    texts, words = [], [f"w{i}" for i in range(100)]
+    for _ in range(4):
+        rng.shuffle(words)
+        swapped = words.copy()
+        swapped[40], swapped[41] = swapped[41], swapped[40]
+        texts += [" ".join(words), " ".join(swapped)]
+    assert len({simhash.fingerprint(t, 1) for t in texts}) == 1 and survivors(texts) == [0, 2, 4, 6]
+    check(spark, texts)
