@@ -13,6 +13,10 @@ SPACES = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Session setting: where scratch folders go while it is set, so that they can be deleted together.
+STAGE_FOLDER = "spark.lexigrid.stageFolder"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -25,31 +29,34 @@ def _own_folder() -> str:
 def scratch(spark: SparkSession, tag: str) -> str:
     """A new folder name below the cluster's shared folder.
 
-    spark.checkpoint.dir comes from the session. Only where it is unset, as in tests, is a
-    temporary folder of this machine used.
+    spark.checkpoint.dir comes from the session. Only on a local master, where it may be unset, is a
+    temporary folder of this machine used; a cluster without that setting is refused.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
+    base = spark.conf.get(STAGE_FOLDER, None) or spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = _own_folder()
     return f"{base.rstrip('/')}/lexigrid/{tag}-{uuid.uuid4().hex}"
 
 
-#: Folders that `written` made in this session, in order.
-MADE: list[str] = []
-
-
 def written(df: DataFrame, tag: str) -> DataFrame:
     """df, written as Parquet to the shared folder and read again: cuts lineage, survives lost executors."""
     spark, path = df.sparkSession, scratch(df.sparkSession, tag)
     df.write.parquet(path)
-    MADE.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def discard(spark: SparkSession, paths: list[str]) -> None:
-    """Delete folders that nothing will read again."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for path in paths:
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(conf).delete(where, True)
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a folder that nothing will read again."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def boxed(df: DataFrame, columns: list[str] | None = None) -> Column:
+    """The input's columns as one struct, __in, so that none of their names can clash with an operator's own."""
+    columns = df.columns if columns is None else columns
+    return (F.struct(*(F.col(f"`{c}`") for c in columns)) if columns else F.expr("named_struct()")).alias("__in")
 
 
 def n_words(text: Column) -> Column:

@@ -5,8 +5,8 @@ floor(rate) times, plus once more if a hash of it falls below the rate's fractio
 
 Defined cases. Null source: a source of its own, after all others. Null or empty text: size 0; it
 takes nothing whatever its copies. Repeated rows share their coin, and so are all emitted equally
-often. An empty table gives an empty mix. Other columns pass through; the operator's own columns are
-named in its arguments' defaults and replace any of these names.
+often. An empty table gives an empty mix. Very long texts are counted in place. Other columns pass
+through, whatever their names; size, source_size, target and copies replace columns so called.
 
 Scale: two scans, each with a map-side aggregation or none, and a join of the documents with one row
 per source: broadcast if the sources are counted as MAX_BROADCAST or fewer, else left to Spark's
@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from lexigrid.llm.common import n_words, unit_hash, written
+from lexigrid.llm.common import boxed, n_words, unit_hash, written
 
 MAX_BROADCAST = 100_000
 
@@ -56,19 +56,17 @@ def mix_to_targets(docs: DataFrame, *, source_col: str = "source", text_col: str
     """The columns in `keep` (all by default) with size, source_size, target and copies of each document."""
     keep = docs.columns if keep is None else keep
     own = ("size", "source_size", "target", "copies")
-    passed = [F.col(f"`{c}`") for c in keep if c not in own]
-    targets = written(source_targets(docs.select(F.col(source_col), n_words(F.col(text_col)).alias("size")), source_col=source_col, size_col="size", weights=weights, share=share, most=most), "mix-targets")
-    targets = targets.select(F.col("source").alias("__source"), F.col("source_size").alias("__size"), F.col("target").alias("__target"))
+    text, source = F.col(f"`{text_col}`"), F.col(f"`{source_col}`")
+    sized = docs.select(boxed(docs, [c for c in keep if c not in own]), source.alias("source"), n_words(text).alias("n"), unit_hash(F.lit(seed), F.col(f"`{id_col}`"), F.md5(F.coalesce(text, F.lit("")))).alias("coin"))
+    targets = written(source_targets(sized, source_col="source", size_col="n", weights=weights, share=share, most=most), "mix-targets").drop("weight")
     if targets.count() <= MAX_BROADCAST:
         targets = F.broadcast(targets)
-    sized = docs.withColumns({"__n": n_words(F.col(text_col)), "__coin": unit_hash(F.lit(seed), F.col(id_col), F.md5(F.coalesce(F.col(text_col), F.lit(""))))})
-    rate = F.when(F.col("__size") > 0, F.least(F.col("__target") / F.col("__size"), F.lit(most))).otherwise(F.lit(0.0))
-    copies = F.least(F.floor(rate) + F.when(F.col("__coin") < rate - F.floor(rate), 1).otherwise(0), F.lit(int(most)))
-    return sized.join(targets, F.col(source_col).eqNullSafe(F.col("__source"))).select(
-        *passed, F.col("__n").alias("size"), F.col("__size").alias("source_size"), F.col("__target").alias("target"), copies.cast("long").alias("copies")
-    )
+    met = sized.alias("d").join(targets.alias("t"), F.col("d.source").eqNullSafe(F.col("t.source")))
+    rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(most))).otherwise(F.lit(0.0))
+    copies = F.least(F.floor(rate) + F.when(F.col("coin") < rate - F.floor(rate), 1).otherwise(0), F.lit(int(most)))
+    return met.select("__in.*", F.col("n").alias("size"), "source_size", "target", copies.cast("long").alias("copies"))
 
 
 def emit(mixed: DataFrame) -> DataFrame:
     """Each row as often as its copies say."""
-    return mixed.where("copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop("__copy", "size", "source_size", "target", "copies")
+    return mixed.where("copies > 0").withColumn("copies", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop("size", "source_size", "target", "copies")

@@ -11,11 +11,19 @@ share a key are compared. The links' connected components are the groups of near
 Exact copies share a fingerprint and are one row from the start. Keys shared by more than BUCKET
 fingerprints aren't compared pair by pair. Their fingerprints are put under each fingerprint within
 one bit of them, 65 keys each: two share one if and only if they differ in two bits at most, and at
-most 65 can share one. So the rest is handled exactly as well, in linear time.
-
-Defined cases. Null or empty text: fingerprint zero, linked like any other. Fewer words than a shingle:
-one shingle of all words. Null ids: a component without any id has a null component. Repeated rows
-are copies. An empty table gives no rows. Other columns pass through if named in `keep`.
+most 65 can share one. So the rest is handled exactly as well, in linear time. That is why TAU is fixed
+at two bits; keys per fingerprint then grow little with the table (44 up to a million fingerprints).
+
+`drop_near_copies` links texts by their sets of word shingles. Fingerprints within TAU bits find most
+near copies; a text whose fingerprint strays further is found by the rare shingles that it shares, so
+that no pair of the similarity is lost. Every link is decided on whole texts.
+
+Defined cases. Null or empty text: fingerprint zero, linked like any other; texts without words are copies.
+Fewer words than a shingle: one shingle of all words. Null ids: a component without any id has a null
+component; the dropper keeps the least id, nulls last. Repeated rows are copies. An empty table gives no
+rows. Very long texts: hashed in pieces, verified a few pairs at a time. Other columns pass through if
+named in `keep`, and may have any name but __fp, __row, __first and component_id, which the operator's
+own replace; the dropper keeps all columns whatever their names.
 """
 
 from __future__ import annotations
@@ -26,11 +34,12 @@ from itertools import combinations, islice, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 from xxhash import xxh64_intdigest
 
-from lexigrid.llm.common import written
+from lexigrid.llm.common import boxed, written
 from lexigrid.llm.components import connected_components
 from lexigrid.llm.hashing import NOT_SPACE, hash_words, mix
 
@@ -48,6 +57,9 @@ ORDER_DOCS = 50_000
 WANTED = 1_000_000
 #: Texts of a key in a block.
 CELL = 256
+#: Bytes of text of the pairs that are verified at once.
+VERIFY_BYTES = 8 << 20
+OWN = ("__fp", "__row", "__first", "component_id")
 
 
 def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
@@ -80,9 +92,9 @@ def _with_fingerprints(shingle: int, seed: int):
 def with_fingerprints(docs: DataFrame, *, text_col: str = "text", keep: list[str] | None = None, shingle: int = 3, seed: int = 42) -> DataFrame:
     """The columns in `keep` (all by default) and __fp, the fingerprint as a signed long."""
     keep = docs.columns if keep is None else keep
-    rows = docs.select(*(F.col(f"`{c}`") for c in keep), F.col(text_col).cast("string").alias("__text"))
-    fields = [f for f in rows.schema.fields if f.name != "__text"]
-    return rows.mapInArrow(_with_fingerprints(shingle, seed), StructType([*fields, StructField("__fp", LongType())]))
+    rows = docs.select(boxed(docs, [c for c in keep if c not in OWN]), F.col(f"`{text_col}`").cast("string").alias("__text"))
+    found = rows.mapInArrow(_with_fingerprints(shingle, seed), StructType([rows.schema["__in"], StructField("__fp", LongType())]))
+    return found.select("__in.*", "__fp")
 
 
 def _bits(fps: np.ndarray) -> np.ndarray:
@@ -200,20 +212,18 @@ def _around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array((fps[:, None] ^ flips[None, :]).ravel().view(np.int64)), pa.array(np.repeat(fps, len(flips)).view(np.int64))], ["mid", "fp"])
 
 
-def links(fps: DataFrame, tau: int = TAU) -> DataFrame:
-    """(a, b): fingerprints that differ in at most tau bits; for those under a crowded key, in 2 at most.
+def links(fps: DataFrame) -> DataFrame:
+    """(a, b): fingerprints that differ in at most TAU bits.
 
     fps: distinct, in a column fp. Crowds are chained, so that their components come out as of all pairs.
     """
-    if tau < 2:
-        raise ValueError("tau must be 2 or more")
-    plan = allocate(*bit_statistics(fps), tau)
+    plan = allocate(*bit_statistics(fps))
     keys = fps.select("fp").mapInArrow(_probe(_masks(plan)), "key long, fp long")
     shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     met = written(keys.join(shared, "key"), "simhash-met")
     pairs = met.where(f"n <= {BUCKET}").groupBy("key").agg(F.collect_set("fp").alias("fps"))
     near = F.flatten(
-        F.transform("fps", lambda x: F.transform(F.filter("fps", lambda y: (y > x) & (F.bit_count(x.bitwiseXOR(y)) <= tau)), lambda y: F.struct(x.alias("a"), y.alias("b"))))
+        F.transform("fps", lambda x: F.transform(F.filter("fps", lambda y: (y > x) & (F.bit_count(x.bitwiseXOR(y)) <= TAU)), lambda y: F.struct(x.alias("a"), y.alias("b"))))
     )
     few = pairs.select(F.explode(near).alias("e")).select("e.a", "e.b")
     crowd = met.where(f"n > {BUCKET}").select("fp").distinct()
@@ -222,21 +232,22 @@ def links(fps: DataFrame, tau: int = TAU) -> DataFrame:
     return few.union(many).distinct()
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, shingle: int = 3, seed: int = 42, tau: int = TAU) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, shingle: int = 3, seed: int = 42) -> DataFrame:
     """The columns in `keep` (the id by default) with __fp, component_id and __row, which counts rows.
 
     component_id is the least id of the row's component; __first is true for one row of each.
     """
-    keep = [id_col] if keep is None else keep
-    rows = written(with_fingerprints(docs, text_col=text_col, keep=keep, shingle=shingle, seed=seed).withColumn("__row", F.monotonically_increasing_id()), "simhash-rows")
-    order = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("__row").alias("row"))
+    keep = [c for c in ([id_col] if keep is None else keep) if c not in OWN]
+    asked = docs.select(boxed(docs, keep), F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    rows = written(with_fingerprints(asked, keep=["__in", "id"], shingle=shingle, seed=seed).withColumn("__row", F.monotonically_increasing_id()), "simhash-rows")
+    order = F.struct(F.col("id").isNull().alias("none"), "id", F.col("__row").alias("row"))
     classes = written(rows.groupBy(F.col("__fp").alias("fp")).agg(F.min(order).alias("first")), "simhash-classes")
-    roots = connected_components(links(classes.select("fp"), tau))
+    roots = connected_components(links(classes.select("fp")))
     rooted = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     linked = rooted.where("fp <> root").select("root").distinct()  # components of one class need no further look
     firsts = rooted.join(linked, "root", "left_semi").groupBy("root").agg(F.min("first").alias("best"))
     final = written(rooted.join(firsts, "root", "left").select("fp", F.coalesce("best", "first").alias("best")), "simhash-components")
-    return rows.join(final, rows["__fp"] == final["fp"]).select(*(F.col(f"`{c}`") for c in keep), "__fp", "__row", F.col("best.id").alias("component_id"), (F.col("__row") == F.col("best.row")).alias("__first"))
+    return rows.join(final, rows["__fp"] == final["fp"]).select("__in.*", "__fp", "__row", F.col("best.id").alias("component_id"), (F.col("__row") == F.col("best.row")).alias("__first"))
 
 
 def hex_fingerprint(fp="__fp"):
@@ -286,7 +297,7 @@ def shingle_order(texts: DataFrame, shingle: int, seed: int) -> np.ndarray:
 
 
 def _describe(shingle: int, similarity: float, seed: int, order):
-    """__fp over words, __digest of the word sequence, __n distinct shingles, and __prefix: the rarest of them.
+    """__fp, __digest of the word sequence, __n distinct shingles, and __prefix: the rarest of them.
 
     Two sets of at least the similarity share a shingle of both prefixes, n - ceil(similarity n) + 1 long.
     """
@@ -296,7 +307,7 @@ def _describe(shingle: int, similarity: float, seed: int, order):
             texts = batch.column(batch.schema.get_field_index("__text")).to_pylist()
             fps, digests, sizes, prefixes = [], [], [], []
             for text, (own, found) in zip(texts, _shingle_sets(texts, shingle), strict=True):
-                fps.append(fingerprint(text, 1, seed))
+                fps.append(fingerprint(text, seed=seed))
                 digests.append(xxh64_intdigest(own.tobytes(), seed))
                 n = len(found)
                 rare = np.argsort(order.value[found >> np.uint64(64 - ORDER_BITS)], kind="stable")
@@ -318,7 +329,7 @@ def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sizes = [len(x) for x in found]
             r, n = (np.repeat(part.column(k).to_numpy(zero_copy_only=False), sizes) for k in (0, 1))
             at = np.concatenate([np.arange(k) for k in sizes])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(r), pa.array(n), pa.array(at)], ["key", "r", "n", "at"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(r), pa.array(n.astype(np.int32)), pa.array(at.astype(np.int32))], ["key", "r", "n", "at"])
 
 
 def _may_be_alike(similarity: float, x: tuple, y: tuple):
@@ -333,13 +344,20 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both) if len(a) + len(b) else 1.0
 
 
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices whose texts (columns 2 and 3) come to some VERIFY_BYTES."""
+    sizes = np.cumsum(sum(pc.fill_null(pc.binary_length(batch.column(k)), 0).to_numpy(zero_copy_only=False) for k in (2, 3)))
+    ends = np.append(np.flatnonzero(np.diff(sizes // VERIFY_BYTES)) + 1, batch.num_rows)
+    for begin, end in zip([0, *ends[:-1]], ends, strict=True):
+        yield batch.slice(begin, end - begin)
+
+
 def _alike(shingle: int, similarity: float):
     """Pairs (a, b) whose whole texts have the similarity."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for begin in range(0, batch.num_rows, 256):
-                part = batch.slice(begin, 256)
+            for part in _slices(batch):
                 x, y = ((f for _, f in _shingle_sets(part.column(k).to_pylist(), shingle)) for k in (2, 3))
                 good = [jaccard(a, b) >= similarity for a, b in zip(x, y, strict=True)]
                 yield part.filter(pa.array(good, pa.bool_())).select(["a", "b"])
@@ -359,34 +377,28 @@ def _across_components(met: DataFrame, roots: DataFrame, similarity: float) -> D
     return fit.where(_may_be_alike(similarity, (c("x.n"), c("x.at")), (c("y.n"), c("y.at")))).select(c("x.r").alias("x"), c("y.r").alias("y"))
 
 
-def _unjoined(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """The pairs (x, y) of different components."""
-    of = lambda n: roots.select(F.col("node").alias(n), F.col("root").alias(f"{n}_root"))
-    return pairs.distinct().join(of("x"), "x", "left").join(of("y"), "y", "left").where(F.coalesce("x_root", "x") != F.coalesce("y_root", "y")).select("x", "y")
-
-
-def drop_near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tau: int = 4, similarity: float = 0.8, shingle: int = 5, seed: int = 42) -> DataFrame:
+def drop_near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, shingle: int = 5, seed: int = 42) -> DataFrame:
     """docs with one row, that with the least id, of each group of texts that are alike.
 
     Texts with the same words are copies. Others are linked if their whole sets of word shingles have the
-    Jaccard similarity. First, texts are compared whose fingerprints over words differ in at most tau
+    Jaccard similarity. First, texts are compared whose fingerprints differ in at most TAU
     bits, or that share one, and each text with the least that shares a shingle of its prefix; this joins most.
     Then all texts that share such a shingle and aren't joined yet are compared, which misses no pair.
     """
     sc = docs.sparkSession.sparkContext
-    text = F.col(text_col).cast("string")
+    text = F.col(f"`{text_col}`").cast("string")
     order = sc.broadcast(shingle_order(docs.select(text.alias("text")), shingle, seed))
-    asked = docs.select(*(F.col(f"`{c}`") for c in docs.columns), text.alias("__text"))
-    fields = [f for f in asked.schema.fields if f.name != "__text"]
-    schema = StructType([*fields, StructField("__fp", LongType()), StructField("__digest", LongType()), StructField("__n", LongType()), StructField("__prefix", BinaryType())])
+    asked = docs.select(boxed(docs), F.col(f"`{id_col}`").alias("id"), text.alias("__text"))
+    schema = StructType([asked.schema["__in"], asked.schema["id"], StructField("__fp", LongType()), StructField("__digest", LongType()), StructField("__n", LongType()), StructField("__prefix", BinaryType())])
     rows = written(asked.mapInArrow(_describe(shingle, similarity, seed, order), schema).withColumn("__row", F.monotonically_increasing_id()), "simhash-rows")
-    least = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("__row").alias("row"))
+    least = F.struct(F.col("id").isNull().alias("none"), "id", F.col("__row").alias("row"), F.col("__n").alias("n"))
     texts = written(rows.groupBy("__fp", "__digest").agg(F.min(least).alias("first")).select(F.col("__fp").alias("fp"), "first"), "simhash-texts")
-    heads = written(texts.groupBy("fp").agg(F.min("first").alias("head")).select("fp", F.col("head.row").alias("head")), "simhash-heads")
-    pairs = links(heads.select("fp"), tau)
-    across = pairs.join(heads.toDF("a", "x"), "a").join(heads.toDF("b", "y"), "b").select("x", "y")
-    within = texts.join(heads, "fp").where("first.row <> head").select(F.col("head").alias("x"), F.col("first.row").alias("y"))
-    keys = rows.join(texts.select(F.col("first.row").alias("__row")), "__row", "left_semi").where("__n > 0").select("__row", "__n", "__prefix").mapInArrow(_spread, "key long, r long, n long, at long")
+    heads = written(texts.groupBy("fp").agg(F.min("first").alias("head")), "simhash-heads")
+    sized = F.least("x.n", "y.n") >= similarity * F.greatest("x.n", "y.n") - 1e-6
+    across = links(heads.select("fp")).join(heads.toDF("a", "x"), "a").join(heads.toDF("b", "y"), "b")
+    within = texts.join(heads, "fp").where("first.row <> head.row").select(F.col("head").alias("x"), F.col("first").alias("y"))
+    near = across.select("x", "y").union(within).where(sized).select(F.col("x.row").alias("x"), F.col("y.row").alias("y"))
+    keys = rows.join(texts.select(F.col("first.row").alias("__row")), "__row", "left_semi").where("__n > 0").select("__row", "__n", "__prefix").mapInArrow(_spread, "key long, r long, n int, at int")
     w = Window.partitionBy("key")
     met = written(keys.withColumns({"others": F.count("*").over(w), "least": F.min(F.struct("r", "n", "at")).over(w)}).where("others > 1").drop("others"), "simhash-shared")
     star = met.where((F.col("r") != F.col("least.r")) & _may_be_alike(similarity, (F.col("n"), F.col("at")), (F.col("least.n"), F.col("least.at")))).select(F.col("least.r").alias("x"), F.col("r").alias("y"))
@@ -395,14 +407,13 @@ def drop_near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         ordered = written(asked_pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "simhash-asked")
         wanted = ordered.select(F.col("a").alias("r")).union(ordered.select("b")).distinct()
         wanted = F.broadcast(wanted) if 2 * ordered.count() <= WANTED else wanted
-        bodies = rows.select(F.col("__row").alias("r"), text.alias("t")).join(wanted, "r", "left_semi")
+        bodies = rows.select(F.col("__row").alias("r"), F.col(f"__in.`{text_col}`").cast("string").alias("t")).join(wanted, "r", "left_semi")
         both = ordered.join(bodies.toDF("a", "s"), "a").join(bodies.toDF("b", "t"), "b").select("a", "b", "s", "t")
         return written(both.mapInArrow(_alike(shingle, similarity), "a long, b long"), "simhash-alike")
 
-    known = alike(across.union(within))
-    known = written(known.union(alike(_unjoined(star, connected_components(known)))), "simhash-known")
+    known = alike(near.union(star))
     late = alike(_across_components(met, connected_components(known), similarity))
     roots = connected_components(known.union(late))
     rooted = texts.join(roots, F.col("first.row") == F.col("node"), "left").select(F.coalesce("root", "first.row").alias("root"), "first")
     kept = written(rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("__row")), "simhash-kept")
-    return rows.join(kept, "__row", "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
+    return rows.join(kept, "__row", "left_semi").select("__in.*")
