@@ -30,7 +30,9 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations, islice, repeat
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -59,6 +61,9 @@ WANTED = 1_000_000
 CELL = 256
 #: Bytes of text of the pairs that are verified at once.
 VERIFY_BYTES = 8 << 20
+#: Words of 64 marks that a text has for its shingles.
+LANES = 8
+MARK_NAMES = [f"m{k}" for k in range(LANES)]
 OWN = ("__fp", "__row", "__first", "component_id")
 
 
@@ -79,14 +84,14 @@ def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
 
 
 def _with_fingerprints(shingle: int, seed: int):
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index("__text"))
             found = np.fromiter((fingerprint(t.as_py(), shingle, seed) for t in texts), np.uint64, len(texts))
             rest = [(c, n) for c, n in zip(batch.columns, batch.schema.names, strict=True) if n != "__text"]
             yield pa.RecordBatch.from_arrays([*(c for c, _ in rest), pa.array(found.view(np.int64))], [*(n for _, n in rest), "__fp"])
 
-    return add
+    return fill
 
 
 def with_fingerprints(docs: DataFrame, *, text_col: str = "text", keep: list[str] | None = None, shingle: int = 3, seed: int = 42) -> DataFrame:
@@ -297,27 +302,32 @@ def shingle_order(texts: DataFrame, shingle: int, seed: int) -> np.ndarray:
 
 
 def _describe(shingle: int, similarity: float, seed: int, order):
-    """__fp, __digest of the word sequence, __n distinct shingles, and __prefix: the rarest of them.
+    """__fp, __digest of the word sequence, __n distinct shingles, __prefix: the rarest of them, and __marks.
 
     Two sets of at least the similarity share a shingle of both prefixes, n - ceil(similarity n) + 1 long.
+    A mark is set if an odd number of the shingles has its hash; so two texts have at most as many
+    different marks as there are shingles that only one of them has.
     """
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index("__text")).to_pylist()
-            fps, digests, sizes, prefixes = [], [], [], []
+            fps, digests, sizes, prefixes, marks = [], [], [], [], []
             for text, (own, found) in zip(texts, _shingle_sets(texts, shingle), strict=True):
                 fps.append(fingerprint(text, seed=seed))
                 digests.append(xxh64_intdigest(own.tobytes(), seed))
                 n = len(found)
                 rare = np.argsort(order.value[found >> np.uint64(64 - ORDER_BITS)], kind="stable")
                 sizes.append(n)
+                odd = np.bincount((found & np.uint64(64 * LANES - 1)).astype(np.int64), minlength=64 * LANES) & 1
+                marks.append(np.packbits(odd.astype(bool), bitorder="little").view(np.int64))
                 prefixes.append(found[rare[: n - math.ceil(similarity * n - 1e-9) + 1]].tobytes())
             rest = [(c, n) for c, n in zip(batch.columns, batch.schema.names, strict=True) if n != "__text"]
             made = [pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(np.array(digests, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.binary())]
-            yield pa.RecordBatch.from_arrays([*(c for c, _ in rest), *made], [*(n for _, n in rest), "__fp", "__digest", "__n", "__prefix"])
+            lanes = pa.StructArray.from_arrays([pa.array(x) for x in np.array(marks, np.int64).reshape(-1, LANES).T], MARK_NAMES)
+            yield pa.RecordBatch.from_arrays([*(c for c, _ in rest), *made, lanes], [*(n for _, n in rest), "__fp", "__digest", "__n", "__prefix", "__marks"])
 
-    return add
+    return fill
 
 
 def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -332,11 +342,13 @@ def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(r), pa.array(n.astype(np.int32)), pa.array(at.astype(np.int32))], ["key", "r", "n", "at"])
 
 
-def _may_be_alike(similarity: float, x: tuple, y: tuple):
-    """Whether sets of these sizes whose first common shingle has these places can have the similarity."""
-    (n, at), (m, to) = x, y
+def _may_be_alike(similarity: float, x: str, y: str):
+    """Whether sets of these sizes and marks whose first common shingle has these places can have the similarity."""
+    n, at, m, to = (F.col(f"{s}.{c}") for s in (x, y) for c in ("n", "at"))
     most = F.lit(1) + F.least(n - at - 1, m - to - 1)
-    return (F.least(n, m) >= similarity * F.greatest(n, m) - 1e-6) & (most >= similarity / (1 + similarity) * (n + m) - 1e-6)
+    apart = reduce(add, (F.bit_count(F.col(f"{x}.marks.{k}").bitwiseXOR(F.col(f"{y}.marks.{k}"))) for k in MARK_NAMES))
+    fit = (F.least(n, m) >= similarity * F.greatest(n, m) - 1e-6) & (most >= similarity / (1 + similarity) * (n + m) - 1e-6)
+    return fit & (apart <= (1 - similarity) / (1 + similarity) * (n + m) + 1e-6)
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -365,16 +377,30 @@ def _alike(shingle: int, similarity: float):
     return check
 
 
+def _to_hubs(met: DataFrame, similarity: float) -> DataFrame:
+    """(x, y): each text y with a hub, that with which it shares most keys.
+
+    A key's hub is the text that shares most of its own keys with others: of copies with edits that is the one
+    that has none, if it is there.
+    """
+    c, w = F.col, Window.partitionBy("key")
+    t = F.struct(-c("shared"), "r", "n", "at", "marks")
+    both = met.select("key", t.alias("t")).withColumn("hub", F.min("t").over(w)).where(c("t.r") != c("hub.r"))
+    counted = both.where(_may_be_alike(similarity, "t", "hub")).groupBy(c("t.r").alias("r"), c("hub.r").alias("x")).agg(F.count("*").alias("common"))
+    return counted.groupBy("r").agg(F.max(F.struct("common", -c("x"), "x"))["x"].alias("x")).select("x", c("r").alias("y"))
+
+
 def _across_components(met: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
     """(x, y): texts of different components that meet under a key and may be alike. Crowded keys are compared in blocks."""
-    rooted = met.join(roots.select(F.col("node").alias("r"), "root"), "r", "left").select("key", "r", "n", "at", F.coalesce("root", "r").alias("root"))
-    split = rooted.groupBy("key").agg(F.count("*").alias("rows"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key", F.ceil(F.col("rows") / CELL).cast("int").alias("blocks"))
-    own = rooted.join(split, "key").withColumn("s", F.pmod(F.xxhash64("r"), F.col("blocks")).cast("int"))
-    cells = own.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", F.least("s", "o").alias("i"), F.greatest("s", "o").alias("j"), F.struct("r", "n", "at", "root", "s").alias("t"))
     c = F.col
-    meet = cells.withColumnRenamed("t", "x").join(cells.withColumnRenamed("t", "y"), ["key", "i", "j"])
-    fit = meet.where((c("x.r") < c("y.r")) & (c("x.root") != c("y.root")) & (F.least("x.s", "y.s") == c("i")) & (F.greatest("x.s", "y.s") == c("j")))
-    return fit.where(_may_be_alike(similarity, (c("x.n"), c("x.at")), (c("y.n"), c("y.at")))).select(c("x.r").alias("x"), c("y.r").alias("y"))
+    known = met.join(roots.select(c("node").alias("r"), "root"), "r", "left")
+    rooted = known.select("key", F.struct("r", "n", "at", F.coalesce("root", "r").alias("root"), "marks").alias("t"))
+    split = rooted.groupBy("key").agg(F.count("*").alias("rows"), F.min("t.root").alias("low"), F.max("t.root").alias("high")).where("low < high").select("key", F.ceil(F.col("rows") / CELL).cast("int").alias("blocks"))
+    own = rooted.join(split, "key").withColumn("s", F.pmod(F.xxhash64("t.r"), c("blocks")).cast("int"))
+    cells = own.withColumn("o", F.explode(F.sequence(F.lit(0), c("blocks") - 1))).select("key", F.least("s", "o").alias("i"), F.greatest("s", "o").alias("j"), "t", "s")
+    left, right = cells.select("key", "i", "j", c("t").alias("x"), c("s").alias("x_s")), cells.select("key", "i", "j", c("t").alias("y"), c("s").alias("y_s"))
+    once = (c("x.r") < c("y.r")) & (c("x.root") != c("y.root")) & (F.least("x_s", "y_s") == c("i")) & (F.greatest("x_s", "y_s") == c("j"))
+    return left.join(right, ["key", "i", "j"]).where(once & _may_be_alike(similarity, "x", "y")).select(c("x.r").alias("x"), c("y.r").alias("y"))
 
 
 def drop_near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, shingle: int = 5, seed: int = 42) -> DataFrame:
@@ -382,14 +408,14 @@ def drop_near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     Texts with the same words are copies. Others are linked if their whole sets of word shingles have the
     Jaccard similarity. First, texts are compared whose fingerprints differ in at most TAU
-    bits, or that share one, and each text with the least that shares a shingle of its prefix; this joins most.
+    bits, or that share one, and each text with one that shares most of its rare shingles; this joins most.
     Then all texts that share such a shingle and aren't joined yet are compared, which misses no pair.
     """
     sc = docs.sparkSession.sparkContext
     text = F.col(f"`{text_col}`").cast("string")
     order = sc.broadcast(shingle_order(docs.select(text.alias("text")), shingle, seed))
     asked = docs.select(boxed(docs), F.col(f"`{id_col}`").alias("id"), text.alias("__text"))
-    schema = StructType([asked.schema["__in"], asked.schema["id"], StructField("__fp", LongType()), StructField("__digest", LongType()), StructField("__n", LongType()), StructField("__prefix", BinaryType())])
+    schema = StructType([asked.schema["__in"], asked.schema["id"], StructField("__fp", LongType()), StructField("__digest", LongType()), StructField("__n", LongType()), StructField("__prefix", BinaryType()), StructField("__marks", StructType([StructField(k, LongType()) for k in MARK_NAMES]))])
     rows = written(asked.mapInArrow(_describe(shingle, similarity, seed, order), schema).withColumn("__row", F.monotonically_increasing_id()), "simhash-rows")
     least = F.struct(F.col("id").isNull().alias("none"), "id", F.col("__row").alias("row"), F.col("__n").alias("n"))
     texts = written(rows.groupBy("__fp", "__digest").agg(F.min(least).alias("first")).select(F.col("__fp").alias("fp"), "first"), "simhash-texts")
@@ -399,9 +425,7 @@ def drop_near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     within = texts.join(heads, "fp").where("first.row <> head.row").select(F.col("head").alias("x"), F.col("first").alias("y"))
     near = across.select("x", "y").union(within).where(sized).select(F.col("x.row").alias("x"), F.col("y.row").alias("y"))
     keys = rows.join(texts.select(F.col("first.row").alias("__row")), "__row", "left_semi").where("__n > 0").select("__row", "__n", "__prefix").mapInArrow(_spread, "key long, r long, n int, at int")
-    w = Window.partitionBy("key")
-    met = written(keys.withColumns({"others": F.count("*").over(w), "least": F.min(F.struct("r", "n", "at")).over(w)}).where("others > 1").drop("others"), "simhash-shared")
-    star = met.where((F.col("r") != F.col("least.r")) & _may_be_alike(similarity, (F.col("n"), F.col("at")), (F.col("least.n"), F.col("least.at")))).select(F.col("least.r").alias("x"), F.col("r").alias("y"))
+    met = written(keys.withColumn("others", F.count("*").over(Window.partitionBy("key"))).where("others > 1").drop("others"), "simhash-shared")
 
     def alike(asked_pairs: DataFrame) -> DataFrame:
         ordered = written(asked_pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "simhash-asked")
@@ -411,7 +435,9 @@ def drop_near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         both = ordered.join(bodies.toDF("a", "s"), "a").join(bodies.toDF("b", "t"), "b").select("a", "b", "s", "t")
         return written(both.mapInArrow(_alike(shingle, similarity), "a long, b long"), "simhash-alike")
 
-    known = alike(near.union(star))
+    central = met.groupBy("r").agg(F.count("*").alias("shared")).join(rows.select(F.col("__row").alias("r"), F.col("__marks").alias("marks")), "r")
+    met = written(met.join(central, "r").select("key", "r", "n", "at", "shared", "marks"), "simhash-central")
+    known = alike(near.union(_to_hubs(met, similarity)))
     late = alike(_across_components(met, connected_components(known), similarity))
     roots = connected_components(known.union(late))
     rooted = texts.join(roots, F.col("first.row") == F.col("node"), "left").select(F.coalesce("root", "first.row").alias("root"), "first")
