@@ -3,13 +3,15 @@
 A declarative template says for each role what stands before and after its text and whether the
 text counts for the loss. A finite-state machine over the roles validates the order of turns. A
 conversation becomes a list of segments, each with a loss flag; the formatted text is their
-concatenation. Control strings inside texts and roles are broken by a backslash after their first
+concatenation, and its loss mask a list of spans in it. Control strings inside texts and roles are broken by a backslash after their first
 character, and backslashes are doubled, so that texts can't forge marks and can be read back.
 
 Defined cases. Null text or role: empty. Null turn: before all others. Rows that share a turn follow by
 role, then text; repeated rows are turns of their own. Rows with a null conv_id form one
 conversation. Roles that the template doesn't name are formatted without loss. A conversation in
-the wrong order is formatted as well and has `valid` false. An empty table gives no conversations.
+the wrong order is formatted as well, has `valid` false, and `wrong_turn` is its first turn (from 0) that
+the machine doesn't allow, null if it only ends too early. Very long texts are escaped in place. An empty
+table gives no conversations. Other columns, whatever their names, are ignored.
 
 Scale: one shuffle by conversation. A conversation is a single output value and so fits in a row.
 """
@@ -64,7 +66,7 @@ def _next_state(state: Column, role: Column, template: Template) -> Column:
 
 
 def format_conversations(rows: DataFrame, template: Template | None = None, *, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """conv_id, n_turns, valid, segments (array of text, loss), formatted."""
+    """conv_id, n_turns, valid, wrong_turn, segments (array of text, loss), formatted, loss_spans."""
     template = template or Template()
     empty = F.lit("")
     turn = F.struct(F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), empty).alias("role"), F.coalesce(F.col(text_col), empty).alias("text"))
@@ -80,9 +82,33 @@ def format_conversations(rows: DataFrame, template: Template | None = None, *, c
             ),
         )
     )
-    state = F.aggregate("turns", F.lit("start"), lambda s, t: _next_state(s, t["role"], template))
-    formed = turns.select("conv_id", F.size("turns").cast("long").alias("n_turns"), state.isin(*template.final).alias("valid"), segments.alias("segments"))
-    return formed.withColumn("formatted", F.concat_ws("", F.transform("segments", lambda s: s["text"])))
+    begin = F.expr("named_struct('state', 'start', 'at', 0, 'wrong', cast(null as int))")
+
+    def step(s: Column, t: Column) -> Column:
+        now = _next_state(s["state"], t["role"], template)
+        return F.struct(now.alias("state"), (s["at"] + 1).alias("at"), F.when(s["wrong"].isNull() & (now == "wrong"), s["at"]).otherwise(s["wrong"]).alias("wrong"))
+
+    formed = turns.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.aggregate("turns", begin, step).alias("end"), segments.alias("segments"))
+    return formed.select(
+        "conv_id",
+        "n_turns",
+        F.col("end.state").isin(*template.final).alias("valid"),
+        F.col("end.wrong").cast("long").alias("wrong_turn"),
+        "segments",
+        F.concat_ws("", F.transform("segments", lambda s: s["text"])).alias("formatted"),
+        loss_spans(F.col("segments")).alias("loss_spans"),
+    )
+
+
+def loss_spans(segments: Column) -> Column:
+    """array of (start, stop) in characters of the formatted text: the segments under the loss mask."""
+
+    def step(s: Column, x: Column) -> Column:
+        stop = s["at"] + F.length(x["text"])
+        span = F.struct(s["at"].alias("start"), stop.alias("stop"))
+        return F.struct(stop.alias("at"), F.when(x["loss"], F.array_append(s["spans"], span)).otherwise(s["spans"]).alias("spans"))
+
+    return F.aggregate(segments, F.expr("named_struct('at', 0, 'spans', cast(array() as array<struct<start:int,stop:int>>))"), step)["spans"]
 
 
 def read_back(formatted: Column, template: Template | None = None) -> Column:
@@ -98,6 +124,6 @@ def read_back(formatted: Column, template: Template | None = None) -> Column:
     return F.transform(parts, turn)
 
 
-def loss_text(segments: Column) -> Column:
-    """All text under the loss mask, unescaped, from the segments."""
-    return F.concat_ws("", F.transform(F.filter(segments, lambda s: s["loss"]), lambda s: unescape(s["text"])))
+def loss_text(formatted: Column, spans: Column) -> Column:
+    """All text under the loss mask, unescaped, from the formatted text."""
+    return F.concat_ws("", F.transform(spans, lambda s: unescape(F.substring(formatted, s["start"] + 1, s["stop"] - s["start"]))))

@@ -52,7 +52,7 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     say = F.lit("</s>[INST] ok [/INST]")
     more = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), say.alias("text"))
     formed = chat.format_conversations(given.unionByName(more))
-    back = formed.withColumns({"turns": chat.read_back(F.col("formatted")), "loss": chat.loss_text(F.col("segments"))})
+    back = formed.withColumns({"turns": chat.read_back(F.col("formatted")), "loss": chat.loss_text(F.col("formatted"), F.col("loss_spans"))})
     digest = F.sha2(F.concat_ws("", F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))), 256)
     return back.select(
         "conv_id",
@@ -61,6 +61,8 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length("loss").cast("long").alias("loss_chars"),
         F.sha2("loss", 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
+        "valid",
+        "wrong_turn",
     )
 
 

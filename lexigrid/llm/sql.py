@@ -47,11 +47,14 @@ WITH turns AS (
   SELECT conv_id, count(*) AS n_turns,
          string_agg(concat(role, chr(10), text, chr(10)), '' ORDER BY turn NULLS FIRST, role, text) AS turns,
          coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '') AS loss,
+         string_agg(CASE role WHEN 'system' THEN 's' WHEN 'user' THEN 'u' WHEN 'assistant' THEN 'a' WHEN 'tool' THEN 't' ELSE 'x' END, '' ORDER BY turn NULLS FIRST, role, text) AS roles,
          sum(length({_escaped('role')}) + length({_escaped('text')}) + 32) AS formatted_chars
   FROM turns GROUP BY conv_id
 )
-SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, CAST(formatted_chars AS BIGINT) AS formatted_chars
-FROM said
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, CAST(formatted_chars AS BIGINT) AS formatted_chars,
+       regexp_matches(roles, '^s?ut*a([ut]t*a)*$') AS valid,
+       CASE WHEN length(allowed) < length(roles) THEN length(allowed) END AS wrong_turn
+FROM (SELECT *, regexp_extract(roles, '^(s?(u(t|a[ut])*a?)?)?') AS allowed FROM said)
 """
 
 ORACLES = {"op2_mixing": OP2, "op8_chat": OP8}

@@ -14,14 +14,17 @@ responses. An empty table gives archives without records, and these read as no r
 of the table, whatever their names, are ignored.
 
 Scale: one shuffle of the payloads, by their SHA-256 (a hot payload is split by AQE's skew join), and
-one small aggregation. An archive is at most one shuffle partition; the reader holds one archive in
-memory at a time per task, so archives of other origin should be rolled at about 1 GB, as usual.
+one small aggregation. Archives are rolled: after as many records as come to ROLL_BYTES of payload on
+average. The reader holds one archive in memory per task and reads it in linear time, damaged or not;
+archives of other origin may have up to the 2 GB that Spark's `binaryFile` reads. A member or record that
+is larger than MEMBER_BYTES is a gap.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -32,8 +35,14 @@ VERSION = b"WARC/1.1\r\n"
 URN = "urn:lexigrid:page:"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 EPOCH = "2024-01-01T00:00:00Z"
+HEADER_END = b"\r\n\r\n"
 GZIP_MAGIC = b"\x1f\x8b\x08"
 FLUSH_BYTES = 8 << 20
+#: Payload bytes of an archive, some.
+ROLL_BYTES = 512 << 20
+#: The most that a member may inflate to, compressed bytes inflated at once, and the longest header.
+MEMBER_BYTES, SLICE, HEADER_BYTES = 1 << 30, 1 << 16, 1 << 20
+_ZEROS = re.compile(rb"\0*")
 
 RECORD_SCHEMA = (
     "file string, offset long, length long, kind string, reason string, warc_type string, record_id string, "
@@ -122,7 +131,9 @@ def write_warc(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col:
     """Write a record for each row to archives in the new folder `path`."""
     rows = with_revisits(pages, id_col=id_col, url_col=url_col, payload_col=payload_col, min_revisit_bytes=min_revisit_bytes)
     lines = rows.mapInArrow(_members, "line binary")
-    lines.select(F.col("line").cast("string").alias("value")).write.option("lineSep", "\x00").text(path)
+    mean = pages.agg(F.avg(F.coalesce(F.octet_length(payload_col), F.lit(0)))).first()[0] or 0
+    records = max(1, int(ROLL_BYTES / (mean + 1024)))
+    lines.select(F.col("line").cast("string").alias("value")).write.option("lineSep", "\x00").option("maxRecordsPerFile", records).text(path)
     return path
 
 
@@ -130,15 +141,19 @@ class Invalid(Exception):
     """Why bytes aren't a record."""
 
 
-def parse_record(data: bytes, at: int = 0) -> tuple[dict, int]:
-    """The record that begins at `at`, and where it ends. Raises Invalid."""
+def parse_record(data: bytes, at: int = 0, end: int | None = None) -> tuple[dict, int]:
+    """The record that begins at `at`, and where it ends; `end`: of its header, if known. Raises Invalid."""
     if data[at : at + 7] != b"WARC/1.":
         raise Invalid("no version line")
-    if (end := data.find(b"\r\n\r\n", at)) < 0:
+    end = data.find(HEADER_END, at) if end is None else end
+    if not at <= end <= at + HEADER_BYTES:
         raise Invalid("header has no end")
-    fields = {}
-    for line in data[at:end].split(b"\r\n")[1:]:
-        name, colon, value = line.partition(b":")
+    if data[end : end + 4] != HEADER_END:
+        raise Invalid("header has no end")
+    fields, line_end = {}, data.find(b"\r\n", at)
+    while line_end < end:  # line by line, so that a false start ends at its first bad line
+        begin, line_end = line_end + 2, data.find(b"\r\n", line_end + 2)
+        name, colon, value = data[begin:line_end].partition(b":")
         if not colon:
             raise Invalid("bad header line")
         fields[name.strip().lower().decode("latin-1")] = value.strip().decode("utf-8", "replace")
@@ -169,37 +184,50 @@ def parse_record(data: bytes, at: int = 0) -> tuple[dict, int]:
 
 def _member_at(data: bytes, at: int) -> tuple[list[dict], int]:
     """The records of the gzip member that begins at `at`, and where the member ends."""
-    z = zlib.decompressobj(31)
+    z, parts, size, end = zlib.decompressobj(31), [], 0, at
     try:
-        plain = z.decompress(memoryview(data)[at:])
+        while not z.eof and end < len(data):
+            parts.append(z.decompress(data[end : end + SLICE]))
+            end, size = min(end + SLICE, len(data)), size + len(parts[-1])
+            if size > MEMBER_BYTES:
+                raise Invalid("gzip member is too large")
     except zlib.error as e:
         raise Invalid(f"bad gzip member: {e}") from None
     if not z.eof:
         raise Invalid("gzip member has no end")
+    end, plain = end - len(z.unused_data), b"".join(parts)
     found, pos = [], 0
     while pos < len(plain):
         record, pos = parse_record(plain, pos)
         found.append(record)
     if not found:
         raise Invalid("empty gzip member")
-    return found, len(data) - len(z.unused_data)
+    return found, end
 
 
 def salvage(data: bytes) -> Iterator[tuple[str, int, int, str | None, dict]]:
     """(kind, offset, length, reason, record) of everything in an archive, in order; gaps cover all other bytes."""
     at, gap, why = 0, None, None
+    following = dict.fromkeys((GZIP_MAGIC, b"WARC/1.", HEADER_END), -1)  # where each next stands, by `seek`
+
+    def seek(mark: bytes, begin: int) -> int:
+        """Looks for a mark again only once it is passed, so that all searches take one scan."""
+        if following[mark] < begin:
+            place = data.find(mark, begin)
+            following[mark] = place if place >= 0 else len(data)
+        return following[mark]
+
     while at < len(data):
         zipped = data.startswith(GZIP_MAGIC, at)
         try:
-            found, end = _member_at(data, at) if zipped else (lambda r: ([r[0]], r[1]))(parse_record(data, at))
+            found, end = _member_at(data, at) if zipped else (lambda r: ([r[0]], r[1]))(parse_record(data, at, seek(HEADER_END, at)))
         except Invalid as e:
             if gap is None and not data[at : at + 1] == b"\0":
                 gap, why = at, str(e)
             if data[at : at + 1] == b"\0" and gap is None:  # padding between members
-                at = len(data) - len(data[at:].lstrip(b"\0"))
+                at = _ZEROS.match(data, at).end()
                 continue
-            starts = [x for x in (data.find(GZIP_MAGIC, at + 1), data.find(b"WARC/1.", at + 1)) if x >= 0]
-            at = min(starts, default=len(data))
+            at = min(seek(GZIP_MAGIC, at + 1), seek(b"WARC/1.", at + 1))
             continue
         if gap is not None:
             yield "gap", gap, at - gap, why, {}

@@ -134,3 +134,24 @@ def chat(turns):
     said = "".join(f"{r}\n{t}\n" for r, t in turns)
     loss = "".join(t for r, t in turns if r == "assistant")
     return len(turns), hashlib.sha256(said.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest()
+
+
+def answers(counts, accuracy, good, prior, rounds=200):
+    """EM over votes 0, 1 or None by pattern: share of good, and (bad, good, abstain) of each rule on good and on bad."""
+    total, rules = sum(counts.values()), range(len(accuracy))
+    says = lambda j, v: sum(n for p, n in counts.items() if p[j] == v)
+    norm = lambda xs: [x / sum(xs) for x in xs]
+    begin = [[norm([says(j, 0) * x + 0.01, says(j, 1) * y + 0.01, says(j, None) / 2 + 0.01]) for j, a in enumerate(accuracy) for x, y in [(1 - a, a) if side else (a, 1 - a)]] for side in (1, 0)]
+    share, now = good, begin
+    for _ in range(rounds):
+        sums, fine = [[[0.0] * 3 for _ in rules] for _ in (0, 1)], 0.0
+        for p, n in counts.items():
+            of = [2 if v is None else v for v in p]
+            weight = [share * math.prod(now[0][j][v] for j, v in enumerate(of)), (1 - share) * math.prod(now[1][j][v] for j, v in enumerate(of))]
+            for side in (0, 1):
+                for j, v in enumerate(of):
+                    sums[side][j][v] += n * weight[side] / sum(weight)
+            fine += n * weight[0] / sum(weight)
+        share = (fine + prior * good) / (total + prior)
+        now = [[norm([x + prior * b + 0.01 for x, b in zip(sums[side][j], begin[side][j])]) for j in rules] for side in (0, 1)]
+    return share, *now

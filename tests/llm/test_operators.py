@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -75,6 +76,33 @@ def test_salvage(zipped):
     assert list(warc.salvage(b"")) == [] and [k for k, *_ in warc.salvage(b"nothing here")] == ["gap"]
 
 
+def test_salvage_is_linear():
+    made = [warc.gzip_member(warc.page_record(i, None, bytes(np.random.default_rng(i).integers(0, 256, 6000, np.uint8)), None, False)) for i in range(400)]
+    took = []
+    for times in (1, 10):
+        data = b"".join(made) * 10 * times
+        began = time.process_time()
+        assert sum(k == "record" for k, *_ in warc.salvage(data)) == 4000 * times
+        took.append(time.process_time() - began)
+    assert took[1] < 30 * took[0]
+    began = time.process_time()
+    assert len(list(warc.salvage(b"\x1f\x8b\x08 WARC/1.1\r\nx " * 200_000))) == 1 and time.process_time() - began < 60
+
+
+def test_salvage_bounds(monkeypatch):
+    monkeypatch.setattr(warc, "MEMBER_BYTES", 10_000)
+    made = [warc.gzip_member(warc.page_record(i, None, b"y" * n, None, False)) for i, n in enumerate((10, 50_000, 20))]
+    assert [k for k, *_ in warc.salvage(b"".join(made))] == ["record", "gap", "record"]
+
+
+def test_rolled_archives(spark, monkeypatch):
+    monkeypatch.setattr(warc, "ROLL_BYTES", 5_000)
+    df = spark.range(100).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.repeat(F.col("id").cast("string"), 100).alias("html"))
+    path = warc.write_warc(df.coalesce(1), scratch(spark, "t"))
+    assert spark.read.format("binaryFile").load(path).where("length > 0").count() > 10
+    assert warc.page_records(warc.read_warc(spark, path)).where("record_type = 'response'").count() == 100
+
+
 # 2: mixing
 
 
@@ -115,6 +143,26 @@ def test_quality_signals(docs, rows):
     assert whole.where("kept").count() == sum(r["kept"] for r in got) and "text" in whole.columns
 
 
+def test_quality_em(spark):
+    """EM by plain Python gives the same posteriors, and turns a verdict that the rules' first accuracies give."""
+    rng = np.random.default_rng(8)
+    rules = tuple(quality.Rule(n, "false", f"{n} = 1", a) for n, a in (("a", 0.95), ("b", 0.7), ("c", 0.7), ("d", 0.7)))
+    bad = rng.random(4000) < 0.3
+    # a is thought to be right and votes at random; the other three tell the classes apart
+    votes = np.stack([rng.random(4000) < 0.3, *(rng.random(4000) < np.where(bad, 0.8, 0.05) for _ in range(3))], axis=1)
+    counts = Counter(tuple(0 if x else None for x in v) for v in votes.tolist())
+    patterns = spark.createDataFrame([(*v, n) for v, n in counts.items()], "v0 int, v1 int, v2 int, v3 int, n long")
+    fitted = quality.fit(patterns, rules, 0.6)
+    expected = brute.answers(counts, [r.accuracy for r in rules], 0.6, quality.PRIOR)
+    assert fitted.good == pytest.approx(expected[0], abs=1e-4) and np.allclose(np.array([fitted.on_good, fitted.on_bad]), np.array(expected[1:]), atol=1e-4)
+    assert abs(fitted.good - 0.7) < 0.05 and fitted.accuracy(0) < 0.5 < fitted.accuracy(1)
+    before = quality.start([(float(votes[:, j].sum()), 0.0) for j in range(4)], 4000.0, rules, 0.6)
+    alone = patterns.where("v0 = 0 AND v1 IS NULL AND v2 IS NULL AND v3 IS NULL")
+    columns = [F.col(f"v{j}") for j in range(4)]
+    said = alone.select(quality.posterior(columns, before).alias("x"), quality.posterior(columns, fitted).alias("y")).first()
+    assert said["x"] < 0.5 < said["y"]
+
+
 def test_quality_of_nothing(nothing):
     assert quality.judge(nothing, keep=["doc_id"]).count() == 0 and quality.judge(nothing).count() == 0
 
@@ -151,7 +199,7 @@ def test_links_of_crowds(spark, monkeypatch, bucket):
 def test_thresholds_add_up():
     rng = np.random.default_rng(1)
     x = rng.integers(0, 2, (500, 64)).astype(float)
-    for tau in (2, 4):
+    for tau in (2, 3):
         plan = simhash.allocate(500, x.T @ x, tau)
         groups = {tuple(b) for b, _ in plan}
         assert len(groups) == len(plan) and sum(t + 1 for _, t in plan) == tau + 1
@@ -246,19 +294,17 @@ def test_url_models_tell_classes_apart(spark):
     assert sum((r["verdict"] == "allow") == (r["page_id"] % 2 == 1) for r in got) >= 95
 
 
-def test_url_model_is_normalised():
-    grams = defaultdict(list)
-    for u in ("http://a/b", "http://a/c", "http://c/d"):
-        for k in range(urls.ORDER + 1):
-            grams[k].append(urls._grams(u.encode(), k))
-    orders = []
-    for k in range(urls.ORDER + 1):
-        g, n = np.unique(np.concatenate(grams[k]), return_counts=True)
-        c, first, kinds = np.unique(g >> np.uint64(8), return_index=True, return_counts=True)
-        orders.append((g, n.astype(float), c, np.add.reduceat(n.astype(float), first), kinds.astype(float)))
-    before = urls.log_likelihood(orders, b"http://a")
-    last = [np.exp(urls.log_likelihood(orders, b"http://a" + bytes([b])) - urls.log_likelihood(orders, b"http://a" + bytes([b]) + b"")) for b in (47,)]
-    assert np.isfinite(before) and last == [1.0]
+def test_url_model_is_normalised(spark):
+    """After any beginning, the probabilities of all next bytes and of the end sum to 1 or, of bytes that were never seen, less."""
+    rows = [(f"http://{h}/{p}{i}", int(h == "a")) for h in "ab" for p in ("x/", "y-") for i in range(30)]
+    models = urls.fit(spark.createDataFrame(rows, "url string, allowed int"))
+    for orders in models:
+        for begin in (b"", b"http://a/", b"zzz", b"http://b/y-1"):
+            whole = [urls.log_likelihoods(orders, [begin + bytes([b]) for b in range(256)]), urls.log_likelihoods(orders, [begin])]
+            # less the end of each longer text, by the share that it has after that text
+            p = urls.next_probabilities(orders, begin)
+            assert len(p) == 256 and sum(p) == pytest.approx(1.0, abs=1e-9) and all(x > 0 for x in p)
+            assert np.isfinite(whole[0]).all() and whole[1][0] == pytest.approx(np.log(p[10]) + sum(np.log(urls.next_probabilities(orders, begin[:k])[c]) for k, c in enumerate(begin)))
 
 
 # 7: licenses
@@ -295,7 +341,7 @@ def test_chat(spark):
     rows += [(None, 0, "user", "x", 1), (50, None, None, "x", 1), (51, 0, "assistant", "y" * 200_000, 1), (51, 0, "assistant", "y", 1), (51, 0, "assistant", "y", 1)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, formatted int")
     formed = chat.format_conversations(df)
-    back = formed.select("conv_id", "valid", chat.read_back(F.col("formatted")).alias("turns"), chat.loss_text(F.col("segments")).alias("loss"), "formatted").collect()
+    back = formed.select("conv_id", "valid", chat.read_back(F.col("formatted")).alias("turns"), chat.loss_text(F.col("formatted"), F.col("loss_spans")).alias("loss"), "wrong_turn", "formatted").collect()
     by = defaultdict(list)
     for c, t, r, x, _ in rows:
         by[c].append((-1 if t is None else t, r or "", x or ""))
@@ -307,6 +353,8 @@ def test_chat(spark):
         assert r["formatted"].count("<|im_start|>") == len(turns) and "</s>" not in r["formatted"] and "[INST]" not in r["formatted"]
     valid = {r["conv_id"]: r["valid"] for r in back}
     assert valid[1] and not valid[51] and not valid[None]
+    wrong = {r["conv_id"]: r["wrong_turn"] for r in back}
+    assert wrong[51] == 0 and wrong[50] == 0 and wrong[None] is None and all(wrong[c] is None for c in valid if valid[c])
     assert chat.format_conversations(df.where("false")).count() == 0
 
 
