@@ -2,7 +2,9 @@
 
 Counts are discounted by Good-Turing: with r* = (r + 1) n(r+1) / n(r), a count r up to K is multiplied by
 d(r) = (r* / r - A) / (1 - A), where A = (K + 1) n(K+1) / n(1). Where the counts of counts give no
-value between 0 and 1 (small corpora), and above K, half a count is taken off instead. The probability of w
+value between 0 and 1 (small corpora), and above K, half a count is taken off instead: with whole counts above
+K, as Katz has them, a context that is followed by frequent words only would leave nothing for any other, and
+a text that has one there would score minus infinity. The probability of w
 after h is
 
     d(r) r / c(h)                 if the pair was seen r times in training,
@@ -17,7 +19,7 @@ start that is no word; its end is a token.
 How Spark runs it. Tasks cut documents into chunks, whose words become 64-bit hashes, and each chunk
 counts its own words first:
 
-1. chunk vocabularies, in buckets by hash, are summed: the unigram table. Each chunk gets the ids and
+1. chunks' word lists, in buckets by hash, are summed: the unigram table. Each chunk gets the ids and
    totals of its words back;
 2. chunks meet their totals and send each distinct pair once, with counts and the documents it is in, to
    a bucket of its context. A context with more than its share of tokens is split by the pair;
@@ -26,8 +28,8 @@ counts its own words first:
 4. discounts follow from all counts of counts; alphas by context are joined to the unseen pairs, and all
    is summed by document.
 
-So every shuffle is of rows that are aggregated per chunk, in compressed columns; no bucket holds more than
-its share; tables are written to the shared folder, by kind.
+So every shuffle is of rows that are aggregated per chunk, in compressed columns; buckets are as many as the
+counted tokens ask for, and none holds more than its share; tables are written to the shared folder, by kind.
 
 Defined cases. Null text: empty; its only token is the end. Null id: its text for the fold is empty.
 Repeated rows are scored and counted each. Without training documents every token has P = 1, as the unknown
@@ -52,6 +54,8 @@ from lexigrid.llm.hashing import NOT_SPACE, hash_words, mix
 K = 5
 #: Bytes of text in a chunk, but for a last document that goes beyond.
 CHUNK_BYTES = 8 << 20
+#: Tokens that a bucket of pairs should hold; their arrays are some 150 bytes a token.
+BUCKET_TOKENS = 2 << 20
 END = np.uint64(0x6C65786967726964)
 START_ID = 0
 _PLANES = {1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.uint64}
@@ -81,15 +85,15 @@ def held_out(doc_id) -> bool:
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """chunk id, doc ids, which are held out, tokens of each, vocabulary (hashes in order), place of each token in it."""
+    """chunk id, doc ids, which are held out, tokens of each, the chunk's words (hashes in order), place of each token there."""
     seq, ids, blobs, size = 0, [], [], 0
     base = TaskContext.get().partitionId() << 32
 
     def chunk():
         hashes, offsets = hash_words(blobs, NOT_SPACE)
         tokens = np.insert(hashes, offsets[1:], END)
-        vocabulary, place = np.unique(tokens, return_inverse=True)
-        return base + seq, ids, np.array([held_out(i) for i in ids], bool), np.diff(offsets) + 1, vocabulary, place
+        words_of_chunk, place = np.unique(tokens, return_inverse=True)
+        return base + seq, ids, np.array([held_out(i) for i in ids], bool), np.diff(offsets) + 1, words_of_chunk, place
 
     for batch in batches:
         for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
@@ -108,16 +112,16 @@ def _bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
     return ((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
-def _vocabularies(buckets: int):
+def _word_lists(buckets: int):
     """(bucket, chunk, hashes, counts): the chunk's words in the bucket, and how often training documents have them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk, _, held, sizes, vocabulary, place in _chunks(batches):
-            counts = np.bincount(place, weights=np.repeat(~held, sizes), minlength=len(vocabulary)).astype(np.int64)
-            cuts = np.searchsorted(_bucket_of(vocabulary, buckets), np.arange(buckets + 1))
+        for chunk, _, held, sizes, words_of_chunk, place in _chunks(batches):
+            counts = np.bincount(place, weights=np.repeat(~held, sizes), minlength=len(words_of_chunk)).astype(np.int64)
+            cuts = np.searchsorted(_bucket_of(words_of_chunk, buckets), np.arange(buckets + 1))
             some = [b for b in range(buckets) if cuts[b] < cuts[b + 1]]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(some, pa.int64()), pa.array([chunk] * len(some), pa.int64()), pa.array([pack(vocabulary[cuts[b] : cuts[b + 1]]) for b in some], pa.binary()), pa.array([pack(counts[cuts[b] : cuts[b + 1]]) for b in some], pa.binary())],
+                [pa.array(some, pa.int64()), pa.array([chunk] * len(some), pa.int64()), pa.array([pack(words_of_chunk[cuts[b] : cuts[b + 1]]) for b in some], pa.binary()), pa.array([pack(counts[cuts[b] : cuts[b + 1]]) for b in some], pa.binary())],
                 ["bucket", "chunk", "hashes", "counts"],
             )
 
@@ -128,7 +132,7 @@ LEXICON = "kind string, bucket long, chunk long, ids binary, counts binary, toke
 
 
 def _sum_bucket(buckets: int):
-    """Totals of a bucket of the vocabulary: the table itself, its sums, and each chunk's words' ids and totals."""
+    """Totals of a bucket of words: the table itself, its sums, and each chunk's words' ids and totals."""
 
     def run(group: pa.Table) -> pa.Table:
         bucket = group.column("bucket")[0].as_py()
@@ -150,10 +154,10 @@ def _sum_bucket(buckets: int):
 
 
 def _token_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row per chunk: its documents, and the places of their tokens in its vocabulary."""
-    for chunk, ids, held, sizes, vocabulary, place in _chunks(batches):
+    """A row per chunk: its documents, and the places of their tokens among its words."""
+    for chunk, ids, held, sizes, words_of_chunk, place in _chunks(batches):
         yield pa.RecordBatch.from_arrays(
-            [pa.array([chunk], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([pack(held.astype(np.uint8))], pa.binary()), pa.array([pack(sizes)], pa.binary()), pa.array([pack(place)], pa.binary()), pa.array([len(vocabulary)], pa.int64())],
+            [pa.array([chunk], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([pack(held.astype(np.uint8))], pa.binary()), pa.array([pack(sizes)], pa.binary()), pa.array([pack(place)], pa.binary()), pa.array([len(words_of_chunk)], pa.int64())],
             ["chunk", "docs", "held", "sizes", "places", "words"],
         )
 
@@ -330,14 +334,14 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     # 1: unigrams
-    vocabularies = texts.mapInArrow(_vocabularies(4 * parts), "bucket long, chunk long, hashes binary, counts binary")
-    lexicon = written(vocabularies.groupBy("bucket").applyInArrow(_sum_bucket(4 * parts), LEXICON), "katz-unigrams")
+    word_lists = texts.mapInArrow(_word_lists(4 * parts), "bucket long, chunk long, hashes binary, counts binary")
+    lexicon = written(word_lists.groupBy("bucket").applyInArrow(_sum_bucket(4 * parts), LEXICON), "katz-unigrams")
     sums = lexicon.where("kind = 'table'").agg(F.sum("tokens"), F.sum("types"), F.sum("once")).first()
     tokens, types, once = (int(x or 0) for x in sums)
     fold = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(7))
     training_docs = texts.where(fold != 2).count()
     # 2 and 3: bigrams
-    buckets = 2 * parts
+    buckets = max(2 * parts, -(-tokens // BUCKET_TOKENS))
     chunks = texts.mapInArrow(_token_rows, TOKENS)
     words = lexicon.where("kind = 'chunk'").select("chunk", "bucket", "ids", "counts")
     pairs = chunks.groupBy("chunk").cogroup(words.groupBy("chunk")).applyInArrow(_pairs(buckets, tokens, types, training_docs), PAIRS)

@@ -325,6 +325,21 @@ def test_license_suppression(spark):
     assert 200 <= len(licenses.signature_rules()) <= 400
 
 
+def test_license_gate_misses_nothing(spark):
+    """The one expression before the rules changes no result; labels are those of all rules tried one by one."""
+    import re
+
+    rules = licenses.signature_rules()
+    said = ["this source code form is subject to the terms of the mozilla public license v. 2.0", "Released under GPL v2", "http://www.apache.org/licenses/LICENSE-2.0", "Permission is hereby granted, free of charge, to any person obtaining a copy", "in the public domain", "https://creativecommons.org/licenses/by-nc-sa/4.0/", "All rights reserved. 3-clause BSD", "mitigation of apachean boosters", "SPDX-License-Identifier: MIT", "ISC"]
+    got = {r["doc_id"]: r["labels"] for r in licenses.scan_licenses(spark.createDataFrame(list(enumerate(said)), "doc_id long, text string")).collect()}
+    for i, text in enumerate(said):
+        joined = " ".join(brute.LICENSE_WORD.findall(text.translate(brute.LOWER)))
+        found = [(r.priority, m.end() - m.start(), -k, m.start(), m.end(), r.label) for k, r in enumerate(rules) if f" {r.keyword}" in f" {joined} " for m in re.finditer(rf"(?:(?<=^)|(?<= ))(?:{r.pattern})(?= |$)", joined)]
+        left = {d[5] for d in found if not any(e[3] <= d[3] and e[4] >= d[4] and e[:3] > d[:3] for e in found)}
+        assert got[i] == ",".join(sorted(left)), text
+    assert got[7] == "" and got[0] == "mpl-2" and got[5] == "cc-by-nc-sa" and got[8] == "mit"
+
+
 def test_licenses_of_nothing(nothing):
     assert licenses.scan_licenses(nothing).count() == 0
 
