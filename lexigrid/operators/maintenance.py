@@ -64,3 +64,11 @@ def counter_mismatch(stored: DataFrame, log: DataFrame, key: str, counter: str)
     """Rows whose stored counter isn't the number of log rows."""
     counted = log.groupBy(key).agg(F.count("*").alias("actual"))
     return stored.select(key, F.col(counter).alias("stored")).join(counted, key, "left").withColumn("actual", F.coalesce("actual", F.lit(0))).where("stored <> actual")
+
+
+def due_sources(known: DataFrame, runs: DataFrame, source: str, as_of: Column, *, hours: int = 1) -> DataFrame:
+    """source and why (new, failed, old) of those to run: a run that failed is repeated at once, others after some hours."""
+    last = runs.groupBy(source).agg(F.max_by("failed", F.struct("ts", "event_id")).alias("failed"), F.max("ts").alias("last"))
+    old = F.col("last") <= as_of - F.make_interval(hours=F.lit(hours))
+    why = F.when(F.col("last").isNull(), "new").when(F.col("failed"), "failed").when(old, "old")
+    return known.join(last, source, "left").select(source, why.alias("why")).where("why IS NOT NULL")

@@ -47,6 +47,34 @@ def cosine_pairs(items: DataFrame, id_col: str, vector_col: str, threshold: floa
     return met.groupBy("i", "j").applyInPandas(_product(threshold), "a long, b long, score double")
 
 
+def _new_product(threshold: float):
+    def product(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Pairs of a block of new items and one of all items; those of two new ones once."""
+        x = np.stack(pdf["v"].to_numpy()).astype(np.float64)
+        norm = np.linalg.norm(x, axis=1)
+        ok = norm > 0
+        x, ids, new, fresh = x[ok] / norm[ok, None], pdf["id"].to_numpy()[ok], pdf["asks"].to_numpy()[ok], pdf["fresh"].to_numpy()[ok]
+        found = np.argwhere(x[new] @ x[~new].T >= threshold)
+        left, right = ids[new][found[:, 0]], ids[~new][found[:, 1]]
+        score = np.einsum("ij,ij->i", x[new][found[:, 0]], x[~new][found[:, 1]])
+        keep = (left != right) & (~fresh[~new][found[:, 1]] | (left < right))
+        return pd.DataFrame({"a": np.minimum(left, right)[keep], "b": np.maximum(left, right)[keep], "score": score[keep]})
+
+    return product
+
+
+def new_pairs(new: DataFrame, items: DataFrame, id_col: str, vector_col: str, threshold: float) -> DataFrame:
+    """(a, b, score) of the pairs of new items with all items (new ones included), each pair once: a grid of blocks."""
+    n, m = max(1, -(-new.count() // BLOCK)), max(1, -(-items.count() // BLOCK))
+    pick = lambda x: x.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
+    known = pick(items).join(new.select(F.col(id_col).cast("long").alias("id"), F.lit(True).alias("fresh")), "id", "left").withColumn("fresh", F.coalesce("fresh", F.lit(False)))
+    block = lambda k: F.pmod(F.xxhash64("id"), F.lit(k)).cast("int")
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    asks = pick(new).select("id", "v", F.lit(True).alias("asks"), F.lit(True).alias("fresh"), block(n).alias("i"), every(m).alias("j"))
+    answers = known.select("id", "v", F.lit(False).alias("asks"), "fresh", every(n).alias("i"), block(m).alias("j"))
+    return asks.union(answers).groupBy("i", "j").applyInPandas(_new_product(threshold), "a long, b long, score double")
+
+
 def symmetric(edges: DataFrame) -> DataFrame:
     """(src, dst, score): each edge in both directions, so that a neighbour lookup is an equi-join."""
     return edges.select(F.col("a").alias("src"), F.col("b").alias("dst"), "score").union(edges.select(F.col("b").alias("src"), F.col("a").alias("dst"), "score"))
