@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from lexigrid.functions import phonetic
+
 #: Rows of a block of the all-pairs product; a task holds two blocks.
 BLOCK = 2_000
 
@@ -139,3 +143,39 @@ def jaccard_pairs(texts: DataFrame, id_col: str, text_col: str, above: float) ->
     left, right = words.select(F.col("id").alias("a"), F.col("words").alias("wa")), words.select(F.col("id").alias("b"), F.col("words").alias("wb"))
     score = F.size(F.array_intersect("wa", "wb")) / F.size(F.array_union("wa", "wb"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", score.alias("jaccard")).where(F.col("jaccard") > above)
+
+
+def sound_pairs(words: DataFrame, threshold: float) -> DataFrame:
+    """(l, r, by_phonemes) of all pairs of words whose likeness by phonemes reaches the threshold, which is above 0.7.
+
+    words: word, phonemes, stress, syllables. Without any agreement of their ends, two words reach 0.7 at most, and with
+    m of the last three phonemes alike 0.7 + 0.1 m, less if they differ anywhere. So pairs meet under as many equal
+    places as the threshold asks for, and none is lost; words with fewer than three phonemes meet all others that
+    share one. Bounds by length and by the sets of letters, of which an edit changes two at most, come before
+    the edit distance, and that before the rest of the formula.
+    """
+    if threshold <= 0.7:
+        raise ValueError("below 0.7 the ends of words say nothing; compare blocks of words instead")
+    least = next((m for m in (1, 2, 3) if 0.7 + 0.1 * m > threshold + 1e-9), 3)
+    sized = words.withColumn("size", F.size("phonemes")).withColumns({f"e{k}": F.coalesce(F.element_at("phonemes", F.when(F.col("size") >= k, -k)), F.lit("")) for k in (1, 2, 3)})
+    bit = lambda m, x: m.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.ascii(x), F.lit(64))))
+    sized = sized.withColumn("sound", F.array_join("phonemes", "")).withColumn("letters", F.aggregate(F.split("sound", ""), F.lit(0).cast("long"), bit))
+    whole = F.struct("word", "phonemes", "stress", "syllables", "size", "sound", "e1", "e2", "e3", "letters")
+    parts = 4 * int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # asked for, as the rows are few and the work is not
+    key = lambda places: F.concat_ws("\u0001", F.lit("".join(map(str, places))), *(f"e{k}" for k in places))
+    long, short = sized.where("size >= 3"), sized.where("size BETWEEN 1 AND 2")
+    keys = lambda x, n: x.select(F.explode(F.array(*(key(p) for p in combinations((1, 2, 3), n)))).alias("key"), whole.alias("w")).repartition(parts, "key")
+    c, far = F.col, lambda a, b: F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b))
+    agree = sum(((c(f"l.e{k}") == c(f"r.e{k}")) & (c(f"l.e{k}") != "")).cast("int") for k in (1, 2, 3))
+    ends = agree / F.least(c("l.size"), c("r.size"), F.lit(3))
+    syllabic = phonetic.syllable_similarity(c("l.syllables"), c("r.syllables"))
+    room = 0.2 + 0.3 * ends + 0.1 * syllabic - (threshold - 1e-9)  # what the distance may take, with all stress alike
+    by_length = 1 - F.abs(F.length("l.sound") - F.length("r.sound")) / F.greatest(F.length("l.sound"), F.length("r.sound"))
+    by_letters = 1 - F.bit_count(c("l.letters").bitwiseXOR(c("r.letters"))) / (2 * F.greatest(F.length("l.sound"), F.length("r.sound")))
+    score = phonetic.overall(far(c("l.sound"), c("r.sound")), phonetic.stress_similarity(c("l.stress"), c("r.stress")), ends, syllabic)
+    fit = (c("l.word") < c("r.word")) & (0.4 * by_length + room >= 0) & (0.4 * by_letters + room >= 0) & (0.4 * (1 - far(c("l.sound"), c("r.sound"))) + room >= 0) & (score >= threshold - 1e-9)
+    met = lambda a, b: a.select("key", c("w").alias("l")).join(b.select("key", c("w").alias("r")), "key").where(fit).select("l", "r")
+    one = keys(short, 1)
+    every = keys(sized.where("size >= 1"), 1)
+    found = met(keys(long, least), keys(long, least)).union(met(one, every)).union(met(every, one))
+    return found.dropDuplicates(["l", "r"]).select("l", "r", score.alias("by_phonemes"))

@@ -229,7 +229,7 @@ FORMS = " || ".join(f"CASE WHEN regexp_matches(term, '(?i){p}') THEN '{n},' ELSE
 COUNTS = " + ".join(f"CAST(regexp_matches(word, '(?i){p}') AS INT)" for _, p in scores.MORPHOLOGY)
 _M = {n: f"regexp_matches(word, '(?i){p}')" for n, p in scores.MORPHOLOGY}
 SYLLABLES = "greatest(len(regexp_extract_all(lower(term), '[aeiouy]+')) - CASE WHEN suffix(lower(term), 'e') AND len(regexp_extract_all(lower(term), '[aeiouy]+')) > 1 THEN 1 ELSE 0 END + CASE WHEN regexp_matches(lower(term), '[^aeiouy]le$') THEN 1 ELSE 0 END, 1)"
-FOREIGN = ", ".join(f"'{w}'" for w in sorted(set(text.FOREIGN.split())))
+FOREIGN = ", ".join(f"'{w}'" for w in sorted(set(text.FOREIGN)))
 #: DuckDB's levenshtein counts bytes
 _ASCII = "translate({}, 'äöüßéèêçíóñáúàâîôûëïœ', '0123456789!#$%&()*+-/')"
 COMPOSITE_Z = "CASE WHEN {c} > 0 THEN log10({c} + 9) END"

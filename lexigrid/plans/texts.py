@@ -22,6 +22,10 @@ RULES = [
     ("spanish", 0.6, ["ción", "ado", "miento"], ["the "]),
 ]
 THRESHOLD = 0.3
+#: Bound of the labelled sample that a classifier learns from, in documents.
+LEARNT = 1_000
+#: How alike two words have to sound.
+SOUND = 0.9
 
 
 def _benchmark(spark: SparkSession, d: str) -> DataFrame:
@@ -99,22 +103,26 @@ def levenshtein_pairs(spark, d):
     return met.select("a", "b", F.round(F.levenshtein("a", "b") / F.greatest(F.length("a"), F.length("b")), 9).alias("distance"))
 
 
-def _sounds(spark, d):
-    """Words of the benchmark, letters as phonemes, vowels stressed in turn."""
-    t = tokens(_benchmark(spark, d), "item_id").select("word").where(F.col("word").rlike("^[a-z]{5,}$")).distinct()
+def _with_sounds(words):
+    """Letters as phonemes, vowels stressed in turn."""
     letters = F.filter(F.split("word", ""), lambda c: c != "")
-    return t.select("word", letters.alias("phonemes"), F.translate(F.regexp_replace("word", "[^aeiou]", ""), "aeiou", "12010").alias("stress"), F.regexp_count("word", F.lit("[aeiou]+")).alias("syllables"), F.col("word").alias("ipa"))
+    return words.select("word", letters.alias("phonemes"), F.translate(F.regexp_replace("word", "[^aeiou]", ""), "aeiou", "12010").alias("stress"), F.regexp_count("word", F.lit("[aeiou]+")).alias("syllables"))
+
+
+def _sounds(spark, d):
+    return _with_sounds(tokens(_benchmark(spark, d), "item_id").select("word").where(F.col("word").rlike("^[a-z]{5,}$")).distinct())
+
+
+def _lexicon_sounds(spark, d):
+    return _with_sounds(tokens(table(spark, d, "documents"), "doc_id").select("word").where(F.col("word").rlike("^[a-z]{5,}$")).distinct())
 
 
 def phonetic_pairs(spark, d):
-    """All three likenesses of words that end alike."""
-    s = _sounds(spark, d)
-    key = F.right("word", F.lit(3))
-    a, b = (s.select(F.struct(*s.columns).alias(n), key.alias("k")) for n in ("l", "r"))
-    met = a.join(b, "k").where("l.word < r.word")
-    side = lambda n: {c: F.col(f"{n}.{c}") for c in s.columns}
-    scores = [f(side("l"), side("r")) for f in (phonetic.similarity, phonetic.similarity_fixed, phonetic.similarity_characters)]
-    return met.select(F.col("l.word").alias("a"), F.col("r.word").alias("b"), *(F.round(v, 6).alias(n) for v, n in zip(scores, ("by_phonemes", "by_vectors", "by_characters"), strict=True)))
+    """All pairs of the documents' words that sound alike to 0.9, with all three likenesses; letters as phonemes."""
+    found = pairs.sound_pairs(written(_lexicon_sounds(spark, d), "sounds"), SOUND)
+    side = lambda n: {c: F.col(f"{n}.{c}") for c in ("phonemes", "stress", "syllables")} | {"ipa": F.col(f"{n}.word")}
+    others = [f(side("l"), side("r")) for f in (phonetic.similarity_fixed, phonetic.similarity_characters)]
+    return found.select(F.col("l.word").alias("a"), F.col("r.word").alias("b"), F.round("by_phonemes", 6).alias("by_phonemes"), *(F.round(v, 6).alias(n) for v, n in zip(others, ("by_vectors", "by_characters"), strict=True)))
 
 
 def syllable_similarity(spark, d):
@@ -151,7 +159,7 @@ def canonical_pos(spark, d):
 
 
 def obsolete(spark, d):
-    return table(spark, d, "documents").select("doc_id", text.obsolescence(F.concat_ws(" ", F.when(F.col("doc_id") % 5 == 0, "updated"), F.when(F.col("doc_id") % 7 == 0, "Obsolete"), F.when(F.col("doc_id") % 3 == 0, "[Obs.]"), F.substring("text", 1, 50))).alias("level"))
+    return table(spark, d, "documents").select("doc_id", text.obsolescence(F.col("text")).alias("level"))
 
 
 def circular_correction(spark, d):
@@ -239,8 +247,9 @@ def dense_groups(spark, d):
 
 
 def pos_classifier(spark, d):
-    """The language of benchmark items, learnt from documents' first 200 characters with labels."""
-    docs = table(spark, d, "documents").join(table(spark, d, "labels").select("doc_id"), "doc_id", "left_semi").select(F.substring("text", 1, 200).alias("text"), "lang")
+    """The language of benchmark items, learnt from whole labelled documents, some LEARNT of them."""
+    docs = table(spark, d, "documents").join(table(spark, d, "labels").select("doc_id"), "doc_id", "left_semi").select("text", "lang")
+    docs = docs.sample(min(1.0, LEARNT / max(docs.count(), 1)), 3)
     return models.text_classes(docs, _benchmark(spark, d).select("item_id", "text"), "text", "lang").select("item_id", "lang", F.round("probability", 4).alias("probability"))
 
 
@@ -309,9 +318,24 @@ _VOTES = ", ".join(f"({_hits(k)}) AS v{i}" for i, (_, _, k, _) in enumerate(RULE
 DOMAIN_ROWS = " UNION ALL ".join(f"SELECT doc_id AS id, {i} AS place, '{n}' AS domain, greatest({w}::DOUBLE * ({_hits(k)}) - {w}::DOUBLE / 2 * ({_hits(g)}), 0) AS raw FROM t" for i, (n, w, k, g) in enumerate(RULES))
 SCORED = rf"WITH t AS (SELECT doc_id, regexp_replace(lower(text), '[^\p{{L}}\p{{N}}\s\-]', ' ', 'g') AS t FROM documents) SELECT id, place, domain, raw, 1 - exp(-raw) AS score FROM ({DOMAIN_ROWS})"
 _POS = reduce(lambda a, b: a + b, ([f"WHEN {' OR '.join(f'''contains(h, '{m}')''' for m in marks)} THEN '{p}'" for p, marks in text.POS_MARKS], [f"WHEN {' OR '.join(f'''contains(d, '{m}')''' for m in phrases)} THEN '{p}'" for p, phrases in text.POS_PHRASES]))
-_STARTS = [f"WHEN starts_with(d, '{s}') THEN '{p}'" for s, p in text.DEFINITION_STARTS] + [f"WHEN contains(d, '{s}') THEN '{p}'" for s, p in text.DEFINITION_PARTS] + ["WHEN (starts_with(d, 'in a ') OR starts_with(d, 'in an ')) AND (contains(d, ' manner') OR contains(d, ' way')) THEN 'ADVERB'"] + [f"WHEN suffix(w, '{e}') AND length(w) > {len(e)} THEN '{p}'" for p, ends in text.TERM_ENDINGS for e in ends.split()]
+_STARTS = [f"WHEN starts_with(d, '{s}') THEN '{p}'" for s, p in text.DEFINITION_STARTS] + [f"WHEN contains(d, '{s}') THEN '{p}'" for s, p in text.DEFINITION_PARTS] + ["WHEN (starts_with(d, 'in a ') OR starts_with(d, 'in an ')) AND (contains(d, ' manner') OR contains(d, ' way')) THEN 'ADVERB'"] + [f"WHEN suffix(w, '{e}') AND length(w) > {len(e)} THEN '{p}'" for p, ends in text.TERM_ENDINGS for e in ends]
 _DELIMITED = " ".join(f"WHEN contains(text, '{d}') THEN [trim(substring(text, 1, instr(text, '{d}') - 1), ' '), trim(substring(text, instr(text, '{d}') + {len(d)}), ' ')]" for d in text.DELIMITERS)
 
+_AGREE = lambda a, b, n: f"list_sum(list_transform(range(1, {n} + 1), lambda i: CAST(substring({a}, i, 1) = substring({b}, i, 1) AS INT)))"
+_VECTOR = lambda s: f"list_transform(range(1, 21), lambda i: CASE substring({s}, i, 1) WHEN '1' THEN 1.0::DOUBLE WHEN '2' THEN 0.5 ELSE 0.0 END)"
+SOUND_PAIRS = rf"""
+WITH w AS (SELECT DISTINCT word FROM (SELECT regexp_replace(unnest(string_split_regex(lower(text), '[ \t\n\r\f]+')), '[^\p{{L}}]', '', 'g') AS word FROM documents) WHERE regexp_matches(word, '^[a-z]{{5,}}$')),
+s AS (SELECT word, right(word, 3) AS tail, translate(regexp_replace(word, '[^aeiou]', '', 'g'), 'aeiou', '12010') AS st, len(regexp_extract_all(word, '[aeiou]+')) AS sy, length(word) AS n FROM w),
+p AS (SELECT a.word AS a, b.word AS b, a.st AS p, b.st AS q, greatest(length(a.st), length(b.st)) AS m, least(length(a.st), length(b.st)) AS k, 1 - levenshtein(a.word, b.word) / greatest(a.n, b.n) AS near,
+        CASE WHEN greatest(a.sy, b.sy) = 0 THEN 1 ELSE 1 - abs(a.sy - b.sy) / greatest(a.sy, b.sy) END AS sy, CASE WHEN a.sy = 0 OR b.sy = 0 THEN 0 ELSE 1 - abs(a.sy - b.sy) / greatest(a.sy, b.sy) END AS sz
+      FROM s a JOIN s b ON a.tail = b.tail AND a.word < b.word AND 0.4 * (1 - levenshtein(a.word, b.word) / greatest(a.n, b.n)) + 0.6 >= {SOUND} - 1e-9),
+f AS (SELECT *, 0.4 * near + 0.2 * CASE WHEN k = 0 THEN 0 ELSE {_AGREE("rpad(p, CAST(m AS INT), '0')", "rpad(q, CAST(m AS INT), '0')", "m")} / m END + 0.3 + 0.1 * sy AS sound FROM p)
+SELECT a, b, round(sound, 6) AS by_phonemes,
+  round(0.4 * {_AGREE("a", "b", "20")} / 20 + 0.2 * coalesce(CASE WHEN list_sum({_VECTOR("p")}) > 0 AND list_sum({_VECTOR("q")}) > 0 THEN list_cosine_similarity({_VECTOR("p")}, {_VECTOR("q")}) END, 0) + 0.3 + 0.1 * sy, 6) AS by_vectors,
+  round(0.4 * near + 0.2 * CASE WHEN k = 0 THEN 0 ELSE {_AGREE("p", "q", "k")} / m END + 0.3 + 0.1 * sz, 6) AS by_characters
+FROM f WHERE sound >= {SOUND} - 1e-9
+"""
+
 ORACLES = {
     "cosine_pairs": f"SELECT a, b, round(score, 6) AS score FROM ({EDGES})",
     "neighbours_topk": f"SELECT src, dst, round(score, 6) AS score, place FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY score DESC, dst) AS place FROM ({BOTH})) WHERE place <= 3",
@@ -326,13 +350,15 @@ ORACLES = {
     "jaccard_pairs": r"WITH w AS (SELECT item_id, list_distinct(list_filter(string_split_regex(lower(text), '[ \t\n\r\f]+'), lambda x: x <> '')) AS s FROM benchmark) SELECT * FROM (SELECT a.item_id AS a, b.item_id AS b, round(len(list_intersect(a.s, b.s)) / len(list_distinct(list_concat(a.s, b.s))), 9) AS jaccard FROM w a JOIN w b ON a.item_id < b.item_id) WHERE jaccard > 0.1",
     "levenshtein_pairs": f"WITH t AS (SELECT DISTINCT word FROM ({BWORDS}) WHERE regexp_matches(word, '^[a-z]{{4,}}$')) SELECT a.word AS a, b.word AS b, round(levenshtein(a.word, b.word) / greatest(length(a.word), length(b.word)), 9) AS distance FROM t a JOIN t b ON a.word < b.word AND substring(a.word, 1, 4) = substring(b.word, 1, 4)",
     "syllable_similarity": f"WITH s AS ({SOUNDS}) SELECT a.word AS a, b.word AS b, round(CASE WHEN greatest(a.syllables, b.syllables) = 0 THEN 1 ELSE 1 - abs(a.syllables - b.syllables) / greatest(a.syllables, b.syllables) END, 9) AS similarity FROM s a JOIN s b ON a.word < b.word AND substring(a.word, 1, 3) = substring(b.word, 1, 3)",
+    "phonetic_pairs": SOUND_PAIRS,
+    "url_keys": r"SELECT page_id, sha256(url) AS key, regexp_replace(lower(h) || substring(x, length(h) + 1), '/$', '') AS normal FROM (SELECT page_id, url, x, regexp_extract(x, '^([A-Za-z]+://[^/?]*)', 1) AS h FROM (SELECT page_id, url, regexp_replace(regexp_replace(regexp_replace(url, '#.*$', ''), '([?&])utm_[a-z]+=[^&]*', '\1', 'g'), '[?&]+$', '') AS x FROM pages))",
     "clean_text": f"SELECT conv_id, turn, {CLEAN.format('text')} AS cleaned FROM ({SAID})",
     "clean_definition": rf"SELECT conv_id, turn, CASE WHEN length(x) > 100 THEN rtrim(substring(x, 1, 100)) || '...' ELSE x END AS definition FROM (SELECT conv_id, turn, regexp_replace(regexp_replace({CLEAN.format("concat('- n. ', text)")}, '^[\-:.–—] *', ''), '(?i)^(\(?)(n|v|adj|adv)\.?\)? *[:,\-]? *', '') AS x FROM ({SAID}))",
     "split_definition": rf"SELECT page_id, length(p[1]) AS left, length(p[2]) AS right, length(trim(p[1])) BETWEEN 2 AND 64 AND regexp_matches(p[1], '^[A-Za-z][A-Za-z ''\-()]*[A-Za-z)]$') AS is_term FROM (SELECT page_id, CASE {_DELIMITED} END AS p FROM (SELECT page_id, url AS text FROM pages)) WHERE p IS NOT NULL",
     "pos_rules": rf"SELECT conv_id, turn, CASE WHEN d <> '' THEN CASE {' '.join(_STARTS)} END END AS pos FROM (SELECT conv_id, turn, lower(regexp_extract(text, '(\p{{L}}+)[^\p{{L}}]*$', 1)) AS w, lower(ltrim(regexp_replace(trim(text), '^(\([^)]*\) *)+', ''))) AS d FROM ({SAID}))",
     "pos_impute": f"SELECT conv_id, turn, CASE WHEN d = '' THEN NULL {' '.join(_POS)} ELSE 'NOUN' END AS pos FROM (SELECT conv_id, turn, lower(text) AS d, substring(lower(text), 1, 20) AS h FROM ({SAID}))",
     "canonical_pos": "SELECT conv_id, turn, CASE WHEN role = 'user' THEN 'user' ELSE 'verb' END AS pos FROM conversations",
-    "obsolete": r"SELECT doc_id, CASE WHEN regexp_matches(t, '(?i)obsolete|archaic|no longer|antiquated') OR regexp_matches(t, '\[Obs\.?\]') THEN 'high' WHEN regexp_matches(t, '(?i)dated|formerly') THEN 'medium' ELSE 'none' END AS level FROM (SELECT doc_id, concat_ws(' ', CASE WHEN doc_id % 5 = 0 THEN 'updated' END, CASE WHEN doc_id % 7 = 0 THEN 'Obsolete' END, CASE WHEN doc_id % 3 = 0 THEN '[Obs.]' END, substring(text, 1, 50)) AS t FROM documents)",
+    "obsolete": r"SELECT doc_id, CASE WHEN regexp_matches(t, '(?i)obsolete|archaic|no longer|antiquated') OR regexp_matches(t, '\[Obs\.?\]') THEN 'high' WHEN regexp_matches(t, '(?i)dated|formerly') THEN 'medium' ELSE 'none' END AS level FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)",
     "sense_split": rf"SELECT conv_id, turn, len(s) AS senses, concat('(NOUN) ', CASE WHEN len(s) > 1 THEN array_to_string(list_transform(s, lambda x, i: concat(i, '. ', x)), ' ') ELSE array_to_string(s, ' ') END) AS composed FROM (SELECT conv_id, turn, list_filter(list_transform(string_split_regex(regexp_replace(text, '\.[ \n]', '; ', 'g'), '[;|]|[0-9]+\.'), lambda x: trim(regexp_replace(x, '[ \t\n\r\f]+', ' ', 'g'))), lambda x: length(x) > 5) AS s FROM ({SAID}))",
     "ascii_punctuation": f"SELECT conv_id, turn, sha256(replace(translate(concat('“', text, '…”'), '‘’“”–—', '''''\"\"--'), '…', '...')) AS digest FROM ({SAID})",
     "same_host_links": r"""SELECT page_id, count(*) AS links, count(DISTINCT link) AS distinct_links FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]+)"', 1)) AS link FROM pages) WHERE NOT regexp_matches(link, '(?i)login|signup|\.pdf|\.jpg|mailto:|javascript:|#|[,.]$') GROUP BY 1""",

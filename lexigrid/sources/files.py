@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+
+from lexigrid.sources.tables import written
 
 
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -52,9 +54,18 @@ def mean_zipf(ngrams: DataFrame, totals: DataFrame, alpha: float = 1e-6) -> Data
 
 
 def read_vectors(spark: SparkSession, path: str, most: int = 500_000) -> DataFrame:
-    """word, rank from a text file of word vectors in order of frequency; the least rank of equal words, header left out."""
-    lines = spark.read.text(path).select(F.split("value", " ", 2)[0].alias("word"), F.monotonically_increasing_id().alias("at"), F.size(F.split("value", " ")).alias("n"))
-    return lines.where("n > 2").groupBy(F.lower("word").alias("word")).agg(F.min("at").alias("rank")).where(F.col("rank") <= most)
+    """word, rank from text files of word vectors in order of frequency; the least rank of equal words, header left out.
+
+    Ranks count lines over all partitions: a line's place in its partition, after the lines of those before it.
+    """
+    words = spark.read.text(path).select(F.split("value", " ", 2)[0].alias("word"), F.size(F.split("value", " ")).alias("n")).where("n > 2")
+    lines = written(words.select("word", F.monotonically_increasing_id().alias("id")), "vector-words")
+    part, place = F.shiftright("id", 33), F.col("id").bitwiseAND((1 << 33) - 1)
+    sizes = lines.groupBy(part.alias("part")).agg((F.max(place) + 1).alias("size"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row per partition
+    offsets = sizes.select("part", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("offset"))
+    ranked = lines.join(F.broadcast(offsets), part == F.col("part")).select(F.lower("word").alias("word"), (F.col("offset") + place + 1).alias("rank"))
+    return ranked.where(F.col("rank") <= most).groupBy("word").agg(F.min("rank").alias("rank"))
 
 
 def read_dump(spark: SparkSession, path: str) -> DataFrame:

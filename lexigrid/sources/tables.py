@@ -21,9 +21,13 @@ def _own_folder() -> str:
 def scratch(spark: SparkSession, tag: str) -> str:
     """A new folder name below the cluster's shared folder, spark.checkpoint.dir of the session.
 
-    Only where that is unset, as in tests, is a temporary folder of this machine used.
+    Only on a local master, where it may be unset, is a temporary folder of this machine used.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = _own_folder()
     return f"{base.rstrip('/')}/lexigrid/{tag}-{uuid.uuid4().hex}"
 
 
