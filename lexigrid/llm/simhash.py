@@ -59,8 +59,8 @@ ORDER_DOCS = 50_000
 WANTED = 1_000_000
 #: Texts of a key in a block.
 CELL = 256
-#: Bytes of text of the pairs that are verified at once.
-VERIFY_BYTES = 8 << 20
+#: Bytes of text that are described or verified at once.
+VERIFY_BYTES = 4 << 20
 #: Words of 64 marks that a text has for its shingles.
 LANES = 8
 MARK_NAMES = [f"m{k}" for k in range(LANES)]
@@ -301,6 +301,14 @@ def shingle_order(texts: DataFrame, shingle: int, seed: int) -> np.ndarray:
     return out.ravel()
 
 
+def _slices(batch: pa.RecordBatch, columns: tuple[int, ...]) -> Iterator[pa.RecordBatch]:
+    """Slices whose texts in these columns come to some VERIFY_BYTES."""
+    sizes = np.cumsum(sum(pc.fill_null(pc.binary_length(batch.column(k)), 0).to_numpy(zero_copy_only=False) for k in columns))
+    ends = np.append(np.flatnonzero(np.diff(sizes // VERIFY_BYTES)) + 1, batch.num_rows)
+    for begin, end in zip([0, *ends[:-1]], ends, strict=True):
+        yield batch.slice(begin, end - begin)
+
+
 def _describe(shingle: int, similarity: float, seed: int, order):
     """__fp, __digest of the word sequence, __n distinct shingles, __prefix: the rarest of them, and __marks.
 
@@ -310,7 +318,7 @@ def _describe(shingle: int, similarity: float, seed: int, order):
     """
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in _slices(whole, (whole.num_columns - 1,))):
             texts = batch.column(batch.schema.get_field_index("__text")).to_pylist()
             fps, digests, sizes, prefixes, marks = [], [], [], [], []
             for text, (own, found) in zip(texts, _shingle_sets(texts, shingle), strict=True):
@@ -331,24 +339,20 @@ def _describe(shingle: int, similarity: float, seed: int, order):
 
 
 def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, r, n, at): a row for each shingle of a prefix, and its place there."""
+    """(key, r): a row for each shingle of a prefix."""
     for batch in batches:
         for begin in range(0, batch.num_rows, 1024):
             part = batch.slice(begin, 1024)
-            found = [np.frombuffer(x, np.int64) for x in part.column(2).to_pylist()]
-            sizes = [len(x) for x in found]
-            r, n = (np.repeat(part.column(k).to_numpy(zero_copy_only=False), sizes) for k in (0, 1))
-            at = np.concatenate([np.arange(k) for k in sizes])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(r), pa.array(n.astype(np.int32)), pa.array(at.astype(np.int32))], ["key", "r", "n", "at"])
+            found = [np.frombuffer(x, np.int64) for x in part.column(1).to_pylist()]
+            r = np.repeat(part.column(0).to_numpy(zero_copy_only=False), [len(x) for x in found])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(r)], ["key", "r"])
 
 
 def _may_be_alike(similarity: float, x: str, y: str):
-    """Whether sets of these sizes and marks whose first common shingle has these places can have the similarity."""
-    n, at, m, to = (F.col(f"{s}.{c}") for s in (x, y) for c in ("n", "at"))
-    most = F.lit(1) + F.least(n - at - 1, m - to - 1)
+    """Whether sets of these sizes and marks can have the similarity."""
+    n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
     apart = reduce(add, (F.bit_count(F.col(f"{x}.marks.{k}").bitwiseXOR(F.col(f"{y}.marks.{k}"))) for k in MARK_NAMES))
-    fit = (F.least(n, m) >= similarity * F.greatest(n, m) - 1e-6) & (most >= similarity / (1 + similarity) * (n + m) - 1e-6)
-    return fit & (apart <= (1 - similarity) / (1 + similarity) * (n + m) + 1e-6)
+    return (F.least(n, m) >= similarity * F.greatest(n, m) - 1e-6) & (apart <= (1 - similarity) / (1 + similarity) * (n + m) + 1e-6)
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -356,20 +360,12 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both) if len(a) + len(b) else 1.0
 
 
-def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Slices whose texts (columns 2 and 3) come to some VERIFY_BYTES."""
-    sizes = np.cumsum(sum(pc.fill_null(pc.binary_length(batch.column(k)), 0).to_numpy(zero_copy_only=False) for k in (2, 3)))
-    ends = np.append(np.flatnonzero(np.diff(sizes // VERIFY_BYTES)) + 1, batch.num_rows)
-    for begin, end in zip([0, *ends[:-1]], ends, strict=True):
-        yield batch.slice(begin, end - begin)
-
-
 def _alike(shingle: int, similarity: float):
     """Pairs (a, b) whose whole texts have the similarity."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in _slices(batch):
+            for part in _slices(batch, (2, 3)):
                 x, y = ((f for _, f in _shingle_sets(part.column(k).to_pylist(), shingle)) for k in (2, 3))
                 good = [jaccard(a, b) >= similarity for a, b in zip(x, y, strict=True)]
                 yield part.filter(pa.array(good, pa.bool_())).select(["a", "b"])
@@ -377,26 +373,26 @@ def _alike(shingle: int, similarity: float):
     return check
 
 
-def _to_hubs(met: DataFrame, similarity: float) -> DataFrame:
-    """(x, y): each text y with a hub, that with which it shares most keys.
+def _to_hubs(met: DataFrame, central: DataFrame, similarity: float) -> DataFrame:
+    """(x, y): each text y with a hub, that with which it shares most keys of those that may be alike.
 
     A key's hub is the text that shares most of its own keys with others: of copies with edits that is the one
     that has none, if it is there.
     """
     c, w = F.col, Window.partitionBy("key")
-    t = F.struct(-c("shared"), "r", "n", "at", "marks")
-    both = met.select("key", t.alias("t")).withColumn("hub", F.min("t").over(w)).where(c("t.r") != c("hub.r"))
-    counted = both.where(_may_be_alike(similarity, "t", "hub")).groupBy(c("t.r").alias("r"), c("hub.r").alias("x")).agg(F.count("*").alias("common"))
-    return counted.groupBy("r").agg(F.max(F.struct("common", -c("x"), "x"))["x"].alias("x")).select("x", c("r").alias("y"))
+    ranked = met.join(central.select("r", "shared"), "r").withColumn("hub", F.min(F.struct(-c("shared"), "r")).over(w)["r"])
+    counted = ranked.where("r <> hub").groupBy("r", "hub").agg(F.count("*").alias("common"))
+    of = lambda name: central.select(c("r").alias(name), F.struct("n", "marks").alias(f"{name}_is"))
+    fit = counted.join(of("r"), "r").join(of("hub"), "hub").where(_may_be_alike(similarity, "r_is", "hub_is"))
+    return fit.groupBy("r").agg(F.max(F.struct("common", -c("hub"), "hub"))["hub"].alias("x")).select("x", c("r").alias("y"))
 
 
-def _across_components(met: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+def _across_components(met: DataFrame, central: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
     """(x, y): texts of different components that meet under a key and may be alike. Crowded keys are compared in blocks."""
     c = F.col
-    known = met.join(roots.select(c("node").alias("r"), "root"), "r", "left")
-    rooted = known.select("key", F.struct("r", "n", "at", F.coalesce("root", "r").alias("root"), "marks").alias("t"))
-    split = rooted.groupBy("key").agg(F.count("*").alias("rows"), F.min("t.root").alias("low"), F.max("t.root").alias("high")).where("low < high").select("key", F.ceil(F.col("rows") / CELL).cast("int").alias("blocks"))
-    own = rooted.join(split, "key").withColumn("s", F.pmod(F.xxhash64("t.r"), c("blocks")).cast("int"))
+    rooted = met.join(roots.select(c("node").alias("r"), "root"), "r", "left").select("key", "r", F.coalesce("root", "r").alias("root"))
+    split = rooted.groupBy("key").agg(F.count("*").alias("rows"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key", F.ceil(c("rows") / CELL).cast("int").alias("blocks"))
+    own = rooted.join(split, "key").join(central, "r").select("key", "blocks", F.struct("r", "n", "root", "marks").alias("t"), F.pmod(F.xxhash64("r"), c("blocks")).cast("int").alias("s"))
     cells = own.withColumn("o", F.explode(F.sequence(F.lit(0), c("blocks") - 1))).select("key", F.least("s", "o").alias("i"), F.greatest("s", "o").alias("j"), "t", "s")
     left, right = cells.select("key", "i", "j", c("t").alias("x"), c("s").alias("x_s")), cells.select("key", "i", "j", c("t").alias("y"), c("s").alias("y_s"))
     once = (c("x.r") < c("y.r")) & (c("x.root") != c("y.root")) & (F.least("x_s", "y_s") == c("i")) & (F.greatest("x_s", "y_s") == c("j"))
@@ -424,7 +420,7 @@ def drop_near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     across = links(heads.select("fp")).join(heads.toDF("a", "x"), "a").join(heads.toDF("b", "y"), "b")
     within = texts.join(heads, "fp").where("first.row <> head.row").select(F.col("head").alias("x"), F.col("first").alias("y"))
     near = across.select("x", "y").union(within).where(sized).select(F.col("x.row").alias("x"), F.col("y.row").alias("y"))
-    keys = rows.join(texts.select(F.col("first.row").alias("__row")), "__row", "left_semi").where("__n > 0").select("__row", "__n", "__prefix").mapInArrow(_spread, "key long, r long, n int, at int")
+    keys = rows.join(texts.select(F.col("first.row").alias("__row")), "__row", "left_semi").where("__n > 0").select("__row", "__prefix").mapInArrow(_spread, "key long, r long")
     met = written(keys.withColumn("others", F.count("*").over(Window.partitionBy("key"))).where("others > 1").drop("others"), "simhash-shared")
 
     def alike(asked_pairs: DataFrame) -> DataFrame:
@@ -435,10 +431,10 @@ def drop_near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         both = ordered.join(bodies.toDF("a", "s"), "a").join(bodies.toDF("b", "t"), "b").select("a", "b", "s", "t")
         return written(both.mapInArrow(_alike(shingle, similarity), "a long, b long"), "simhash-alike")
 
-    central = met.groupBy("r").agg(F.count("*").alias("shared")).join(rows.select(F.col("__row").alias("r"), F.col("__marks").alias("marks")), "r")
-    met = written(met.join(central, "r").select("key", "r", "n", "at", "shared", "marks"), "simhash-central")
-    known = alike(near.union(_to_hubs(met, similarity)))
-    late = alike(_across_components(met, connected_components(known), similarity))
+    described = rows.select(F.col("__row").alias("r"), F.col("__n").alias("n"), F.col("__marks").alias("marks"))
+    central = written(described.join(met.groupBy("r").agg(F.count("*").alias("shared")), "r"), "simhash-central")
+    known = alike(near.union(_to_hubs(met, central, similarity)))
+    late = alike(_across_components(met, central, connected_components(known), similarity))
     roots = connected_components(known.union(late))
     rooted = texts.join(roots, F.col("first.row") == F.col("node"), "left").select(F.coalesce("root", "first.row").alias("root"), "first")
     kept = written(rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("__row")), "simhash-kept")
