@@ -309,31 +309,62 @@ def _slices(batch: pa.RecordBatch, columns: tuple[int, ...]) -> Iterator[pa.Reco
         yield batch.slice(begin, end - begin)
 
 
+def _parities(found: np.ndarray) -> np.ndarray:
+    """Marks as bytes, two to four times as many as there are hashes, a power of two: set where an odd number falls."""
+    bits = max(64 * LANES, 1 << int(2 * len(found) - 1).bit_length() if len(found) else 0)
+    odd = np.bincount((found & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(bool), bitorder="little")
+
+
+def _folded(marks: np.ndarray, size: int) -> np.ndarray:
+    """The marks for the same hashes in fewer bytes."""
+    while len(marks) > size:
+        marks = marks[: len(marks) // 2] ^ marks[len(marks) // 2 :]
+    return marks
+
+
+def _close_marks(similarity: float):
+    """Pairs (a, b) whose marks leave room for the similarity; columns a, b, n, marks, m, marks."""
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m = (batch.column(k).to_numpy(zero_copy_only=False) for k in (2, 4))
+            most, good = (1 - similarity) / (1 + similarity) * (n + m) + 1e-6, []
+            for x, y, limit in zip(batch.column(3).to_pylist(), batch.column(5).to_pylist(), most, strict=True):
+                x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+                size = min(len(x), len(y))
+                good.append(int(np.bitwise_count(_folded(x, size) ^ _folded(y, size)).sum()) <= limit)
+            yield batch.filter(pa.array(good, pa.bool_())).select(["a", "b"])
+
+    return check
+
+
 def _describe(shingle: int, similarity: float, seed: int, order):
     """__fp, __digest of the word sequence, __n distinct shingles, __prefix: the rarest of them, and __marks.
 
     Two sets of at least the similarity share a shingle of both prefixes, n - ceil(similarity n) + 1 long.
     A mark is set if an odd number of the shingles has its hash; so two texts have at most as many
-    different marks as there are shingles that only one of them has.
+    different marks as there are shingles that only one of them has. __wide: the same with marks for more shingles.
     """
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in _slices(whole, (whole.num_columns - 1,))):
             texts = batch.column(batch.schema.get_field_index("__text")).to_pylist()
-            fps, digests, sizes, prefixes, marks = [], [], [], [], []
+            fps, digests, sizes, prefixes, marks, wides = [], [], [], [], [], []
             for text, (own, found) in zip(texts, _shingle_sets(texts, shingle), strict=True):
                 fps.append(fingerprint(text, seed=seed))
                 digests.append(xxh64_intdigest(own.tobytes(), seed))
                 n = len(found)
                 rare = np.argsort(order.value[found >> np.uint64(64 - ORDER_BITS)], kind="stable")
                 sizes.append(n)
-                odd = np.bincount((found & np.uint64(64 * LANES - 1)).astype(np.int64), minlength=64 * LANES) & 1
-                marks.append(np.packbits(odd.astype(bool), bitorder="little").view(np.int64))
+                wide = _parities(found)
+                wides.append(wide.tobytes())
+                marks.append(_folded(wide, 8 * LANES).view(np.int64))
                 prefixes.append(found[rare[: n - math.ceil(similarity * n - 1e-9) + 1]].tobytes())
             rest = [(c, n) for c, n in zip(batch.columns, batch.schema.names, strict=True) if n != "__text"]
             made = [pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(np.array(digests, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.binary())]
             lanes = pa.StructArray.from_arrays([pa.array(x) for x in np.array(marks, np.int64).reshape(-1, LANES).T], MARK_NAMES)
-            yield pa.RecordBatch.from_arrays([*(c for c, _ in rest), *made, lanes], [*(n for _, n in rest), "__fp", "__digest", "__n", "__prefix", "__marks"])
+            yield pa.RecordBatch.from_arrays([*(c for c, _ in rest), *made, lanes, pa.array(wides, pa.binary())], [*(n for _, n in rest), "__fp", "__digest", "__n", "__prefix", "__marks", "__wide"])
 
     return fill
 
@@ -411,7 +442,7 @@ def drop_near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     text = F.col(f"`{text_col}`").cast("string")
     order = sc.broadcast(shingle_order(docs.select(text.alias("text")), shingle, seed))
     asked = docs.select(boxed(docs), F.col(f"`{id_col}`").alias("id"), text.alias("__text"))
-    schema = StructType([asked.schema["__in"], asked.schema["id"], StructField("__fp", LongType()), StructField("__digest", LongType()), StructField("__n", LongType()), StructField("__prefix", BinaryType()), StructField("__marks", StructType([StructField(k, LongType()) for k in MARK_NAMES]))])
+    schema = StructType([asked.schema["__in"], asked.schema["id"], StructField("__fp", LongType()), StructField("__digest", LongType()), StructField("__n", LongType()), StructField("__prefix", BinaryType()), StructField("__marks", StructType([StructField(k, LongType()) for k in MARK_NAMES])), StructField("__wide", BinaryType())])
     rows = written(asked.mapInArrow(_describe(shingle, similarity, seed, order), schema).withColumn("__row", F.monotonically_increasing_id()), "simhash-rows")
     least = F.struct(F.col("id").isNull().alias("none"), "id", F.col("__row").alias("row"), F.col("__n").alias("n"))
     texts = written(rows.groupBy("__fp", "__digest").agg(F.min(least).alias("first")).select(F.col("__fp").alias("fp"), "first"), "simhash-texts")
@@ -424,7 +455,11 @@ def drop_near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     met = written(keys.withColumn("others", F.count("*").over(Window.partitionBy("key"))).where("others > 1").drop("others"), "simhash-shared")
 
     def alike(asked_pairs: DataFrame) -> DataFrame:
-        ordered = written(asked_pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "simhash-asked")
+        given = written(asked_pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "simhash-asked")
+        wide = rows.select(F.col("__row").alias("r"), F.col("__n").alias("n"), F.col("__wide").alias("w"))
+        wide = wide.join(given.select(F.col("a").alias("r")).union(given.select("b")).distinct(), "r", "left_semi")
+        marked = given.join(wide.toDF("a", "n", "w"), "a").join(wide.toDF("b", "m", "v"), "b").select("a", "b", "n", "w", "m", "v")
+        ordered = written(marked.mapInArrow(_close_marks(similarity), "a long, b long"), "simhash-close")
         wanted = ordered.select(F.col("a").alias("r")).union(ordered.select("b")).distinct()
         wanted = F.broadcast(wanted) if 2 * ordered.count() <= WANTED else wanted
         bodies = rows.select(F.col("__row").alias("r"), F.col(f"__in.`{text_col}`").cast("string").alias("t")).join(wanted, "r", "left_semi")
