@@ -8,6 +8,7 @@ from operator import add
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import StringType
 
 #: What is cut out of prose, and which characters stay.
 CITATIONS = r"\[[0-9]+\]|\([0-9]+\)|<[^>]+>|https?://[^ \t\n\r\f]+|www\.[^ \t\n\r\f]+"
@@ -45,7 +46,7 @@ BOOK_STARTS = ("*** START OF THE PROJECT GUTENBERG EBOOK", "*** START OF THIS PR
 BOOK_ENDS = tuple(m.replace("START", "END") for m in BOOK_STARTS)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())  # a type, as its name would need a session at import
 def decomposed(text: pd.Series) -> pd.Series:
     """Unicode's NFKD form, which no built-in function gives."""
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFKD", t))
