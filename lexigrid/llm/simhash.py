@@ -55,7 +55,7 @@ _AT_ONCE = 1 << 15
 #: Buckets by which shingles are ordered, parts in which they are summed, and texts that are counted for it.
 ORDER_BITS, ORDER_PARTS = 20, 16
 ORDER_DOCS = 50_000
-#: Ids of texts to verify that may be broadcast, so that other texts aren't moved.
+#: Ids of texts to verify, or of rows to leave out, that may be broadcast, so that other texts aren't moved.
 WANTED = 1_000_000
 #: Texts of a key in a block.
 CELL = 256
@@ -430,6 +430,17 @@ def _across_components(met: DataFrame, central: DataFrame, roots: DataFrame, sim
     return left.join(right, ["key", "i", "j"]).where(once & _may_be_alike(similarity, "x", "y")).select(c("x.r").alias("x"), c("y.r").alias("y"))
 
 
+def _chosen_rows(rows: DataFrame, chosen: DataFrame, tag: str) -> DataFrame:
+    """The rows whose __row is among the chosen.
+
+    The ids of the others are counted; if WANTED or fewer, they are broadcast and no text moves. Else rows meet the chosen ids by a shuffle.
+    """
+    others = written(rows.select("__row").join(chosen, "__row", "left_anti"), tag)
+    if others.count() <= WANTED:
+        return rows.join(F.broadcast(others), "__row", "left_anti")
+    return rows.join(chosen, "__row", "left_semi")
+
+
 def drop_near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, shingle: int = 5, seed: int = 42) -> DataFrame:
     """docs with one row, that with the least id, of each group of texts that are alike.
 
@@ -451,7 +462,7 @@ def drop_near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     across = links(heads.select("fp")).join(heads.toDF("a", "x"), "a").join(heads.toDF("b", "y"), "b")
     within = texts.join(heads, "fp").where("first.row <> head.row").select(F.col("head").alias("x"), F.col("first").alias("y"))
     near = across.select("x", "y").union(within).where(sized).select(F.col("x.row").alias("x"), F.col("y.row").alias("y"))
-    keys = rows.join(texts.select(F.col("first.row").alias("__row")), "__row", "left_semi").where("__n > 0").select("__row", "__prefix").mapInArrow(_spread, "key long, r long")
+    keys = _chosen_rows(rows, texts.select(F.col("first.row").alias("__row")), "simhash-repeated").where("__n > 0").select("__row", "__prefix").mapInArrow(_spread, "key long, r long")
     met = written(keys.withColumn("others", F.count("*").over(Window.partitionBy("key"))).where("others > 1").drop("others"), "simhash-shared")
 
     def alike(asked_pairs: DataFrame) -> DataFrame:
@@ -473,4 +484,4 @@ def drop_near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     roots = connected_components(known.union(late))
     rooted = texts.join(roots, F.col("first.row") == F.col("node"), "left").select(F.coalesce("root", "first.row").alias("root"), "first")
     kept = written(rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("__row")), "simhash-kept")
-    return rows.join(kept, "__row", "left_semi").select("__in.*")
+    return _chosen_rows(rows, kept, "simhash-dropped").select("__in.*")

@@ -97,3 +97,15 @@ def test_long_texts_by_their_whole_sets(spark):
     pairs = [jaccard(shingles(a), shingles(b)) for a, b in zip(texts[::2], texts[1::2], strict=True)]
     assert any(0.76 <= j < 0.8 for j in pairs) and any(0.8 <= j < 0.84 for j in pairs)
     check(spark, texts)
+
+
+def test_many_rows_go(spark, monkeypatch):
+    """Beyond WANTED ids nothing is broadcast; the rows are the same."""
+    rng = random.Random(5)
+    texts = [""]
+    for _ in range(20):
+        own = " ".join(f"w{rng.randrange(9000)}" for _ in range(60))
+        texts += [own, own, edited(rng, own, 1)]
+    check(spark, texts)
+    monkeypatch.setattr(simhash, "WANTED", 0)
+    check(spark, texts)
