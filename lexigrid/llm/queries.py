@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lexigrid.llm import chat, decontaminate, katz, licenses, mixing, quality, sharding, simhash, urls, warc
+from lexigrid.llm import chat, decontaminate, katz, licenses, merkle, mixing, phrases, quality, sharding, simhash, urls, vectors, warc
 from lexigrid.llm.common import scratch, table
 
 
@@ -76,6 +76,19 @@ def op10_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
     return katz.score_texts(table(spark, sf_dir, "documents"))
 
 
+def op11_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    return merkle.manifest(table(spark, sf_dir, "documents"), tampered=tampered)
+
+
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_mixing": op2_mixing,
@@ -87,4 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat": op8_chat,
     "op9_sharding": op9_sharding,
     "op10_katz": op10_katz,
+    "op11_embeddings": op11_embeddings,
+    "op12_merkle": op12_merkle,
+    "op13_phrases": op13_phrases,
 }

@@ -155,3 +155,82 @@ def answers(counts, accuracy, good, prior, rounds=200):
         share = (fine + prior * good) / (total + prior)
         now = [[norm([x + prior * b + 0.01 for x, b in zip(sums[side][j], begin[side][j])]) for j in rules] for side in (0, 1)]
     return share, *now
+
+
+def merkle(rows):
+    """(doc_id, leaf, subroot, root, proof, folded root, verified) of rows (doc_id, source, lang, n_chars, text)."""
+    digest = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    field = lambda v: "-" if v is None else f"{len(str(v).encode())}:{v}"
+    leaf_of = lambda r, text: digest("".join(map(field, (*r[:4], text))))
+
+    def tree(nodes):
+        paths, below = [[] for _ in nodes], [[k] for k in range(len(nodes))]
+        while len(nodes) > 1:
+            upper, held = [], []
+            for k in range(0, len(nodes), 16):
+                run = nodes[k : k + 16]
+                for j in range(len(run)):
+                    for i in below[k + j]:
+                        paths[i].append(("".join(run[:j]), "".join(run[j + 1 :])))
+                upper.append(digest("".join(run)))
+                held.append(sum(below[k : k + 16], []))
+            nodes, below = upper, held
+        return nodes[0], paths
+
+    by_source = defaultdict(list)
+    for r in rows:
+        by_source[r[1]].append((r[0] is not None, r[0] or 0, leaf_of(r, r[4]), r))
+    order = sorted(by_source, key=lambda s: (s is not None, (s or "").encode()))
+    trees = [tree([x[2] for x in sorted(by_source[s], key=lambda x: x[:3])]) for s in order]
+    root, above = tree([t[0] for t in trees]) if trees else (None, [])
+    out = []
+    for s, (subroot, paths), up in zip(order, trees, above, strict=True):
+        for (_, _, leaf, r), path in zip(sorted(by_source[s], key=lambda x: x[:3]), paths, strict=True):
+            h, path = leaf, path + up
+            if r[0] is not None and zlib.crc32(str(r[0]).encode()) % 5 == 0:
+                h = leaf_of(r, r[4] and r[4].translate(LOWER))
+            for a, b in path:
+                h = digest(a + h + b)
+            out.append((r[0], leaf, subroot, root, digest("".join(a + b for a, b in path)), h, h == root))
+    return out
+
+
+def collocations(rows, least, top=2000):
+    """(lang, rank, phrase, a, l, r, n, score) of rows (text, lang)."""
+    n, f, within = Counter(), Counter(), Counter()
+    for text, lang in rows:
+        lang = "und" if lang is None else lang
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", (text or "").translate(LOWER)):
+            words = re.findall(r"[^\x20\x09]+", piece)
+            n[lang] += len(words)
+            for k in range(1, 6):
+                for i in range(len(words) - k + 1):
+                    f[lang, tuple(words[i : i + k])] += 1
+    found = {key: a for key, a in f.items() if len(key[1]) > 1 and a >= least}
+    for (lang, words), a in found.items():
+        for i in range(len(words)):
+            for j in range(i + 2, len(words) + 1):
+                if j - i < len(words):
+                    within[lang, words[i:j]] = max(within[lang, words[i:j]], a)
+    out = defaultdict(list)
+    for (lang, words), a in found.items():
+        if within[lang, words] < a:
+            score, _, left, right = min((1000 * a * n[lang] // (f[lang, words[:k]] * f[lang, words[k:]]), k, f[lang, words[:k]], f[lang, words[k:]]) for k in range(1, len(words)))
+            out[lang].append((-score, -a, " ".join(words).encode(), left, right))
+    return {(lang, k + 1, p.decode(), -a, left, right, n[lang], -s) for lang, mine in out.items() for k, (s, a, p, left, right) in enumerate(sorted(mine)[:top])}
+
+
+def near_vectors(rows, cosine):
+    """vec_id by row -> (links, component, kept); null, zero and non-finite vectors stay alone."""
+    fine = lambda v: v is not None and all(x is not None and math.isfinite(x) for x in v) and any(v)
+    unit = lambda v: [x / max(map(abs, v)) for x in v]
+    norm = lambda v: math.sqrt(math.fsum(x * x for x in v))
+    good = [(i, unit(v)) for i, (_, v) in enumerate(rows) if fine(v)]
+    links = [(i, j) for k, (i, v) in enumerate(good) for j, w in good[:k] if len(v) == len(w) and math.fsum(a * b for a, b in zip(v, w, strict=True)) / (norm(v) * norm(w)) >= cosine]
+    degree = Counter(x for pair in links for x in pair)
+    label = components(len(rows), links)
+    least = {}
+    for k, (i, _) in enumerate(rows):
+        if i is not None:
+            least[label[k]] = min(least.get(label[k], i), i)
+    return sorted(((i, degree[k], least.get(label[k]), i is not None and i == least.get(label[k])) for k, (i, _) in enumerate(rows)), key=str)
