@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lexigrid.sources.tables import written
@@ -52,3 +54,18 @@ def with_row_number(df: DataFrame, order: list[Column], out: str) -> DataFrame:
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row per partition
     offsets = sizes.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"))
     return placed.join(F.broadcast(offsets), part == F.col("__part")).withColumn(out, (F.col("__id").bitwiseAND((1 << 33) - 1) + F.col("__offset") + 1).cast("long")).drop("__id", "__part", "__offset")
+
+
+def with_position(df: DataFrame, group: list[str], order: list[str], out: str) -> DataFrame:
+    """The place of each row in its group, from 0, in ascending order; nulls first. No group is gathered in one task.
+
+    Rows are sorted into ranges by group and order; a group's rows in earlier ranges, one count for each, are added.
+    """
+    names = [*group, *order]
+    placed = written(df.repartitionByRange(*names).sortWithinPartitions(*names).withColumn("__at", F.monotonically_increasing_id()), "positions")
+    part = F.shiftright("__at", 33)
+    held = placed.groupBy(*group, part.alias("__part")).agg(F.count("*").alias("__n"), F.min("__at").alias("__least"))
+    before = Window.partitionBy(*group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = held.select(*(F.col(g).alias(f"__g{i}") for i, g in enumerate(group)), F.col("__part").alias("__p"), (F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__least")).alias("__offset"))
+    same = reduce(lambda a, b: a & b, (F.col(g).eqNullSafe(F.col(f"__g{i}")) for i, g in enumerate(group)), part == F.col("__p"))
+    return placed.join(offsets, same).withColumn(out, F.col("__at") + F.col("__offset")).drop("__at", "__p", "__offset", *(f"__g{i}" for i in range(len(group))))

@@ -308,7 +308,7 @@ MASTERY = f"""
 WITH RECURSIVE log AS ({LOG}), f AS (
   SELECT user_id, word, 1::BIGINT AS k, 1 AS total, CAST(correct AS INT) AS correct, CAST(correct AS INT) AS streak, 2.5::DOUBLE AS ease, m, last_seen FROM log WHERE k = 1
   UNION ALL
-  SELECT f.user_id, f.word, log.k, total + 1, f.correct + CAST(log.correct AS INT), CASE WHEN log.correct THEN streak + 1 ELSE 0 END, CASE WHEN log.correct THEN least(2.5, ease + 0.1::DOUBLE) ELSE greatest(1.3, ease - 0.2::DOUBLE) END::DOUBLE, f.m, f.last_seen
+  SELECT f.user_id, f.word, log.k, total + 1, f.correct + CAST(log.correct AS INT), CASE WHEN log.correct THEN streak + 1 ELSE 0 END, CASE WHEN log.correct THEN least(2.5, round(ease + 0.1::DOUBLE, 1)) ELSE greatest(1.3, round(ease - 0.2::DOUBLE, 1)) END::DOUBLE, f.m, f.last_seen
   FROM f JOIN log ON log.user_id = f.user_id AND log.word = f.word AND log.k = f.k + 1
 ), done AS (
   SELECT *, CASE WHEN total > 1 AND correct / total >= 0.9 AND total >= 5 AND streak >= 3 THEN 'mastered' WHEN total > 1 AND correct / total >= 0.7 AND total >= 3 THEN 'reviewing' ELSE 'learning' END AS level FROM f WHERE k = m
@@ -351,6 +351,14 @@ ORACLES = {
           CASE WHEN f.correct + CAST(log.correct AS INT) >= (studied + 1) * 0.9 AND studied + 1 >= 5 THEN 'mastered' WHEN f.correct + CAST(log.correct AS INT) >= (studied + 1) * 0.8 AND studied + 1 >= 3 THEN 'reviewing' ELSE level END, f.m, f.last_seen
         FROM f JOIN log ON log.user_id = f.user_id AND log.word = f.word AND log.k = f.k + 1)
         SELECT user_id, word, studied, correct, days, level, last_seen FROM f WHERE k = m""",
+    "sm2_schedule": f"""WITH RECURSIVE log AS ({LOG}), f AS (
+        SELECT user_id, word, 0::BIGINT AS k, 0 AS total, 0 AS correct, 0 AS run, 1::BIGINT AS days, 250::BIGINT AS ease, m, last_seen FROM log WHERE k = 1
+        UNION ALL SELECT user_id, word, k, total + 1, CAST(correct + ok AS INT), CAST(run * ok + ok AS INT),
+          least(36500, CASE WHEN ok = 0 THEN 1 WHEN days = 1 THEN 6 WHEN days = 6 THEN 14 ELSE days * ease // 100 END),
+          greatest(130, ease + CASE WHEN ok = 0 THEN -20 ELSE CASE least(5, 3 + (run + 1) // 2) WHEN 3 THEN -14 WHEN 4 THEN 0 ELSE 10 END END), m, last_seen
+        FROM (SELECT f.* REPLACE (log.k AS k), CAST(log.correct AS INT) AS ok FROM f JOIN log ON log.user_id = f.user_id AND log.word = f.word AND log.k = f.k + 1))
+        SELECT user_id, word, total, correct, run, CAST(days AS INT) AS days, round(ease / 100::DOUBLE, 6) AS ease,
+          CASE WHEN run >= 5 AND correct / total >= 0.8 THEN 'mastered' WHEN run >= 2 AND correct / total >= 0.6 THEN 'reviewing' ELSE 'learning' END AS level, last_seen FROM f WHERE k = m""",
     "mistake_accumulate": f"SELECT user_id, word, count(*) AS mistakes FROM ({ANSWERS}) WHERE NOT correct GROUP BY 1, 2",
     "latest_state": f"SELECT user_id, word, ts FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM ({ANSWERS})) WHERE r = 1",
     "source_score": "SELECT source, count(*) AS visits, round(CASE WHEN count(*) < 3 THEN 0.5 ELSE 0.4 * count(*) FILTER (ok) / count(*) + 0.4 * least(1.0, coalesce(sum(found) / nullif(count(*) FILTER (ok), 0), 0) / 10) + 0.2 * greatest(0.0, 1 - avg(ms) / 5000) END, 6) AS score FROM (SELECT concat(event_type, '-', user_id % 10) AS source, value >= 20 AS ok, floor(value / 10) AS found, value * 100 AS ms FROM events) GROUP BY 1",

@@ -38,7 +38,7 @@ def mastery_step(state: tuple, ok: bool) -> tuple:
     first, total, correct, streak = total == 0, total + 1, correct + ok, streak + 1 if ok else 0
     if first:
         return "learning", total, correct, streak, ease, 1
-    ease = min(2.5, ease + 0.1) if ok else max(1.3, ease - 0.2)
+    ease = min(2.5, round(ease + 0.1, 1)) if ok else max(1.3, round(ease - 0.2, 1))  # exact tenths
     share = correct / total
     if share >= 0.9 and total >= 5 and streak >= 3:
         return "mastered", total, correct, streak, ease, math.floor(7 * ease)
