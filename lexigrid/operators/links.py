@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import ahocorasick
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from lexigrid.functions.text import words_in
 
+#: Terms in one automaton.
+TERMS = 500_000
+
 
 def term_keys(terms: DataFrame, id_col: str, term_col: str, least: int = 3) -> DataFrame:
     """key (the term's words), first, size, id: one row per word sequence, with the least id; some word has `least` letters."""
@@ -14,13 +23,51 @@ def term_keys(terms: DataFrame, id_col: str, term_col: str, least: int = 3) -> D
     return words.groupBy(F.array_join("words", " ").alias("key")).agg(F.min("id").alias("id")).select("key", F.split("key", " ")[0].alias("first"), F.size(F.split("key", " ")).alias("size"), "id")
 
 
-def matches(texts: DataFrame, keys: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """text_id, at, size, id of all matches, longest per place, by a join on each term's first word."""
+def _scan(block):
+    """(text_id, at, size, id): the longest term of the block at each place, by an automaton over words."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers: dict[str, int] = {}
+        terms = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+        for key, id_ in block.value:
+            words = tuple(numbers.setdefault(w, len(numbers) + 1) for w in key.split(" "))
+            terms.add_word(words, (len(words), id_))
+        terms.make_automaton()
+        for batch in batches:
+            ids, places, sizes, found = [], [], [], []
+            for text_id, words in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                longest: dict[int, tuple[int, int]] = {}
+                for end, hit in terms.iter(tuple(numbers.get(w, 0) for w in words)) if words else ():
+                    at = end + 1 - hit[0]
+                    if at not in longest or hit > longest[at]:
+                        longest[at] = hit
+                ids += [text_id] * len(longest)
+                places += longest
+                sizes += [size for size, _ in longest.values()]
+                found += [id_ for _, id_ in longest.values()]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(0).type), pa.array(places, pa.int32()), pa.array(sizes, pa.int32()), pa.array(found, pa.int64())], ["text_id", "at", "size", "id"])
+
+    return scan
+
+
+def matches(texts: DataFrame, keys: DataFrame, id_col: str, text_col: str, *, at_once: int = TERMS) -> DataFrame:
+    """text_id, at, size, id of all matches, longest per place: terms in an automaton with failure links, texts in one pass.
+
+    Terms are broadcast at_once at a time, dealt by a hash, so that one common first word doesn't matter; with more than
+    one block of them the texts are read again for each. Null texts have no words.
+    """
+    sc = texts.sparkSession.sparkContext
     words = texts.select(F.col(id_col).alias("text_id"), words_in(F.coalesce(text_col, F.lit(""))).alias("words"))
-    at = words.select("text_id", F.posexplode("words").alias("at", "first"), "words")
-    met = at.join(keys, "first").where(F.array_join(F.slice("words", F.col("at") + 1, F.col("size")), " ") == F.col("key"))
-    w = Window.partitionBy("text_id", "at").orderBy(F.col("size").desc(), F.col("id").asc())
-    return met.select("text_id", "at", "size", "id").withColumn("n", F.row_number().over(w)).where("n = 1").drop("n")
+    blocks = max(1, -(-keys.count() // at_once))
+    schema = StructType([words.schema["text_id"], StructField("at", IntegerType()), StructField("size", IntegerType()), StructField("id", LongType())])
+    parts = []
+    for k in range(blocks):
+        block = keys.where(F.pmod(F.xxhash64("key"), F.lit(blocks)) == k).select("key", F.col("id").cast("long")).collect()
+        parts.append(words.mapInArrow(_scan(sc.broadcast([tuple(r) for r in block])), schema))
+    if blocks == 1:
+        return parts[0]
+    best = reduce(DataFrame.union, parts).groupBy("text_id", "at").agg(F.max(F.struct("size", "id")).alias("m"))
+    return best.select("text_id", "at", "m.size", "m.id")
 
 
 def greedy_links(found: DataFrame, most: int = 25) -> DataFrame:

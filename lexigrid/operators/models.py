@@ -74,14 +74,3 @@ def text_classes(labelled: DataFrame, asked: DataFrame, text_col: str, label_col
     out = model.transform(asked.withColumn(label_col, F.lit(None).cast("string"))).withColumn("__p", vector_to_array("probability"))
     best = F.array_max("__p")
     return out.select(*(c for c in asked.columns if c != label_col), F.when(best >= threshold, F.try_element_at(labels, F.array_position("__p", best).cast("int"))).otherwise("TBD").alias(label_col), best.alias("probability"))
-
-
-def dense_groups(pairs: DataFrame, items: DataFrame, id_col: str, least: int) -> DataFrame:
-    """id, core, neighbours: items with `least` neighbours, themselves counted, are cores of dense groups; others border one or are noise."""
-    both = pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    n = both.groupBy(F.col("a").alias("id")).agg(F.count("*").alias("n"))
-    counted = items.select(F.col(id_col).alias("id")).join(n, "id", "left").select("id", (F.coalesce("n", F.lit(0)) + 1).alias("neighbours"))
-    cores = counted.where(F.col("neighbours") >= least).select(F.col("id").alias("b"))
-    bordering = both.join(cores, "b", "left_semi").select(F.col("a").alias("id")).distinct().withColumn("near", F.lit(True))
-    kind = F.when(F.col("neighbours") >= least, "core").when(F.col("near"), "border").otherwise("noise")
-    return counted.join(bordering, "id", "left").select("id", "neighbours", kind.alias("kind"))

@@ -21,8 +21,10 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norms > 0, dot(a, b) / norms)
 
 
-def _product(threshold: float):
-    def product(pdf: pd.DataFrame) -> pd.DataFrame:
+def product(threshold: float):
+    """The pairs (a, b, score) of a group i, j of rows id, v and own, the block that they are of."""
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         """Pairs of one pair of blocks, by one matrix product."""
         x = np.stack(pdf["v"].to_numpy()).astype(np.float64)
         norm = np.linalg.norm(x, axis=1)
@@ -36,7 +38,7 @@ def _product(threshold: float):
         keep = left < right if low == high else np.ones(len(left), bool)
         return pd.DataFrame({"a": np.minimum(left, right)[keep], "b": np.maximum(left, right)[keep], "score": score[keep]})
 
-    return product
+    return compare
 
 
 def cosine_pairs(items: DataFrame, id_col: str, vector_col: str, threshold: float) -> DataFrame:
@@ -48,7 +50,7 @@ def cosine_pairs(items: DataFrame, id_col: str, vector_col: str, threshold: floa
     n = max(1, -(-items.count() // BLOCK))
     blocks = items.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).withColumn("own", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
     met = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("other")
-    return met.groupBy("i", "j").applyInPandas(_product(threshold), "a long, b long, score double")
+    return met.groupBy("i", "j").applyInPandas(product(threshold), "a long, b long, score double")
 
 
 def _new_product(threshold: float):

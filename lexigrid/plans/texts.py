@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lexigrid.functions import phonetic, text
-from lexigrid.operators import classify, links, maintenance, models, pairs
+from lexigrid.functions.text import words_in
+from lexigrid.operators import classify, graphs, links, maintenance, models, pairs
 from lexigrid.plans.frames import MASTERY
 from lexigrid.sources import files
 from lexigrid.sources.html_terms import extract_terms as terms_of_pages
@@ -216,11 +217,11 @@ def extract_terms(spark, d):
 
 
 def link_definitions(spark, d):
-    """Links from assistant turns to benchmark words of five letters at least."""
-    words = tokens(_benchmark(spark, d), "item_id").groupBy("word").agg(F.min("item_id").alias("item_id")).where(F.length("word") >= 5)
-    keys = links.term_keys(words, "item_id", "word")
-    texts = _said(spark, d).select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
-    return links.greedy_links(links.matches(texts, keys, "id", "text"))
+    """Links from documents to terms of the benchmark: its words of seven letters at least, and its pairs of words."""
+    words = _benchmark(spark, d).select("item_id", words_in(F.coalesce("text", F.lit(""))).alias("w"))
+    two = F.transform(F.slice("w", F.lit(2), F.greatest(F.size("w") - 1, F.lit(0))), lambda w, i: F.concat(F.get("w", i), F.lit(" "), w))
+    terms = words.select("item_id", F.explode(F.concat(F.filter("w", lambda w: F.length(w) >= 7), two)).alias("term"))
+    return links.greedy_links(links.matches(table(spark, d, "documents"), links.term_keys(terms, "item_id", "term"), "doc_id", "text"))
 
 
 def similar_groups(spark, d):
@@ -241,9 +242,8 @@ def principal_components(spark, d):
 
 
 def dense_groups(spark, d):
-    """Neighbours within a cosine distance of one half, five at least."""
-    e = table(spark, d, "embeddings")
-    return models.dense_groups(pairs.cosine_pairs(e, "vec_id", "embedding", 0.5), e, "vec_id", 5)
+    """Clusters by density: neighbours at the threshold, six at least with the item itself."""
+    return graphs.density_clusters(_edges(spark, d), table(spark, d, "embeddings"), "vec_id", 6)
 
 
 def pos_classifier(spark, d):
@@ -368,7 +368,23 @@ ORACLES = {
     "cluster_domain": "SELECT cluster, max(CASE WHEN r = 1 THEN domain END) AS primary, coalesce(string_agg(CASE WHEN r IN (2, 3) AND n >= 0.3 * top THEN domain END, ',' ORDER BY r), '') AS secondary, CAST(sum(n) AS BIGINT) AS size FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY n DESC, domain) AS r, max(n) OVER (PARTITION BY cluster) AS top FROM (SELECT source AS cluster, lang AS domain, count(*) AS n FROM documents GROUP BY 1, 2)) GROUP BY 1",
     "text_mining": r"WITH l AS (SELECT doc_id, i AS place, ls[i] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), unnest(generate_series(1, len(ls))) u(i)), m AS (SELECT *, regexp_matches(line, '^[A-Z][A-Za-z'' -]{1,40}\.?$') AND len(string_split_regex(trim(line), ' +')) <= 3 AS t FROM l WHERE trim(line) <> ''), s AS (SELECT *, sum(CAST(t AS INT)) OVER (PARTITION BY doc_id ORDER BY place) AS section FROM m) SELECT doc_id, CAST(section AS BIGINT) AS section, max(CASE WHEN t THEN trim(line) END) AS term, sha256(coalesce(string_agg(CASE WHEN NOT t THEN trim(line) END, ' ' ORDER BY place), '')) AS digest FROM s WHERE section > 0 GROUP BY 1, 2",
     "tfidf_weights": r"WITH w AS (SELECT item_id AS id, unnest(regexp_extract_all(lower(text), '\p{L}{2,}')) AS word FROM benchmark), tf AS (SELECT id, word, count(*) AS tf FROM w GROUP BY 1, 2), r AS (SELECT id, word, tf * (ln((1 + (SELECT count(*) FROM benchmark)) / (1 + count(*) OVER (PARTITION BY word))) + 1) AS w FROM tf) SELECT id, word, round(w / sqrt(sum(w * w) OVER (PARTITION BY id)), 6) AS weight FROM r",
-    "dense_groups": f"WITH p AS (SELECT src, dst FROM ({BOTH}) WHERE score >= 0.5), n AS (SELECT vec_id AS id, 1 + count(src) AS neighbours FROM embeddings LEFT JOIN p ON src = vec_id GROUP BY 1) SELECT id, neighbours, CASE WHEN neighbours >= 5 THEN 'core' WHEN id IN (SELECT src FROM p JOIN n c ON c.id = dst WHERE c.neighbours >= 5) THEN 'border' ELSE 'noise' END AS kind FROM n",
+    "dense_groups": f"""WITH RECURSIVE p AS MATERIALIZED (SELECT src, dst, score FROM ({BOTH})), n AS MATERIALIZED (SELECT vec_id AS id, 1 + count(src) AS neighbours FROM embeddings LEFT JOIN p ON src = vec_id GROUP BY 1),
+        cores AS (SELECT id FROM n WHERE neighbours >= 6), links AS MATERIALIZED (SELECT src, dst FROM p WHERE src IN (SELECT id FROM cores) AND dst IN (SELECT id FROM cores)),
+        reach AS (SELECT id, id AS root FROM cores UNION SELECT dst, root FROM reach JOIN links ON src = id), own AS (SELECT id, min(root) AS cluster FROM reach GROUP BY 1),
+        border AS (SELECT src AS id, arg_max(cluster, (score, -dst)) AS cluster FROM p JOIN own ON own.id = dst WHERE src NOT IN (SELECT id FROM cores) GROUP BY 1)
+        SELECT n.id, neighbours, CASE WHEN own.id IS NOT NULL THEN 'core' WHEN border.id IS NOT NULL THEN 'border' ELSE 'noise' END AS kind, coalesce(own.cluster, border.cluster) AS cluster
+        FROM n LEFT JOIN own ON own.id = n.id LEFT JOIN border ON border.id = n.id""",
+    "link_definitions": r"""WITH b AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM benchmark),
+        terms AS (SELECT key, min(item_id) AS id, len(string_split(key, ' ')) AS size FROM (SELECT item_id, unnest(list_filter(w, lambda x: length(x) >= 7)) AS key FROM b
+          UNION ALL SELECT item_id, unnest(list_transform(range(1, len(w)), lambda i: concat(w[i], ' ', w[i + 1]))) FROM b) WHERE regexp_matches(key, '[^ ]{3}') GROUP BY 1),
+        docs AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM documents),
+        places AS (SELECT doc_id, 1 AS size, unnest(w) AS key, unnest(range(len(w))) AS p FROM docs
+          UNION ALL SELECT doc_id, 2, unnest(list_transform(range(1, len(w)), lambda i: concat(w[i], ' ', w[i + 1]))), unnest(range(len(w) - 1)) FROM docs WHERE len(w) > 1),
+        found AS (SELECT doc_id, p, max(size) AS size, arg_max(id, size) AS id FROM places JOIN terms USING (key, size) GROUP BY 1, 2),
+        listed AS (SELECT doc_id, list({p: p, size: size, id: id, free: 0::BIGINT, taken: []::STRUCT(p BIGINT, size BIGINT, id BIGINT)[]} ORDER BY p) AS m FROM found GROUP BY 1),
+        taken AS (SELECT doc_id, list_reduce(list_prepend({p: 0::BIGINT, size: 0, id: 0::BIGINT, free: 0::BIGINT, taken: []::STRUCT(p BIGINT, size BIGINT, id BIGINT)[]}, m),
+          lambda s, x: CASE WHEN x.p >= s.free AND len(s.taken) < 25 THEN {p: x.p, size: x.size, id: x.id, free: x.p + x.size, taken: list_append(s.taken, {p: x.p, size: x.size::BIGINT, id: x.id})} ELSE s END).taken AS t FROM listed)
+        SELECT doc_id AS text_id, CAST(l.p AS INT) AS "at", CAST(l.size AS INT) AS size, l.id AS id FROM (SELECT doc_id, unnest(t) AS l FROM taken)""",
     "csv_round_trip": "SELECT conv_id, turn, sha256(text) AS digest FROM conversations",
     "ngram_totals": r"SELECT word, count(*) AS n FROM (SELECT regexp_replace(unnest(string_split_regex(lower(text), '[ \t\n\r\f]+')), '[^\p{L}]', '', 'g') AS word FROM documents) WHERE length(word) > 1 GROUP BY 1 HAVING count(*) >= 3",
     "ngram_zipf": r"WITH c AS (SELECT word, y, count(*) AS n FROM (SELECT doc_id % 5 AS y, regexp_replace(unnest(string_split_regex(lower(text), '[ \t\n\r\f]+')), '[^\p{L}]', '', 'g') AS word FROM documents) WHERE length(word) > 1 GROUP BY 1, 2), t AS (SELECT y, sum(n) AS total FROM c GROUP BY 1), w AS (SELECT word FROM c GROUP BY 1 HAVING count(*) >= 2) SELECT word, round(avg(log10((coalesce(n, 0) / total + 0.000001) * 1e6)), 6) AS zipf FROM w CROSS JOIN t LEFT JOIN c USING (word, y) GROUP BY 1",
