@@ -175,9 +175,10 @@ def sound_pairs(words: DataFrame, threshold: float) -> DataFrame:
     by_length = 1 - F.abs(F.length("l.sound") - F.length("r.sound")) / F.greatest(F.length("l.sound"), F.length("r.sound"))
     by_letters = 1 - F.bit_count(c("l.letters").bitwiseXOR(c("r.letters"))) / (2 * F.greatest(F.length("l.sound"), F.length("r.sound")))
     score = phonetic.overall(far(c("l.sound"), c("r.sound")), phonetic.stress_similarity(c("l.stress"), c("r.stress")), ends, syllabic)
-    fit = (c("l.word") < c("r.word")) & (0.4 * by_length + room >= 0) & (0.4 * by_letters + room >= 0) & (0.4 * (1 - far(c("l.sound"), c("r.sound"))) + room >= 0) & (score >= threshold - 1e-9)
-    met = lambda a, b: a.select("key", c("w").alias("l")).join(b.select("key", c("w").alias("r")), "key").where(fit).select("l", "r")
+    fit = (c("l.word") < c("r.word")) & (0.4 * by_length + room >= 0) & (0.4 * by_letters + room >= 0) & (0.4 * (1 - far(c("l.sound"), c("r.sound"))) + room >= 0)
+    # the score holds array functions: exploded, it stays out of the join, whose condition can then be compiled
+    met = lambda a, b: a.select("key", c("w").alias("l")).join(b.select("key", c("w").alias("r")), "key").where(fit).select("l", "r", F.explode(F.array(score)).alias("by_phonemes")).where(c("by_phonemes") >= threshold - 1e-9)
     one = keys(short, 1)
     every = keys(sized.where("size >= 1"), 1)
     found = met(keys(long, least), keys(long, least)).union(met(one, every)).union(met(every, one))
-    return found.dropDuplicates(["l", "r"]).select("l", "r", score.alias("by_phonemes"))
+    return found.dropDuplicates(["l", "r"])

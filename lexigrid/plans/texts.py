@@ -105,31 +105,39 @@ def levenshtein_pairs(spark, d):
 
 
 def _with_sounds(words):
-    """Letters as phonemes, vowels stressed in turn."""
-    letters = F.filter(F.split("word", ""), lambda c: c != "")
-    return words.select("word", letters.alias("phonemes"), F.translate(F.regexp_replace("word", "[^aeiou]", ""), "aeiou", "12010").alias("stress"), F.regexp_count("word", F.lit("[aeiou]+")).alias("syllables"))
+    """Words of letters only, as they are read: phonemes, stress, syllables, IPA."""
+    read = words.select("word", phonetic.phonemes(F.col("word")).alias("phonemes"))
+    own = F.col("phonemes")
+    return read.select("word", "phonemes", phonetic.stress(own).alias("stress"), phonetic.syllables(own).alias("syllables"), phonetic.to_ipa(own).alias("ipa"))
 
 
-def _sounds(spark, d):
-    return _with_sounds(tokens(_benchmark(spark, d), "item_id").select("word").where(F.col("word").rlike("^[a-z]{5,}$")).distinct())
+def _lexicon_sounds(spark, d):
+    words = tokens(table(spark, d, "documents"), "doc_id").select("word").where(F.col("word").rlike("^[a-z]+$")).distinct()
+    return _with_sounds(words).where(F.size("phonemes") > 0)
 
 
-def _lexicon_sounds(spark, d):
-    return _with_sounds(tokens(table(spark, d, "documents"), "doc_id").select("word").where(F.col("word").rlike("^[a-z]{5,}$")).distinct())
+def word_sounds(spark, d):
+    """How the documents' words are read."""
+    return _lexicon_sounds(spark, d).select("word", F.array_join("phonemes", " ").alias("phonemes"), "ipa", "stress", "syllables")
 
 
 def phonetic_pairs(spark, d):
-    """All pairs of the documents' words that sound alike to 0.9, with all three likenesses; letters as phonemes."""
-    found = pairs.sound_pairs(written(_lexicon_sounds(spark, d), "sounds"), SOUND)
-    side = lambda n: {c: F.col(f"{n}.{c}") for c in ("phonemes", "stress", "syllables")} | {"ipa": F.col(f"{n}.word")}
-    others = [f(side("l"), side("r")) for f in (phonetic.similarity_fixed, phonetic.similarity_characters)]
-    return found.select(F.col("l.word").alias("a"), F.col("r.word").alias("b"), F.round("by_phonemes", 6).alias("by_phonemes"), *(F.round(v, 6).alias(n) for v, n in zip(others, ("by_vectors", "by_characters"), strict=True)))
+    """All pairs of the documents' words that sound alike to 0.9 as they are read, with all three likenesses."""
+    sounds = written(_lexicon_sounds(spark, d), "sounds")
+    found = pairs.sound_pairs(sounds, SOUND)
+    ipa = lambda n: sounds.select(F.col("word").alias(n), F.col("ipa").alias(f"{n}_ipa"))
+    met = found.withColumns({"a": F.col("l.word"), "b": F.col("r.word")}).join(ipa("a"), "a").join(ipa("b"), "b")
+    side = lambda n, own: {c: F.col(f"{n}.{c}") for c in ("phonemes", "stress", "syllables")} | {"ipa": F.col(f"{own}_ipa")}
+    others = [f(side("l", "a"), side("r", "b")) for f in (phonetic.similarity_fixed, phonetic.similarity_characters)]
+    return met.select("a", "b", F.round("by_phonemes", 6).alias("by_phonemes"), *(F.round(v, 6).alias(n) for v, n in zip(others, ("by_vectors", "by_characters"), strict=True)))
 
 
 def syllable_similarity(spark, d):
-    s = _sounds(spark, d).select("word", "syllables", F.substring("word", 1, 3).alias("k"))
-    met = s.select(F.col("word").alias("a"), F.col("syllables").alias("x"), "k").join(s.select(F.col("word").alias("b"), F.col("syllables").alias("y"), "k"), "k").where("a < b")
-    return met.select("a", "b", F.round(phonetic.syllable_similarity(F.col("x"), F.col("y")), 9).alias("similarity"))
+    """How many pairs of words of two numbers of syllables there are, and how alike these are: all pairs of words by their counts."""
+    counts = written(_lexicon_sounds(spark, d).groupBy("syllables").agg(F.count("*").alias("n")), "syllables")
+    met = counts.toDF("a", "n").join(counts.toDF("b", "m"), F.col("a") <= F.col("b"))  # a row per number of syllables
+    both = F.when(F.col("a") == F.col("b"), F.col("n") * (F.col("n") - 1) / 2).otherwise(F.col("n") * F.col("m"))
+    return met.select("a", "b", both.cast("long").alias("pairs"), F.round(phonetic.syllable_similarity(F.col("a"), F.col("b")), 9).alias("similarity"))
 
 
 def clean_text(spark, d):
@@ -168,6 +176,13 @@ def circular_correction(spark, d):
     return b.select("item_id", "word", text.without_circular_parts(F.col("word"), F.col("text")).alias("corrected"))
 
 
+def circular_repair(spark, d):
+    """Items as definitions of their first word, which they use in two more phrases, without the phrases that use it."""
+    b = _benchmark(spark, d).withColumn("word", F.lower(F.regexp_extract("text", r"(\p{L}{3,})", 1)))
+    said = F.concat(F.lit("Of, relating to, or of the nature of "), "word", F.lit("; "), "text", F.lit(", in a "), F.regexp_replace("word", "ly$", ""), F.lit(" manner, The "), "word", F.lit("s"))
+    return b.select("item_id", "word", text.repaired(F.col("word"), said).alias("repaired"))
+
+
 def sense_split(spark, d):
     s = text.senses(F.regexp_replace("text", r"\.[ \n]", "; "))
     return _said(spark, d).select("conv_id", "turn", F.size(s).cast("long").alias("senses"), text.numbered(s, F.lit("NOUN")).alias("composed"))
@@ -304,14 +319,22 @@ def dedup_terms(spark, d):
     return merged.where("page_id >= 0")
 
 
-QUERIES = {f.__name__: f for f in (cosine_pairs, neighbours_topk, similar_band, similarity_ranges, ego_graph_nodes, ego_graph_edges, endpoint_coverage, isolated_items, analogy_filter, analogy_stats, jaccard_pairs, levenshtein_pairs, phonetic_pairs, syllable_similarity, clean_text, clean_definition, split_definition, pos_rules, pos_impute, canonical_pos, obsolete, circular_correction, sense_split, ascii_punctuation, url_keys, same_host_links, domain_vote, rule_score, fuse_scores, cluster_domain, text_mining, extract_terms, link_definitions, similar_groups, tfidf_weights, word_clusters, principal_components, dense_groups, pos_classifier, csv_round_trip, ngram_totals, ngram_zipf, stream_daily_activity, stream_mastery, dedup_terms)}
+QUERIES = {f.__name__: f for f in (cosine_pairs, neighbours_topk, similar_band, similarity_ranges, ego_graph_nodes, ego_graph_edges, endpoint_coverage, isolated_items, analogy_filter, analogy_stats, jaccard_pairs, levenshtein_pairs, word_sounds, phonetic_pairs, syllable_similarity, clean_text, clean_definition, split_definition, pos_rules, pos_impute, canonical_pos, obsolete, circular_correction, circular_repair, sense_split, ascii_punctuation, url_keys, same_host_links, domain_vote, rule_score, fuse_scores, cluster_domain, text_mining, extract_terms, link_definitions, similar_groups, tfidf_weights, word_clusters, principal_components, dense_groups, pos_classifier, csv_round_trip, ngram_totals, ngram_zipf, stream_daily_activity, stream_mastery, dedup_terms)}
 
 EDGES = f"SELECT * FROM (SELECT a.vec_id AS a, b.vec_id AS b, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS score FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id) WHERE score >= {THRESHOLD}"
 BOTH = f"SELECT a AS src, b AS dst, score FROM ({EDGES}) UNION ALL SELECT b, a, score FROM ({EDGES})"
 SAID = "SELECT * FROM conversations WHERE role = 'assistant'"
 CLEAN = r"trim(regexp_replace(trim(regexp_replace({}, '[ \t\n\r\f]+', ' ', 'g')), '\[[0-9]+\]', '', 'g'))"
 BWORDS = r"SELECT item_id, word FROM (SELECT item_id, regexp_replace(unnest(string_split_regex(lower(text), '[ \t\n\r\f]+')), '[^\p{L}]', '', 'g') AS word FROM benchmark) WHERE length(word) > 1"
-SOUNDS = f"SELECT DISTINCT word, len(regexp_extract_all(word, '[aeiou]+')) AS syllables FROM ({BWORDS}) WHERE regexp_matches(word, '^[a-z]{{5,}}$')"
+READ = rf"""(SELECT word, array_to_string(ph, ' ') AS phonemes, ph, greatest(1, len(list_filter(ph, lambda p: p IN ({", ".join(f"'{v}'" for v in phonetic.VOWELS)})))) AS syllables FROM (
+  SELECT word, string_split(array_to_string(list_filter(list_transform(g, lambda x, i: CASE
+      WHEN x = 'th' THEN CASE WHEN i = 1 OR regexp_matches(g[i - 1], '[aeiou]') THEN 'DH' ELSE 'TH' END WHEN x = 'gh' THEN CASE WHEN i < len(g) THEN 'G' END
+      WHEN x = 'a' THEN CASE WHEN i = len(g) THEN 'AH' ELSE 'AE' END WHEN x = 'e' THEN CASE WHEN i < len(g) THEN 'EH' END
+      {" ".join(f"WHEN x = '{g}' THEN '{p}'" for g, p in phonetic.LETTERS.items())} END), lambda p: p IS NOT NULL), ' '), ' ') AS ph
+  FROM (SELECT word, regexp_extract_all(word, '({"|".join(phonetic.DIGRAPHS)}|.)') AS g FROM (
+    SELECT DISTINCT regexp_replace(unnest(string_split_regex(lower(text), '[ \t\n\r\f]+')), '[^\p{{L}}]', '', 'g') AS word FROM documents) WHERE regexp_matches(word, '^[a-z]{{2,}}$'))) WHERE ph <> [''])"""
+_IPA = "array_to_string(list_transform(ph, lambda p: CASE p " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in phonetic.IPA.items()) + " END), '')"
+SOUNDS = f"SELECT word, phonemes, ph, {_IPA} AS ipa, CASE WHEN v = 0 THEN '0' ELSE repeat('0', v) END AS stress, syllables FROM (SELECT *, len(list_filter(ph, lambda p: regexp_matches(p, '{'|'.join(phonetic.VOWELS)}'))) AS v FROM {READ})"
 EGO = f"WITH near AS (SELECT dst AS id FROM ({BOTH}) WHERE src = 7 AND score >= {THRESHOLD} ORDER BY score DESC, dst LIMIT 12), nodes AS (SELECT id FROM near UNION ALL SELECT 7), inner_edges AS (SELECT a, b, score FROM ({EDGES}) WHERE score >= 0.3 AND a IN (SELECT id FROM nodes) AND b IN (SELECT id FROM nodes))"
 _hits = lambda words: " + ".join(f"CAST(contains(t, '{w}') AS INT)" for w in words)
 _VOTES = ", ".join(f"({_hits(k)}) AS v{i}" for i, (_, _, k, _) in enumerate(RULES))
@@ -321,22 +344,48 @@ _POS = reduce(lambda a, b: a + b, ([f"WHEN {' OR '.join(f'''contains(h, '{m}')''
 _STARTS = [f"WHEN starts_with(d, '{s}') THEN '{p}'" for s, p in text.DEFINITION_STARTS] + [f"WHEN contains(d, '{s}') THEN '{p}'" for s, p in text.DEFINITION_PARTS] + ["WHEN (starts_with(d, 'in a ') OR starts_with(d, 'in an ')) AND (contains(d, ' manner') OR contains(d, ' way')) THEN 'ADVERB'"] + [f"WHEN suffix(w, '{e}') AND length(w) > {len(e)} THEN '{p}'" for p, ends in text.TERM_ENDINGS for e in ends]
 _DELIMITED = " ".join(f"WHEN contains(text, '{d}') THEN [trim(substring(text, 1, instr(text, '{d}') - 1), ' '), trim(substring(text, instr(text, '{d}') + {len(d)}), ' ')]" for d in text.DELIMITERS)
 
-_AGREE = lambda a, b, n: f"list_sum(list_transform(range(1, {n} + 1), lambda i: CAST(substring({a}, i, 1) = substring({b}, i, 1) AS INT)))"
-_VECTOR = lambda s: f"list_transform(range(1, 21), lambda i: CASE substring({s}, i, 1) WHEN '1' THEN 1.0::DOUBLE WHEN '2' THEN 0.5 ELSE 0.0 END)"
-SOUND_PAIRS = rf"""
-WITH w AS (SELECT DISTINCT word FROM (SELECT regexp_replace(unnest(string_split_regex(lower(text), '[ \t\n\r\f]+')), '[^\p{{L}}]', '', 'g') AS word FROM documents) WHERE regexp_matches(word, '^[a-z]{{5,}}$')),
-s AS (SELECT word, right(word, 3) AS tail, translate(regexp_replace(word, '[^aeiou]', '', 'g'), 'aeiou', '12010') AS st, len(regexp_extract_all(word, '[aeiou]+')) AS sy, length(word) AS n FROM w),
-p AS (SELECT a.word AS a, b.word AS b, a.st AS p, b.st AS q, greatest(length(a.st), length(b.st)) AS m, least(length(a.st), length(b.st)) AS k, 1 - levenshtein(a.word, b.word) / greatest(a.n, b.n) AS near,
-        CASE WHEN greatest(a.sy, b.sy) = 0 THEN 1 ELSE 1 - abs(a.sy - b.sy) / greatest(a.sy, b.sy) END AS sy, CASE WHEN a.sy = 0 OR b.sy = 0 THEN 0 ELSE 1 - abs(a.sy - b.sy) / greatest(a.sy, b.sy) END AS sz
-      FROM s a JOIN s b ON a.tail = b.tail AND a.word < b.word AND 0.4 * (1 - levenshtein(a.word, b.word) / greatest(a.n, b.n)) + 0.6 >= {SOUND} - 1e-9),
-f AS (SELECT *, 0.4 * near + 0.2 * CASE WHEN k = 0 THEN 0 ELSE {_AGREE("rpad(p, CAST(m AS INT), '0')", "rpad(q, CAST(m AS INT), '0')", "m")} / m END + 0.3 + 0.1 * sy AS sound FROM p)
+_END = lambda a, b, k: f"CAST(coalesce({a}[-{k}] = {b}[-{k}], false) AS INT)"
+_SAME = lambda a, b, n: f"list_sum(list_transform(range(1, {n} + 1), lambda i: CAST(substring({a}, i, 1) = substring({b}, i, 1) AS INT)))"
+#: Pairs meet under their last three phonemes, which 0.9 asks for, or, if one has fewer, under one of the last; stress is a row of zeros throughout.
+SOUND_PAIRS = f"""
+WITH s AS MATERIALIZED (SELECT *, array_to_string(ph, '') AS sound, len(ph) AS size FROM ({SOUNDS})),
+keys AS (SELECT word, array_to_string(ph[-3:], ' ') AS key FROM s WHERE size >= 3),
+met AS (SELECT x.word AS a, y.word AS b FROM keys x JOIN keys y ON x.key = y.key AND x.word < y.word
+  UNION SELECT least(x.word, y.word), greatest(x.word, y.word) FROM s x JOIN s y ON x.size < 3 AND x.word <> y.word AND (x.ph[-1] = y.ph[-1] OR x.ph[-2] = y.ph[-2])),
+p AS (SELECT met.a, met.b, x.ph AS u, y.ph AS v, x.ipa AS ui, y.ipa AS vi, length(x.stress) AS us, length(y.stress) AS vs, 1 - abs(x.syllables - y.syllables) / greatest(x.syllables, y.syllables) AS sy,
+    1 - levenshtein(x.sound, y.sound) / greatest(length(x.sound), length(y.sound)) AS near, least(x.size, y.size, 3) AS k, {_END("x.ph", "y.ph", 1)} + {_END("x.ph", "y.ph", 2)} + {_END("x.ph", "y.ph", 3)} AS ends
+  FROM met JOIN s x ON x.word = met.a JOIN s y ON y.word = met.b),
+f AS (SELECT *, 0.4 * near + 0.2 + 0.3 * ends / k + 0.1 * sy AS sound FROM p)
 SELECT a, b, round(sound, 6) AS by_phonemes,
-  round(0.4 * {_AGREE("a", "b", "20")} / 20 + 0.2 * coalesce(CASE WHEN list_sum({_VECTOR("p")}) > 0 AND list_sum({_VECTOR("q")}) > 0 THEN list_cosine_similarity({_VECTOR("p")}, {_VECTOR("q")}) END, 0) + 0.3 + 0.1 * sy, 6) AS by_vectors,
-  round(0.4 * near + 0.2 * CASE WHEN k = 0 THEN 0 ELSE {_AGREE("p", "q", "k")} / m END + 0.3 + 0.1 * sz, 6) AS by_characters
-FROM f WHERE sound >= {SOUND} - 1e-9
+  round(0.4 * list_sum(list_transform(range(1, 21), lambda i: CAST(coalesce(u[i], '') = coalesce(v[i], '') AS INT))) / 20 + 0.3 * list_sum(list_transform(range(1, 4), lambda i: CAST(coalesce(u[-i], '') = coalesce(v[-i], '') AS INT))) / 3 + 0.1 * sy, 6) AS by_vectors,
+  round(0.4 * (1 - levenshtein_ipa / greatest(length(ui), length(vi))) + 0.2 * least(us, vs) / greatest(us, vs) + 0.3 * {_SAME("reverse(ui)", "reverse(vi)", "least(3, length(ui), length(vi))")} / least(3, greatest(length(ui), length(vi))) + 0.1 * sy, 6) AS by_characters
+FROM (SELECT *, levenshtein(translate(ui, '{"".join(sorted(set("".join(phonetic.IPA.values())) - set("abcdefghijklmnopqrstuvwxyz")))}', '0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ'), translate(vi, '{"".join(sorted(set("".join(phonetic.IPA.values())) - set("abcdefghijklmnopqrstuvwxyz")))}', '0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ')) AS levenshtein_ipa FROM f WHERE sound >= {SOUND} - 1e-9)
 """
 
+_STEM = "CASE " + " ".join(f"WHEN suffix({{w}}, '{end}') AND length({{w}}) > {len(end) + 2} THEN concat(left({{w}}, length({{w}}) - {len(end)}), '{new}')" for end, new in text.STEM_RULES) + " ELSE {w} END"
+_MORE = {"ly": ("al", "ic"), "ic": ("y", "ical"), "al": ("ic", "ly")}
+_ROOTS = ", ".join(f"CASE WHEN suffix({{w}}, '{end}') AND length({{w}}) > {len(end) + 2} THEN concat(left({{w}}, length({{w}}) - {len(end)}), '{m}') END" for end in text.SUFFIXES for m in ("", *_MORE.get(end, ())))
+_VARIATIONS = lambda w: f"list_filter(list_distinct([{w}, {_STEM.format(w=w)}, {_ROOTS.format(w=w)}]), lambda v: length(v) >= 3)"
+_USED = lambda t: f"regexp_extract_all(lower({t}), '[\\p{{L}}\\p{{N}}_]+')"
+_FIRST_WORD = r"SELECT item_id, text, lower(regexp_extract(text, '(\p{L}{3,})', 1)) AS word FROM benchmark"
+_in_row = lambda template, name, value: "'(?i)" + template.replace("{s}", text.SPACE).replace(f"{{{name}}}", f"' || {value} || '") + "'"
+_FREED = "d"
+for _template, _instead in text.CIRCULAR_PHRASES:
+    _FREED = f"regexp_replace({_FREED}, {_in_row(_template, 'm', 'm')}, '{_instead.replace('$', chr(92))}', 'g')"
+_FREED = f"CASE WHEN suffix(word, 'ly') THEN regexp_replace({_FREED}, {_in_row(text.BY_MANNER, 'b', 'left(word, length(word) - 2)')}, '', 'g') ELSE {_FREED} END"
+_TIDIED = "x"
+for _pattern, _instead in text.TIDY:
+    _TIDIED = f"regexp_replace({_TIDIED}, '{_pattern}', '{_instead}', 'g')"
+_TIDIED = f"trim({_TIDIED}, ' ')"
+
 ORACLES = {
+    "circular_correction": f"""SELECT item_id, word, concat(upper(kept[1]), substring(kept, 2)) AS corrected FROM (SELECT item_id, word, nullif(array_to_string(list_filter(list_transform(string_split_regex(text, '[;,]'), lambda p: trim(p, ' ')),
+        lambda p: p <> '' AND len(list_intersect({_VARIATIONS("word")}, {_USED("p")})) = 0), '; '), '') AS kept FROM ({_FIRST_WORD})) WHERE kept IS NOT NULL
+        UNION ALL SELECT item_id, word, NULL FROM ({_FIRST_WORD}) WHERE array_to_string(list_filter(list_transform(string_split_regex(text, '[;,]'), lambda p: trim(p, ' ')), lambda p: p <> '' AND len(list_intersect({_VARIATIONS("word")}, {_USED("p")})) = 0), '; ') = ''""",
+    "circular_terms": f"SELECT item_id, word, array_to_string(list_sort(list_filter(list_intersect({_VARIATIONS('word')}, {_USED('text')}), lambda v: v <> word)), ',') AS found FROM (SELECT DISTINCT item_id, word FROM ({BWORDS})) JOIN benchmark USING (item_id)",
+    "circular_repair": f"""SELECT item_id, word, concat(upper(r[1]), substring(r, 2)) AS repaired FROM (SELECT item_id, word, {_TIDIED} AS r FROM (
+        SELECT item_id, word, list_reduce(list_prepend(said, list_sort(list_intersect({_VARIATIONS("word")}, {_USED("said")}))), lambda d, m: {_FREED}) AS x FROM (
+        SELECT item_id, word, concat('Of, relating to, or of the nature of ', word, '; ', text, ', in a ', regexp_replace(word, 'ly$', ''), ' manner, The ', word, 's') AS said FROM ({_FIRST_WORD}))))""",
     "cosine_pairs": f"SELECT a, b, round(score, 6) AS score FROM ({EDGES})",
     "neighbours_topk": f"SELECT src, dst, round(score, 6) AS score, place FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY score DESC, dst) AS place FROM ({BOTH})) WHERE place <= 3",
     "similar_band": f"SELECT src, count(*) AS n, round(max(score), 6) AS best FROM ({BOTH}) WHERE score BETWEEN 0.3 AND 0.5 GROUP BY 1",
@@ -349,7 +398,8 @@ ORACLES = {
     "analogy_stats": f"SELECT p.label AS la, count(*) AS n, round(avg(score), 6) AS mean, round(count(*) FILTER (p.label = q.label) * 100.0::DOUBLE / count(*), 6) AS same_percent FROM ({EDGES}) x JOIN embeddings p ON p.vec_id = x.a JOIN embeddings q ON q.vec_id = x.b GROUP BY 1",
     "jaccard_pairs": r"WITH w AS (SELECT item_id, list_distinct(list_filter(string_split_regex(lower(text), '[ \t\n\r\f]+'), lambda x: x <> '')) AS s FROM benchmark) SELECT * FROM (SELECT a.item_id AS a, b.item_id AS b, round(len(list_intersect(a.s, b.s)) / len(list_distinct(list_concat(a.s, b.s))), 9) AS jaccard FROM w a JOIN w b ON a.item_id < b.item_id) WHERE jaccard > 0.1",
     "levenshtein_pairs": f"WITH t AS (SELECT DISTINCT word FROM ({BWORDS}) WHERE regexp_matches(word, '^[a-z]{{4,}}$')) SELECT a.word AS a, b.word AS b, round(levenshtein(a.word, b.word) / greatest(length(a.word), length(b.word)), 9) AS distance FROM t a JOIN t b ON a.word < b.word AND substring(a.word, 1, 4) = substring(b.word, 1, 4)",
-    "syllable_similarity": f"WITH s AS ({SOUNDS}) SELECT a.word AS a, b.word AS b, round(CASE WHEN greatest(a.syllables, b.syllables) = 0 THEN 1 ELSE 1 - abs(a.syllables - b.syllables) / greatest(a.syllables, b.syllables) END, 9) AS similarity FROM s a JOIN s b ON a.word < b.word AND substring(a.word, 1, 3) = substring(b.word, 1, 3)",
+    "word_sounds": f"SELECT word, phonemes, ipa, stress, CAST(syllables AS INT) AS syllables FROM ({SOUNDS})",
+    "syllable_similarity": f"WITH c AS MATERIALIZED (SELECT CAST(syllables AS INT) AS s, count(*) AS n FROM ({SOUNDS}) GROUP BY 1) SELECT x.s AS a, y.s AS b, CASE WHEN x.s = y.s THEN x.n * (x.n - 1) // 2 ELSE x.n * y.n END AS pairs, round(1 - abs(x.s - y.s) / greatest(x.s, y.s), 9) AS similarity FROM c x JOIN c y ON x.s <= y.s",
     "phonetic_pairs": SOUND_PAIRS,
     "url_keys": r"SELECT page_id, sha256(url) AS key, regexp_replace(lower(h) || substring(x, length(h) + 1), '/$', '') AS normal FROM (SELECT page_id, url, x, regexp_extract(x, '^([A-Za-z]+://[^/?]*)', 1) AS h FROM (SELECT page_id, url, regexp_replace(regexp_replace(regexp_replace(url, '#.*$', ''), '([?&])utm_[a-z]+=[^&]*', '\1', 'g'), '[?&]+$', '') AS x FROM pages))",
     "clean_text": f"SELECT conv_id, turn, {CLEAN.format('text')} AS cleaned FROM ({SAID})",

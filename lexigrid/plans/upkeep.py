@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lexigrid.operators import blocks, maintenance, sessions
+from lexigrid.operators import blocks, maintenance, planner, sessions
+from lexigrid.sources import files
 from lexigrid.sources.tables import scratch, table, tokens, written
 from lexigrid.streaming import activity, refresh
 
@@ -96,7 +97,42 @@ def late_events(spark: SparkSession, d: str) -> DataFrame:
     return every.groupBy("batch").agg(F.count("*").alias("n")).join(taken, "batch", "left").select("batch", "n", (F.col("n") - F.coalesce("taken", F.lit(0))).alias("late"))
 
 
-QUERIES = {f.__name__: f for f in (resumable_pairs, pair_manifest, rarity_refresh, rarity_backfill, visits, stream_visits, timely_visits, late_events)}
+def _index(spark: SparkSession, d: str) -> DataFrame:
+    """Words of the documents by year of use, written as an index."""
+    path = scratch(spark, "ngram-index")
+    counted = tokens(table(spark, d, "documents"), "doc_id").groupBy("word", (F.col("doc_id") % 5 + 2000).cast("long").alias("year"))
+    files.write_ngrams(counted.agg(F.count("*").alias("matches"), F.count_distinct("doc_id").alias("volumes")), path)
+    return files.read_index(spark, path)
+
+
+def index_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """Uses by year of the benchmark's words, by filters on folders and row groups."""
+    return files.indexed_lookup(_index(spark, d), tokens(table(spark, d, "benchmark"), "item_id"))
+
+
+def index_join(spark: SparkSession, d: str) -> DataFrame:
+    """Uses by year of the words of assistants, by a join that prunes folders."""
+    said = tokens(table(spark, d, "conversations").where("role = 'assistant'"), "conv_id")
+    return files.indexed_lookup(_index(spark, d), said, listed=0).groupBy("word").agg(F.count("*").alias("years"), F.sum("matches").alias("matches"))
+
+
+POS = ("noun", "verb", "adjective", "adverb")
+
+
+def fill_plan(spark: SparkSession, d: str) -> DataFrame:
+    """Assistants' last words as rows to fill, the documents' words by source as definitions, the benchmark's words as filled nouns."""
+    said = table(spark, d, "conversations").where("role = 'assistant'")
+    term = F.lower(F.regexp_extract("text", r"(\p{L}{2,})[^\p{L}]*$", 1))
+    kind = F.get(F.array(*(F.lit(p) for p in (None, "noun", "verb"))), F.pmod(F.col("conv_id") + F.col("turn"), F.lit(3)).cast("int"))
+    rows = said.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), term.alias("term"), kind.alias("pos")).where("term <> ''")
+    used = tokens(table(spark, d, "documents"), "source").groupBy(F.col("word").alias("term"), "source").agg(F.count("*").alias("reliability"))
+    place = F.pmod(F.regexp_extract("source", r"(\d+)", 1).cast("int"), F.lit(4))
+    found = used.select("term", F.get(F.array(*map(F.lit, POS)), place).alias("pos"), F.concat_ws(" in ", "term", "source").alias("text"), "source", "reliability")
+    filled = tokens(table(spark, d, "benchmark"), "item_id").select(F.col("word").alias("term"), F.lit("noun").alias("pos"))
+    return planner.plan_fill(rows, found, filled)
+
+
+QUERIES = {f.__name__: f for f in (resumable_pairs, pair_manifest, rarity_refresh, rarity_backfill, visits, stream_visits, timely_visits, late_events, index_lookup, index_join, fill_plan)}
 
 _PAIRS = f"SELECT a, b, round(s, 6) AS score FROM (SELECT x.vec_id AS a, y.vec_id AS b, list_cosine_similarity(CAST(x.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[])) AS s FROM embeddings x JOIN embeddings y ON x.vec_id < y.vec_id) WHERE s >= {THRESHOLD}"
 _WORDS = r"SELECT term, count(*) AS n, count(*) FILTER (doc_id % 2 = 0) AS half FROM (SELECT doc_id, regexp_replace(unnest(string_split_regex(lower(text), '[ \t\n\r\f]+')), '[^\p{L}]', '', 'g') AS term FROM documents) WHERE length(term) > 1 GROUP BY 1"
@@ -113,7 +149,27 @@ def _visits(rows: str) -> str:
 _CLOSED = f"{_TAKEN} SELECT * FROM ({_visits('taken')}) WHERE ended <= (SELECT max(closed) FROM taken)"
 _RANKED = f"SELECT term, n, half, rank() OVER (ORDER BY n) AS rank, round(1 - percent_rank() OVER (ORDER BY n), 9) AS rarity FROM ({_WORDS})"
 
+_SPLIT = r"regexp_replace(unnest(string_split_regex(lower(text), '[ \t\n\r\f]+')), '[^\p{L}]', '', 'g') AS word"
+_YEARS = f"SELECT word, doc_id % 5 + 2000 AS year, count(*) AS matches FROM (SELECT doc_id, {_SPLIT} FROM documents) WHERE length(word) > 1 GROUP BY 1, 2"
+_FILL = rf"""
+WITH asked AS (SELECT * FROM (SELECT conv_id * 1000 + turn AS id, lower(regexp_extract(text, '(\p{{L}}{{2,}})[^\p{{L}}]*$', 1)) AS term, [NULL, 'noun', 'verb'][(conv_id + turn) % 3 + 1] AS pos FROM conversations WHERE role = 'assistant') WHERE term <> ''),
+used AS (SELECT word AS term, source, count(*) AS reliability FROM (SELECT source, {_SPLIT} FROM documents) WHERE length(word) > 1 GROUP BY 1, 2),
+kinds AS (SELECT *, {list(POS)}[CAST(regexp_extract(source, '(\d+)', 1) AS INT) % 4 + 1] AS pos, concat(term, ' in ', source) AS text FROM used),
+best AS (SELECT * FROM kinds WHERE term IN (SELECT term FROM asked) QUALIFY row_number() OVER (PARTITION BY term, pos ORDER BY reliability DESC, source, text) = 1),
+direct AS (SELECT a.id, a.term, a.pos, text, source FROM (SELECT term, pos, min(id) AS id FROM asked WHERE pos IS NOT NULL GROUP BY 1, 2) a JOIN best b ON b.term = a.term AND b.pos = a.pos),
+rest AS (SELECT *, row_number() OVER (PARTITION BY term ORDER BY reliability DESC, pos) AS n FROM best WHERE (term, pos) NOT IN (SELECT term, pos FROM direct)),
+blank AS (SELECT *, row_number() OVER (PARTITION BY term ORDER BY id) AS n FROM asked WHERE pos IS NULL),
+zipped AS (SELECT blank.id, rest.term, rest.pos, text, source FROM rest LEFT JOIN blank ON blank.term = rest.term AND blank.n = rest.n),
+filled AS (SELECT DISTINCT word AS term FROM (SELECT {_SPLIT} FROM benchmark) WHERE length(word) > 1),
+updates AS (SELECT * FROM direct UNION ALL SELECT * FROM zipped WHERE id IS NOT NULL)
+SELECT 'update' AS action, * FROM updates UNION ALL SELECT 'insert', * FROM zipped WHERE id IS NULL AND NOT (pos = 'noun' AND term IN (SELECT term FROM filled))
+UNION ALL SELECT 'skip', id, term, pos, NULL, NULL FROM asked WHERE id NOT IN (SELECT id FROM updates)
+"""
+
 ORACLES = {
+    "index_lookup": f"SELECT * FROM ({_YEARS}) WHERE word IN (SELECT word FROM (SELECT {_SPLIT} FROM benchmark))",
+    "index_join": f"SELECT word, count(*) AS years, CAST(sum(matches) AS BIGINT) AS matches FROM ({_YEARS}) WHERE word IN (SELECT word FROM (SELECT {_SPLIT} FROM conversations WHERE role = 'assistant')) GROUP BY 1",
+    "fill_plan": _FILL,
     "resumable_pairs": _PAIRS,
     "pair_manifest": f"SELECT {BLOCKS * (BLOCKS + 1) // 2} AS finished, {BLOCKS * (BLOCKS + 1) // 2} AS different, count(*) AS pairs FROM ({_PAIRS})",
     "rarity_refresh": f"SELECT term, n, rank, rarity FROM ({_RANKED})",

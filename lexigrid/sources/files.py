@@ -33,9 +33,33 @@ def read_ngrams(spark: SparkSession, path: str) -> DataFrame:
     return long.unionByName(wide).where("year IS NOT NULL AND matches IS NOT NULL")
 
 
+#: Words that are put into the filter of a lookup; more are joined.
+LISTED = 10_000
+
+
 def write_ngrams(ngrams: DataFrame, path: str) -> None:
-    """By first letter, so that a lookup reads the folders it needs only."""
-    ngrams.withColumn("initial", F.lower(F.substring("word", 1, 1))).write.partitionBy("initial").parquet(path)
+    """An index by first letter, sorted by word in each file: a lookup reads the folders and row groups that it needs only."""
+    ngrams.withColumn("initial", F.lower(F.substring("word", 1, 1))).repartitionByRange("initial", "word").sortWithinPartitions("initial", "word").write.partitionBy("initial").parquet(path)
+
+
+def read_index(spark: SparkSession, path: str) -> DataFrame:
+    """word, year, matches and initial of an index."""
+    return spark.read.schema("word string, year long, matches long, volumes long, initial string").parquet(path)
+
+
+def indexed_lookup(index: DataFrame, words: DataFrame, word_col: str = "word", listed: int = LISTED) -> DataFrame:
+    """word, year, matches of the words, as they are written in the index.
+
+    So many words at most become filters on folders and row groups. More are joined on letter and word, and Spark
+    prunes folders by the letters that the words have. Words without entry give no rows; null and repeated ones don't matter.
+    """
+    asked = words.select(F.col(word_col).alias("word")).where("word IS NOT NULL AND word <> ''").distinct()
+    some = [r[0] for r in asked.limit(listed + 1).collect()]
+    if len(some) <= listed:
+        initials = sorted({w[0].lower() for w in some})
+        return index.where(F.col("initial").isin(initials) & F.col("word").isin(some)).select("word", "year", "matches")
+    keyed = asked.withColumn("initial", F.lower(F.substring("word", 1, 1)))
+    return index.join(keyed, ["initial", "word"]).select("word", "year", "matches")
 
 
 def ngram_totals(ngrams: DataFrame, least: int = 1) -> DataFrame:
