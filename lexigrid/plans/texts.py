@@ -10,8 +10,7 @@ from lexigrid.functions import phonetic, text
 from lexigrid.functions.text import words_in
 from lexigrid.operators import classify, graphs, links, maintenance, models, pairs
 from lexigrid.plans.frames import MASTERY
-from lexigrid.sources import files
-from lexigrid.sources.html_terms import extract_terms as terms_of_pages
+from lexigrid.sources import files, page_terms, wiki_markup
 from lexigrid.sources.tables import scratch, table, tokens, written
 from lexigrid.streaming import activity
 
@@ -227,8 +226,39 @@ def text_mining(spark, d):
     return links.text_sections(lines, "doc_id", "place", "line").select("doc_id", "section", "term", F.sha2("definition", 256).alias("digest"))
 
 
+def _glossaries(spark, d):
+    """A page for each conversation: assistants' turns as entries of their last words, in one of six layouts."""
+    said = _said(spark, d).select("conv_id", "turn", F.regexp_extract("text", r"([A-Za-z]{3,})[^A-Za-z]*$", 1).alias("term"), F.replace(F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")).alias("body")).where("term <> ''")
+    listed = said.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "term", "body"))).alias("e"))
+    each = lambda *parts: F.array_join(F.transform("e", lambda e: F.concat(*(F.lit(p) if p[:1] in ("<", ":", " ") else e[p] for p in parts))), "")
+    table_ = lambda head, *parts: F.concat(F.lit(f"<table><tr>{head}</tr>"), each(*parts), F.lit("</table>"))
+    layouts = [
+        F.concat(F.lit("<dl>"), each("<dt>", "term", "<dd>", "body", "</dd>"), F.lit("</dl>")),
+        table_("<th>No.<th>Meaning<th>Word</th>", "<tr><td>1.</td><td>", "body", "</td><td>", "term", "</td></tr>"),
+        F.concat(F.lit("<ul>"), each("<li><b>", "term", "</b>", ": ", "body"), F.lit("</ul>")),
+        each("<div class='glossary-entry'><h3>", "term", "</h3><span>", "body", "</span></div>"),
+        F.concat(F.lit("<div>"), each("<br>", "term", " — ", "body"), F.lit("<br>" * 10 + "</div>")),
+        table_("<th>Word</th><th>Meaning</th>", "<tr><td>", "term", "</td><td>", "body", "</td></tr>"),
+    ]
+    layout = F.get(F.array(*layouts), F.pmod("conv_id", F.lit(6)).cast("int"))
+    return listed.select(F.col("conv_id").alias("page_id"), F.concat(F.lit("<html><body><script>if (1 < 2) {}</script>"), layout, F.lit("</body></html>")).alias("html"))
+
+
+def page_structure(spark, d):
+    """What kinds of word lists the glossary pages hold."""
+    return page_terms.page_structure(_glossaries(spark, d))
+
+
+def word_list_pages(spark, d):
+    """Pages of the table that look like word lists, and their entries."""
+    pages = table(spark, d, "pages")
+    lists = page_terms.page_structure(pages).where("is_word_list").select("page_id")
+    return page_terms.extract_terms(pages.join(lists, "page_id", "left_semi"))
+
+
 def extract_terms(spark, d):
-    return terms_of_pages(table(spark, d, "pages"))
+    """Terms and definitions of the glossary pages."""
+    return page_terms.extract_terms(_glossaries(spark, d))
 
 
 def link_definitions(spark, d):
@@ -268,6 +298,24 @@ def pos_classifier(spark, d):
     return models.text_classes(docs, _benchmark(spark, d).select("item_id", "text"), "text", "lang").select("item_id", "lang", F.round("probability", 4).alias("probability"))
 
 
+#: Characters that may mean something in wiki markup.
+PLAIN = "[^A-Za-z0-9 .,;]"
+
+
+def wiki_senses(spark, d):
+    """Senses of old words from a dump: a page for each conversation, with a section for each assistant's turn."""
+    kind = F.get(F.array(*map(F.lit, ("Noun", "Verb", "Adjective"))), F.pmod("turn", F.lit(3)).cast("int"))
+    mark = F.when(F.pmod(F.col("conv_id") + F.col("turn"), F.lit(4)) == 1, "archaic").otherwise("informal")
+    body = F.trim(F.regexp_replace(F.regexp_replace("text", PLAIN, " "), " +", " "))
+    parts = ["\n===", kind, "===\n{{en-head|{{x|y}}}}\n# {{lb|en|", mark, "}} [[target {{z|[[w]]}}|", body, "]]<ref/> {{outer|a={{inner|b}}}}\n## within\n#: an example\n"]
+    section = F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
+    pages = _said(spark, d).where(F.length(body) > 0).groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", section.alias("s")))), lambda x: x["s"]), "").alias("s"))
+    said = F.concat(F.lit("==English==\n===Etymology===\nFrom [[old|older]] {{m|la|x}} words.\n"), "s", F.lit("\n==French==\n===Noun===\n# {{lb|en|archaic}} not English\n"))
+    path = scratch(spark, "dump")
+    files.write_dump(pages.select(F.concat(F.lit("Word "), F.col("conv_id").cast("string")).alias("title"), said.alias("text")), path)
+    return wiki_markup.wiki_senses(files.read_dump(spark, path)).withColumn("marks", F.array_join("marks", ","))
+
+
 def csv_round_trip(spark, d):
     """Conversations written as quoted CSV and read again."""
     path = scratch(spark, "csv")
@@ -319,7 +367,7 @@ def dedup_terms(spark, d):
     return merged.where("page_id >= 0")
 
 
-QUERIES = {f.__name__: f for f in (cosine_pairs, neighbours_topk, similar_band, similarity_ranges, ego_graph_nodes, ego_graph_edges, endpoint_coverage, isolated_items, analogy_filter, analogy_stats, jaccard_pairs, levenshtein_pairs, word_sounds, phonetic_pairs, syllable_similarity, clean_text, clean_definition, split_definition, pos_rules, pos_impute, canonical_pos, obsolete, circular_correction, circular_repair, sense_split, ascii_punctuation, url_keys, same_host_links, domain_vote, rule_score, fuse_scores, cluster_domain, text_mining, extract_terms, link_definitions, similar_groups, tfidf_weights, word_clusters, principal_components, dense_groups, pos_classifier, csv_round_trip, ngram_totals, ngram_zipf, stream_daily_activity, stream_mastery, dedup_terms)}
+QUERIES = {f.__name__: f for f in (cosine_pairs, neighbours_topk, similar_band, similarity_ranges, ego_graph_nodes, ego_graph_edges, endpoint_coverage, isolated_items, analogy_filter, analogy_stats, jaccard_pairs, levenshtein_pairs, word_sounds, phonetic_pairs, syllable_similarity, clean_text, clean_definition, split_definition, pos_rules, pos_impute, canonical_pos, obsolete, circular_correction, circular_repair, sense_split, ascii_punctuation, url_keys, same_host_links, domain_vote, rule_score, fuse_scores, cluster_domain, text_mining, extract_terms, page_structure, word_list_pages, link_definitions, similar_groups, tfidf_weights, word_clusters, principal_components, dense_groups, pos_classifier, wiki_senses, csv_round_trip, ngram_totals, ngram_zipf, stream_daily_activity, stream_mastery, dedup_terms)}
 
 EDGES = f"SELECT * FROM (SELECT a.vec_id AS a, b.vec_id AS b, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS score FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id) WHERE score >= {THRESHOLD}"
 BOTH = f"SELECT a AS src, b AS dst, score FROM ({EDGES}) UNION ALL SELECT b, a, score FROM ({EDGES})"
@@ -382,6 +430,13 @@ ORACLES = {
     "circular_correction": f"""SELECT item_id, word, concat(upper(kept[1]), substring(kept, 2)) AS corrected FROM (SELECT item_id, word, nullif(array_to_string(list_filter(list_transform(string_split_regex(text, '[;,]'), lambda p: trim(p, ' ')),
         lambda p: p <> '' AND len(list_intersect({_VARIATIONS("word")}, {_USED("p")})) = 0), '; '), '') AS kept FROM ({_FIRST_WORD})) WHERE kept IS NOT NULL
         UNION ALL SELECT item_id, word, NULL FROM ({_FIRST_WORD}) WHERE array_to_string(list_filter(list_transform(string_split_regex(text, '[;,]'), lambda p: trim(p, ' ')), lambda p: p <> '' AND len(list_intersect({_VARIATIONS("word")}, {_USED("p")})) = 0), '; ') = ''""",
+    "page_structure": f"SELECT conv_id AS page_id, CAST(k = 0 AND n > 1 AS BIGINT) AS definition_lists, CAST(k = 5 AND n > 2 AND good > 2 AS BIGINT) AS tables, CAST(k = 2 AND n > 2 AS BIGINT) AS lists, CASE WHEN k = 3 THEN n ELSE 0 END AS blocks, (k = 0 AND n > 1) OR (k = 5 AND n > 2 AND good > 2) OR (k = 2 AND n > 2) OR k = 3 AS is_word_list FROM (SELECT conv_id, conv_id % 6 AS k, count(*) AS n, count(*) FILTER (r < 6 AND length(trim(text, ' ')) >= 10) AS good FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM ({SAID}) WHERE regexp_matches(text, '[A-Za-z]{{3,}}[^A-Za-z]*$')) GROUP BY 1)",
+    "extract_terms": rf"""WITH e AS (SELECT conv_id, turn, conv_id % 6 AS k, regexp_extract(text, '([A-Za-z]{{3,}})[^A-Za-z]*$', 1) AS term, regexp_replace(regexp_replace({CLEAN.format("text")}, '{text.LEADING}', ''), '{text.POS_LEAD}', '') AS definition, count(*) OVER (PARTITION BY conv_id) AS n FROM ({SAID}) WHERE term <> ''),
+        good AS (SELECT *, count(*) OVER (PARTITION BY conv_id) AS found FROM e WHERE length(term) BETWEEN 2 AND 64 AND length(definition) >= 8 AND regexp_matches(definition, '\p{{L}}')),
+        one AS (SELECT * FROM good WHERE (k <> 2 OR n >= 3) AND (k <> 4 OR found >= 2) QUALIFY row_number() OVER (PARTITION BY conv_id, lower(term) ORDER BY turn) = 1)
+        SELECT conv_id AS page_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS place, term, definition FROM one""",
+    "wiki_senses": f"""SELECT concat('word ', conv_id) AS term, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS place, lower(['Noun', 'Verb', 'Adjective'][turn % 3 + 1]) AS pos, body AS definition, 'archaic' AS marks, CAST(NULL AS VARCHAR) AS context, 'From older words.' AS etymology
+        FROM (SELECT *, trim(regexp_replace(regexp_replace(text, '{PLAIN}', ' ', 'g'), ' +', ' ', 'g'), ' ') AS body FROM ({SAID})) WHERE body <> '' AND (conv_id + turn) % 4 = 1""",
     "circular_terms": f"SELECT item_id, word, array_to_string(list_sort(list_filter(list_intersect({_VARIATIONS('word')}, {_USED('text')}), lambda v: v <> word)), ',') AS found FROM (SELECT DISTINCT item_id, word FROM ({BWORDS})) JOIN benchmark USING (item_id)",
     "circular_repair": f"""SELECT item_id, word, concat(upper(r[1]), substring(r, 2)) AS repaired FROM (SELECT item_id, word, {_TIDIED} AS r FROM (
         SELECT item_id, word, list_reduce(list_prepend(said, list_sort(list_intersect({_VARIATIONS("word")}, {_USED("said")}))), lambda d, m: {_FREED}) AS x FROM (

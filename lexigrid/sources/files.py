@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from xml.sax.saxutils import escape
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from lexigrid.sources.tables import written
@@ -99,6 +103,19 @@ def read_dump(spark: SparkSession, path: str) -> DataFrame:
     return raw.select("title", F.col("revision.text._VALUE").alias("text"))
 
 
+def write_dump(pages: DataFrame, path: str) -> None:
+    """Pages (title, text) as XML files that `read_dump` reads: one root for each, as parsers stop after the first."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lines = lambda x: pa.RecordBatch.from_arrays([pa.array(x, pa.string())], ["value"])
+        yield lines(["<mediawiki>"])
+        for batch in batches:
+            yield lines([f"<page><title>{escape(t or '')}</title><revision><text>{escape(x or '')}</text></revision></page>" for t, x in zip(*(c.to_pylist() for c in batch.columns), strict=True)])
+        yield lines(["</mediawiki>"])
+
+    pages.select(F.col("title").cast("string"), "text").mapInArrow(rows, "value string").write.text(path)
+
+
 def lookup(terms: DataFrame, scores: DataFrame, not_found: float = -999.0) -> DataFrame:
     """terms with score, not_found if the table has none."""
     return terms.join(scores.select(F.lower("word").alias("__w"), "score"), F.lower("term") == F.col("__w"), "left").drop("__w").withColumn("score", F.coalesce("score", F.lit(not_found)))

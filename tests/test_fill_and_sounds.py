@@ -53,7 +53,7 @@ def test_words_are_read(spark):
         ("fable", "of, relating to, or of the nature of fable; a short tale", "A short tale"),
         ("hunter", "one who hunts, a hunter, the hunters;", "One who hunts;"),
         ("quickly", "in a quick manner, at once", "In manner, at once"),
-        ("wily", "wily: in a wiry manner, said the wily", "Wily: in a wiry manner, said"),
+        ("wily", "wily: in a wiry manner, said the wily", "Wily: , said"),
         ("ably", "ably, in a table manner; well", "Ably; well"),
         ("quickly", "in a rather quick manner", "In a rather quick manner"),
         ("cat", "a small animal", "A small animal"),

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from lexigrid.functions import phonetic, scores, text
 from lexigrid.operators import analytics, links, pairs, rarity, ranks, state
-from lexigrid.sources import files, html_terms
+from lexigrid.sources import files, page_terms
 
 
 def one(spark, column, **given):
@@ -115,12 +115,12 @@ def test_prefix_duplicates_and_spellings(spark):
 
 def test_html_pages():
     page = "<p>" + "".join(f"<b>{t}</b> n. {d}<br>" for t, d in [("Abactor", "cattle thief"), ("Abaculus", "mosaic tile"), ("Abaddon", "a place of ruin")] * 4) + "</p>"
-    assert ("Abactor", "cattle thief") in html_terms.extract(page) and len(html_terms.extract(page)) == 3
+    assert ("Abactor", "cattle thief") in page_terms.entries(page) and len(page_terms.entries(page)) == 3
     listed = "<ul>" + "".join(f"<li><a href='#'><b>{t}</b></a> — {d}</li>" for t, d in [("Abactor", "cattle thief"), ("Abaculus", "mosaic tile"), ("Abaddon", "a place of ruin")]) + "</ul>"
-    assert [t for t, _ in html_terms.extract(listed)] == ["Abactor", "Abaculus", "Abaddon"]
-    assert html_terms.extract("<p>Abactor n. cattle thief</p><p>Abaculus n. mosaic tile</p>") == [("Abactor", "cattle thief"), ("Abaculus", "mosaic tile")]
-    assert html_terms.extract("<dl><dt>Term</dt><dd>some long meaning</dd></dl><table><tr><td>Word</td><td>another meaning</td></tr></table>") == [("Term", "some long meaning"), ("Word", "another meaning")]
-    assert html_terms.extract(None) == []
+    assert [t for t, _ in page_terms.entries(listed)] == ["Abactor", "Abaculus", "Abaddon"]
+    assert page_terms.entries("<p>Abactor n. cattle thief</p><p>Abaculus n. mosaic tile</p>") == [("Abactor", "cattle thief"), ("Abaculus", "mosaic tile")]
+    assert page_terms.entries("<dl><dt>Term</dt><dd>some long meaning</dd></dl><table><tr><th>Meaning</th><th>Word</th></tr><tr><td>another meaning</td><td>Word</td></tr></table>") == [("Term", "some long meaning"), ("Word", "another meaning")]
+    assert page_terms.entries(None) == []
 
 
 def test_greedy_links(spark):
