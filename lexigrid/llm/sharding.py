@@ -11,7 +11,8 @@ A uniform shuffle of rows into shards whose sizes differ by one at most (the law
 
 Defined cases. Null text: no bytes, CRC-32 of nothing (0). Repeated rows and equal texts are rows like
 any others and get slots of their own. Fewer rows than shards: some shards are empty. An empty table
-gives no rows. Null ids are hashed as empty text. Other columns pass through.
+gives no rows. Null ids are hashed as empty text. Other columns pass through
+whatever their names; those called size, text_crc32, shard and slot are replaced.
 
 Scale: rows are written once (step 1) and exchanged once (step 3). The matrix has a row per partition
 and a column per shard, numbers only. Nothing groups by a key of the data: neither a hot source nor
@@ -25,7 +26,7 @@ import math
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from lexigrid.llm.common import scratch, written
+from lexigrid.llm.common import boxed, scratch, written
 
 #: Rows a sub-block of a shard should have, for the ordering in step 4.
 BLOCK_ROWS = 200_000
@@ -83,14 +84,14 @@ def _row_hash(seed: int, columns: list[Column]) -> Column:
 def shuffle_into_shards(docs: DataFrame, *, shards: int = 16, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The columns in `keep` (all by default) with size, text_crc32, shard and slot."""
     spark = docs.sparkSession
-    keep = docs.columns if keep is None else keep
     own = ("size", "text_crc32", "shard", "slot")
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in own]
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     rows = docs.select(
-        *(F.col(f"`{c}`") for c in keep if c not in own),
+        boxed(docs, keep),
         (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(text).alias("text_crc32"),
-        _row_hash(seed, [F.col(id_col), text]).alias("__key"),
+        _row_hash(seed, [F.col(f"`{id_col}`"), text]).alias("__key"),
     )
     # 1: permute locally; the id that Spark gives holds the partition and the row's place in it
     permuted = written(rows.sortWithinPartitions("__key").withColumn("__place", F.monotonically_increasing_id()), "shard-rows")
@@ -111,7 +112,7 @@ def shuffle_into_shards(docs: DataFrame, *, shards: int = 16, seed: int = 42, id
     offsets = blocks.select("shard", "__sub", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"))
     order = Window.partitionBy("shard", "__sub").orderBy(_row_hash(seed + 2, [F.col("__key"), F.col("__place")]), "__key", "__place")
     numbered = exchanged.withColumn("__row", F.row_number().over(order))
-    return numbered.join(F.broadcast(offsets) if n_sub * shards <= 1_000_000 else offsets, ["shard", "__sub"]).withColumn("slot", F.col("__offset") + F.col("__row") - 1).drop("__key", "__place", "__sub", "__row", "__offset")
+    return numbered.join(F.broadcast(offsets) if n_sub * shards <= 1_000_000 else offsets, ["shard", "__sub"]).withColumn("slot", F.col("__offset") + F.col("__row") - 1).select("__in.*", *own)
 
 
 def write_shards(sharded: DataFrame, tag: str = "shards") -> str:
