@@ -14,8 +14,8 @@ columns pass through if named in `keep`, whatever their names; host, path, rule,
 columns so called.
 
 Scale: no shuffle of pages. The models are fitted on a sample of decided URLs, distinct and picked by hash,
-of an expected TRAIN_URLS at most; counts of its n-grams are summed by Spark, and their size, which that
-bounds, is checked before they are broadcast. Judging runs in Arrow batches.
+of an expected TRAIN_URLS and TRAIN_BYTES at most; longer URLs than LONGEST_TRAINED are judged, but not learnt from. Counts of
+its n-grams are summed by Spark; all of them are kept, and the sample's bytes bound how many there are. Judging runs in Arrow batches.
 """
 
 from __future__ import annotations
@@ -33,9 +33,8 @@ from lexigrid.llm.common import boxed, written
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 #: Bound of the training sample, in URLs.
 TRAIN_URLS = 50_000
-#: Bound of the broadcast models, in distinct n-grams of both classes and all orders. If the sample has more, those
-#: that were seen least are left out, and their mass goes to the order below, as Witten-Bell does with unseen ones.
-MODEL_GRAMS = 5_000_000
+#: Bound of the sample in bytes, which bounds the n-grams of the models, and of a URL in it.
+TRAIN_BYTES, LONGEST_TRAINED = 4_000_000, 8_192
 ORDER = 5
 #: Bytes of URLs that are scored at once.
 PART_BYTES = 1 << 20
@@ -85,13 +84,7 @@ def fit(decided: DataFrame) -> list[list[tuple[np.ndarray, ...]]] | None:
     """For each class and order: sorted grams with counts, sorted contexts with totals and numbers of followers."""
     counts = decided.mapInArrow(_count, "allowed int, k int, gram long, n long").groupBy("allowed", "k", "gram").agg(F.sum("n").alias("n"))
     counts = written(counts, "url-grams")
-    sizes = sorted((r["n"], r["grams"]) for r in counts.where("k > 0").groupBy(F.least("n", F.lit(1000)).alias("n")).agg(F.count("*").alias("grams")).collect())  # 1000 numbers
-    least, left = 1, sum(g for _, g in sizes)
-    for n, g in sizes:
-        if left <= MODEL_GRAMS:
-            break
-        least, left = n + 1, left - g
-    found = counts.where((F.col("k") == 0) | (F.col("n") >= least)).toPandas()  # MODEL_GRAMS and the bytes at most
+    found = counts.toPandas()  # at most as many as the sample has bytes, for each order
     if found["allowed"].nunique() < 2:
         return None
     models = []
@@ -176,7 +169,7 @@ def calibrate(scored: list[tuple[float, bool]]) -> float:
     return float(best[np.argmin(np.abs(best))])
 
 
-def filter_urls(pages: DataFrame, *, url_col: str = "url", keep: list[str] | None = None, rules=RULES, train_urls: int = TRAIN_URLS, seed: int = 42) -> DataFrame:
+def filter_urls(pages: DataFrame, *, url_col: str = "url", keep: list[str] | None = None, rules=RULES, train_urls: int = TRAIN_URLS, train_bytes: int = TRAIN_BYTES, seed: int = 42) -> DataFrame:
     """The columns in `keep` (all by default) with host, path, rule, verdict, ratio (of URLs without a rule)."""
     spark = pages.sparkSession
     keep = pages.columns if keep is None else keep
@@ -187,9 +180,10 @@ def filter_urls(pages: DataFrame, *, url_col: str = "url", keep: list[str] | Non
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     rows = rows.withColumns({"rule": rule, "__ruled": verdict})
     decided = rows.where("__ruled IS NOT NULL").select("__url", (F.col("__ruled") == "allow").cast("int").alias("allowed")).distinct()
-    n = decided.count()
-    share = int(1_000_000 * min(1.0, train_urls / max(n, 1)))
-    picked = decided.where(F.pmod(F.xxhash64(F.lit(seed), "__url"), F.lit(1_000_000)) < share)
+    decided = decided.where(F.octet_length("__url") <= LONGEST_TRAINED)
+    n, size = decided.agg(F.count("*"), F.sum(F.octet_length("__url"))).first()
+    share = int((1 << 52) * min(1.0, train_urls / max(n, 1), train_bytes / max(size or 0, 1)))
+    picked = decided.where(F.pmod(F.xxhash64(F.lit(seed), "__url"), F.lit(1 << 52)) < share)
     fold = F.pmod(F.xxhash64(F.lit(seed + 1), "__url"), F.lit(5))
     models = fit(picked.where(fold != 0))
     if models is None:
