@@ -14,8 +14,8 @@ responses. An empty table gives archives without records, and these read as no r
 of the table, whatever their names, are ignored.
 
 Scale: one shuffle of the payloads, by their SHA-256 (a hot payload is split by AQE's skew join), and
-one small aggregation. Archives are rolled: after as many records as come to ROLL_BYTES of payload on
-average. The reader holds one archive in memory per task and reads it in linear time, damaged or not;
+one small aggregation. Archives are rolled at ROLL_BYTES, as they are on disk, whatever the sizes of pages: tasks pack
+records into lines of LINE_BYTES, each with a warcinfo record, and a file has a fixed number of lines. The reader holds one archive in memory per task and reads it in linear time, damaged or not;
 archives of other origin may have up to the 2 GB that Spark's `binaryFile` reads. A member or record that
 is larger than MEMBER_BYTES is a gap.
 """
@@ -38,8 +38,8 @@ EPOCH = "2024-01-01T00:00:00Z"
 HEADER_END = b"\r\n\r\n"
 GZIP_MAGIC = b"\x1f\x8b\x08"
 FLUSH_BYTES = 8 << 20
-#: Payload bytes of an archive, some.
-ROLL_BYTES = 512 << 20
+#: Bytes of an archive, some, and of what is written at once; a larger record is a line, or an archive, of its own.
+ROLL_BYTES, LINE_BYTES = 512 << 20, 4 << 20
 #: The most that a member may inflate to, compressed bytes inflated at once, and the longest header.
 MEMBER_BYTES, SLICE, HEADER_BYTES = 1 << 30, 1 << 16, 1 << 20
 _ZEROS = re.compile(rb"\0*")
@@ -100,21 +100,26 @@ def _line(member: bytes) -> bytes:
     return member[:-1] if member.endswith(b"\0") else member
 
 
-def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    out, size, began = [], 0, False
-    for batch in batches:
-        for i in range(batch.num_rows):
-            page_id, url, payload, refers_to, revisit = (c[i].as_py() for c in batch.columns)
-            if not began:
-                out.append(_line(gzip_member(info_record())))
-                began = True
-            out.append(_line(gzip_member(page_record(page_id, url, payload or b"", refers_to, revisit))))
-            size += len(out[-1])
-            if size >= FLUSH_BYTES:
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["line"])
-                out, size = [], 0
-    if out:
-        yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["line"])
+def _members(line_bytes: int):
+    """Lines of so many bytes, some: a warcinfo record, so that any archive begins with one, and records of pages."""
+
+    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        line = lambda parts: pa.RecordBatch.from_arrays([pa.array([_line(b"".join(parts))], pa.binary())], ["line"])
+        out, size = [], 0
+        for batch in batches:
+            for i in range(batch.num_rows):
+                page_id, url, payload, refers_to, revisit = (c[i].as_py() for c in batch.columns)
+                if not out:
+                    out.append(gzip_member(info_record()))
+                out.append(gzip_member(page_record(page_id, url, payload or b"", refers_to, revisit)))
+                size += len(out[-1])
+                if size >= line_bytes:
+                    yield line(out)
+                    out, size = [], 0
+        if out:
+            yield line(out)
+
+    return members
 
 
 def with_revisits(pages: DataFrame, *, id_col: str, url_col: str, payload_col: str, min_revisit_bytes: int = 0) -> DataFrame:
@@ -130,10 +135,9 @@ def with_revisits(pages: DataFrame, *, id_col: str, url_col: str, payload_col: s
 def write_warc(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_revisit_bytes: int = 0) -> str:
     """Write a record for each row to archives in the new folder `path`."""
     rows = with_revisits(pages, id_col=id_col, url_col=url_col, payload_col=payload_col, min_revisit_bytes=min_revisit_bytes)
-    lines = rows.mapInArrow(_members, "line binary")
-    mean = pages.agg(F.avg(F.coalesce(F.octet_length(payload_col), F.lit(0)))).first()[0] or 0
-    records = max(1, int(ROLL_BYTES / (mean + 1024)))
-    lines.select(F.col("line").cast("string").alias("value")).write.option("lineSep", "\x00").option("maxRecordsPerFile", records).text(path)
+    lines = rows.mapInArrow(_members(LINE_BYTES), "line binary")
+    # lines are as long as their records ask for, so as many of them are a file of ROLL_BYTES, whatever the pages' sizes
+    lines.select(F.col("line").cast("string").alias("value")).write.option("lineSep", "\x00").option("maxRecordsPerFile", max(1, ROLL_BYTES // LINE_BYTES)).text(path)
     return path
 
 

@@ -96,7 +96,8 @@ def test_salvage_bounds(monkeypatch):
 
 
 def test_rolled_archives(spark, monkeypatch):
-    monkeypatch.setattr(warc, "ROLL_BYTES", 5_000)
+    monkeypatch.setattr(warc, "ROLL_BYTES", 2_000)
+    monkeypatch.setattr(warc, "LINE_BYTES", 500)
     df = spark.range(100).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.repeat(F.col("id").cast("string"), 100).alias("html"))
     path = warc.write_warc(df.coalesce(1), scratch(spark, "t"))
     assert spark.read.format("binaryFile").load(path).where("length > 0").count() > 10
