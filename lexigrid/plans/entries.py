@@ -111,9 +111,12 @@ def like_patterns(spark, d):
 
 
 def mastery_by_domain(spark, d):
-    """Answers joined with the domains of their words, by domain."""
-    a = analytics.accuracy_by(_answers(spark, d), "user_id", "word")
-    domains = _answers(spark, d).select("word").distinct().withColumn("domain", F.substring("word", 1, 1))
+    """Accuracy by domain, from a table of words and their domains: whether a word's values are above the mean of all; words without one are left out."""
+    answers = _answers(spark, d)
+    a = analytics.accuracy_by(answers, "user_id", "word")
+    mean = F.broadcast(answers.agg(F.avg("value").alias("mean")))  # one row
+    means = answers.where("word <> 'search'").groupBy("word").agg(F.avg("value").alias("own")).join(mean, F.lit(True))
+    domains = means.select("word", F.when(F.col("own") >= F.col("mean"), "high").otherwise("low").alias("domain"))
     return a.join(domains, "word").groupBy("domain").agg(F.count("*").alias("items"), F.round(F.avg("accuracy"), 6).alias("accuracy"))
 
 
@@ -241,7 +244,7 @@ ORACLES = {
     "book_text": f"SELECT doc_id, sha256(trim({_BOOK}, chr(32) || chr(9) || chr(10) || chr(13) || chr(12))) AS digest FROM (SELECT doc_id, s, concat('Free text.', chr(10), s, ' ***', chr(10), chr(10), 'by', chr(10), chr(10), text, chr(10), '_____', chr(10), '{e.BOOK_ENDS[0]}', ' ***', chr(10), 'more') AS x FROM (SELECT doc_id, text, CASE WHEN doc_id % 2 = 0 THEN '{e.BOOK_STARTS[0]}' ELSE '{e.BOOK_STARTS[4]}' END AS s FROM documents))",
     "quarantine": "SELECT conv_id, turn, sha256(CASE WHEN bad AND conv_id % 2 = 0 THEN 'earlier' ELSE text END) AS digest, CASE WHEN bad THEN 'quarantine' ELSE 'stays' END AS place FROM (SELECT *, length(trim(text, ' ')) < 80 AS bad FROM conversations)",
     "like_patterns": "SELECT p_brand, count(*) FILTER (p_name LIKE '% %') AS spaced, count(*) FILTER (p_name LIKE '%e') AS final, count(*) FILTER (p_name LIKE 'P%') AS initial, count(*) FILTER (p_name LIKE '_art%') AS one FROM part GROUP BY 1",
-    "mastery_by_domain": f"SELECT left(word, 1) AS domain, count(*) AS items, round(avg(a), 6) AS accuracy FROM (SELECT user_id, word, count(*) FILTER (correct) * 100.0::DOUBLE / count(*) AS a FROM ({ANSWERS}) GROUP BY 1, 2) GROUP BY 1",
+    "mastery_by_domain": f"WITH d AS (SELECT word, CASE WHEN avg(value) >= (SELECT avg(value) FROM ({ANSWERS})) THEN 'high' ELSE 'low' END AS domain FROM ({ANSWERS}) WHERE word <> 'search' GROUP BY 1) SELECT domain, count(*) AS items, round(avg(a), 6) AS accuracy FROM (SELECT user_id, word, count(*) FILTER (correct) * 100.0::DOUBLE / count(*) AS a FROM ({ANSWERS}) GROUP BY 1, 2) JOIN d USING (word) GROUP BY 1",
     "items_with_domain": "SELECT o_orderkey, c_name, n_name FROM orders JOIN customer ON c_custkey = o_custkey LEFT JOIN (SELECT * FROM nation WHERE n_regionkey = 1) ON n_nationkey = c_nationkey",
     "left_join_on": "SELECT p_partkey, l_orderkey, l_linenumber FROM part LEFT JOIN lineitem ON l_partkey = p_partkey AND l_quantity >= 49",
     "version_difference": f"SELECT count(*) AS both, round(max(abs(n.o_totalprice - o.o_totalprice)), 6) AS largest, round(avg(abs(n.o_totalprice - o.o_totalprice)), 6) AS mean FROM ({OLD}) o JOIN ({NEW}) n ON n.o_orderkey = o.o_orderkey",

@@ -148,8 +148,12 @@ def clean_definition(spark, d):
 
 
 def split_definition(spark, d):
-    left, right = text.split_term(F.col("text"))
-    return table(spark, d, "pages").withColumn("text", F.col("url")).select("page_id", left.alias("term"), right.alias("definition")).where("term IS NOT NULL").select("page_id", F.length("term").cast("long").alias("left"), F.length("definition").cast("long").alias("right"), text.looks_like_term(F.col("term")).alias("is_term"))
+    """Assistants' turns after their last words, with each of the delimiters in turn: both sides, and what they look like."""
+    mark = F.get(F.array(*map(F.lit, text.DELIMITERS)), F.pmod(F.col("conv_id") + F.col("turn"), F.lit(len(text.DELIMITERS))).cast("int"))
+    lines = _said(spark, d).select("conv_id", "turn", F.concat(F.regexp_extract("text", r"(\p{L}+)[^\p{L}]*$", 1), mark, "text").alias("line"))
+    left, right = text.split_term(F.col("line"))
+    sides = lines.select("conv_id", "turn", left.alias("term"), right.alias("definition")).where("term IS NOT NULL")
+    return sides.select("conv_id", "turn", "term", F.length("definition").alias("right"), text.looks_like_term(F.col("term")).alias("is_term"), text.looks_like_definition(F.col("definition")).alias("is_definition"))
 
 
 def pos_rules(spark, d):
@@ -158,7 +162,10 @@ def pos_rules(spark, d):
 
 
 def pos_impute(spark, d):
-    return _said(spark, d).select("conv_id", "turn", text.pos_imputed(F.lit("word"), F.col("text")).alias("pos"))
+    """The part of speech of each word of the assistants, with the word after it as its definition."""
+    words = F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), F.lit(1))
+    each = _said(spark, d).select(words.alias("w")).select(F.explode(F.transform("w", lambda w, i: F.struct(w.alias("term"), F.get("w", i + 1).alias("definition")))).alias("e"))
+    return each.select("e.*").where("definition IS NOT NULL").distinct().select("term", "definition", text.pos_imputed(F.col("term"), F.col("definition")).alias("pos"))
 
 
 def canonical_pos(spark, d):
@@ -196,9 +203,12 @@ def url_keys(spark, d):
 
 
 def same_host_links(spark, d):
-    """Links of pages to plain words."""
-    p = table(spark, d, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]+)"'), F.lit(1))).alias("link"))
-    return p.where(~F.col("link").rlike(r"(?i)login|signup|\.pdf|\.jpg|mailto:|javascript:|#|[,.]$")).groupBy("page_id").agg(F.count("*").alias("links"), F.countDistinct("link").alias("distinct_links"))
+    """Links of pages to plain words of their own host: relative ones, and those that name it."""
+    host = lambda url: F.lower(F.regexp_extract(url, r"^[A-Za-z]+://([^/?#]*)", 1))
+    p = table(spark, d, "pages").select("page_id", host(F.col("url")).alias("host"), F.explode(F.regexp_extract_all("html", F.lit('href="([^"]+)"'), F.lit(1))).alias("link"))
+    plain = p.where(~F.col("link").rlike(r"(?i)login|signup|\.pdf|\.jpg|mailto:|javascript:|#|[,.]$"))
+    own = F.when(F.col("link").rlike("^/([^/]|$)"), F.col("host")).otherwise(host(F.col("link")))
+    return plain.where(own == F.col("host")).groupBy("page_id").agg(F.count("*").alias("links"), F.countDistinct("link").alias("distinct_links"))
 
 
 def domain_vote(spark, d):
@@ -459,14 +469,15 @@ ORACLES = {
     "url_keys": r"SELECT page_id, sha256(url) AS key, regexp_replace(lower(h) || substring(x, length(h) + 1), '/$', '') AS normal FROM (SELECT page_id, url, x, regexp_extract(x, '^([A-Za-z]+://[^/?]*)', 1) AS h FROM (SELECT page_id, url, regexp_replace(regexp_replace(regexp_replace(url, '#.*$', ''), '([?&])utm_[a-z]+=[^&]*', '\1', 'g'), '[?&]+$', '') AS x FROM pages))",
     "clean_text": f"SELECT conv_id, turn, {CLEAN.format('text')} AS cleaned FROM ({SAID})",
     "clean_definition": rf"SELECT conv_id, turn, CASE WHEN length(x) > 100 THEN rtrim(substring(x, 1, 100)) || '...' ELSE x END AS definition FROM (SELECT conv_id, turn, regexp_replace(regexp_replace({CLEAN.format("concat('- n. ', text)")}, '^[\-:.–—] *', ''), '(?i)^(\(?)(n|v|adj|adv)\.?\)? *[:,\-]? *', '') AS x FROM ({SAID}))",
-    "split_definition": rf"SELECT page_id, length(p[1]) AS left, length(p[2]) AS right, length(trim(p[1])) BETWEEN 2 AND 64 AND regexp_matches(p[1], '^[A-Za-z][A-Za-z ''\-()]*[A-Za-z)]$') AS is_term FROM (SELECT page_id, CASE {_DELIMITED} END AS p FROM (SELECT page_id, url AS text FROM pages)) WHERE p IS NOT NULL",
+    "split_definition": rf"SELECT conv_id, turn, p[1] AS term, CAST(length(p[2]) AS INT) AS right, length(p[1]) BETWEEN 2 AND 64 AND regexp_matches(p[1], '{text.TERM_SHAPE.replace(chr(39), chr(39) * 2)}') AS is_term, length(p[2]) >= 8 AND regexp_matches(p[2], '\p{{L}}') AS is_definition FROM (SELECT conv_id, turn, CASE {_DELIMITED} END AS p FROM (SELECT conv_id, turn, concat(regexp_extract(text, '(\p{{L}}+)[^\p{{L}}]*$', 1), {list(text.DELIMITERS)}[(conv_id + turn) % {len(text.DELIMITERS)} + 1], text) AS text FROM ({SAID}))) WHERE p IS NOT NULL",
     "pos_rules": rf"SELECT conv_id, turn, CASE WHEN d <> '' THEN CASE {' '.join(_STARTS)} END END AS pos FROM (SELECT conv_id, turn, lower(regexp_extract(text, '(\p{{L}}+)[^\p{{L}}]*$', 1)) AS w, lower(ltrim(regexp_replace(trim(text), '^(\([^)]*\) *)+', ''))) AS d FROM ({SAID}))",
-    "pos_impute": f"SELECT conv_id, turn, CASE WHEN d = '' THEN NULL {' '.join(_POS)} ELSE 'NOUN' END AS pos FROM (SELECT conv_id, turn, lower(text) AS d, substring(lower(text), 1, 20) AS h FROM ({SAID}))",
+    "pos_impute": rf"SELECT DISTINCT term, definition, CASE {' '.join(_POS)} {' '.join(f"WHEN {' OR '.join(f'suffix(term, {chr(39)}{x}{chr(39)})' for x in ends)} THEN '{p}'" for p, ends in text.POS_ENDINGS)} ELSE 'NOUN' END AS pos FROM (SELECT w[i] AS term, w[i + 1] AS definition, w[i + 1] AS d, substring(w[i + 1], 1, 20) AS h FROM (SELECT w, unnest(range(1, len(w))) AS i FROM (SELECT regexp_extract_all(lower(text), '\p{{L}}+') AS w FROM ({SAID}))))",
     "canonical_pos": "SELECT conv_id, turn, CASE WHEN role = 'user' THEN 'user' ELSE 'verb' END AS pos FROM conversations",
     "obsolete": r"SELECT doc_id, CASE WHEN regexp_matches(t, '(?i)obsolete|archaic|no longer|antiquated') OR regexp_matches(t, '\[Obs\.?\]') THEN 'high' WHEN regexp_matches(t, '(?i)dated|formerly') THEN 'medium' ELSE 'none' END AS level FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)",
     "sense_split": rf"SELECT conv_id, turn, len(s) AS senses, concat('(NOUN) ', CASE WHEN len(s) > 1 THEN array_to_string(list_transform(s, lambda x, i: concat(i, '. ', x)), ' ') ELSE array_to_string(s, ' ') END) AS composed FROM (SELECT conv_id, turn, list_filter(list_transform(string_split_regex(regexp_replace(text, '\.[ \n]', '; ', 'g'), '[;|]|[0-9]+\.'), lambda x: trim(regexp_replace(x, '[ \t\n\r\f]+', ' ', 'g'))), lambda x: length(x) > 5) AS s FROM ({SAID}))",
     "ascii_punctuation": f"SELECT conv_id, turn, sha256(replace(translate(concat('“', text, '…”'), '‘’“”–—', '''''\"\"--'), '…', '...')) AS digest FROM ({SAID})",
-    "same_host_links": r"""SELECT page_id, count(*) AS links, count(DISTINCT link) AS distinct_links FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]+)"', 1)) AS link FROM pages) WHERE NOT regexp_matches(link, '(?i)login|signup|\.pdf|\.jpg|mailto:|javascript:|#|[,.]$') GROUP BY 1""",
+    "same_host_links": r"""SELECT page_id, count(*) AS links, count(DISTINCT link) AS distinct_links FROM (SELECT page_id, lower(regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1)) AS host, unnest(regexp_extract_all(html, 'href="([^"]+)"', 1)) AS link FROM pages)
+        WHERE NOT regexp_matches(link, '(?i)login|signup|\.pdf|\.jpg|mailto:|javascript:|#|[,.]$') AND host = CASE WHEN regexp_matches(link, '^/([^/]|$)') THEN host ELSE lower(regexp_extract(link, '^[A-Za-z]+://([^/?#]*)', 1)) END GROUP BY 1""",
     "domain_vote": f"SELECT id, CASE WHEN greatest(v0, v1, v2, v3) = 0 THEN '{classify.GENERAL}' {' '.join(f'''WHEN v{i} = greatest(v0, v1, v2, v3) THEN '{n}' ''' for i, (n, *_) in enumerate(RULES))} END AS domain FROM (SELECT id, {_VOTES} FROM (SELECT doc_id AS id, lower(text) AS t FROM documents))",
     "rule_score": f"SELECT id, domain, round(raw, 6) AS raw, round(score, 6) AS score FROM ({SCORED})",
     "fuse_scores": f"SELECT id, CASE WHEN fused < 0.45 THEN '{classify.GENERAL}' ELSE domain END AS domain, round(fused, 6) AS fused, coalesce(fused - nxt < 0.03, false) AS borderline FROM (SELECT *, row_number() OVER w AS r, lead(fused) OVER w AS nxt FROM (SELECT id, place, domain, 0.6::DOUBLE * score + (1 - 0.6::DOUBLE) * CASE WHEN max(o) OVER p > min(o) OVER p THEN (o - min(o) OVER p) / (max(o) OVER p - min(o) OVER p) ELSE 0.5 END AS fused FROM (SELECT *, CAST((id * 7 + place * 13) % 11 AS DOUBLE) AS o FROM ({SCORED})) WINDOW p AS (PARTITION BY id)) WINDOW w AS (PARTITION BY id ORDER BY fused DESC, place)) WHERE r = 1",
