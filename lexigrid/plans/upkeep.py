@@ -132,7 +132,37 @@ def fill_plan(spark: SparkSession, d: str) -> DataFrame:
     return planner.plan_fill(rows, found, filled)
 
 
-QUERIES = {f.__name__: f for f in (resumable_pairs, pair_manifest, rarity_refresh, rarity_backfill, visits, stream_visits, timely_visits, late_events, index_lookup, index_join, fill_plan)}
+def json_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Conversations as JSON lines and back; a role that isn't the user's is left out of its line."""
+    path = scratch(spark, "json")
+    said = table(spark, d, "conversations").select("conv_id", "turn", F.when(F.col("role") == "user", F.col("role")).alias("role"), "text")
+    files.write_json(said, path)
+    return files.read_json(spark, path, "conv_id long, turn long, role string, text string").select("conv_id", "turn", "role", F.sha2("text", 256).alias("digest"))
+
+
+def tsv_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Customers by tabs and back."""
+    path = scratch(spark, "tsv")
+    files.write_tsv(table(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal"), path)
+    return files.read_tsv(spark, path, "c_custkey long, c_name string, c_acctbal double")
+
+
+def term_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """The benchmark's words with their counts among the assistants' words, or the mark of what wasn't found."""
+    scores = tokens(table(spark, d, "conversations").where("role = 'assistant'"), "conv_id").groupBy("word").agg(F.count("*").cast("double").alias("score"))
+    terms = tokens(table(spark, d, "benchmark"), "item_id").select(F.col("word").alias("term")).distinct()
+    return files.lookup(terms, scores)
+
+
+def vector_ranks(spark: SparkSession, d: str) -> DataFrame:
+    """Ranks of words by their place in files of vectors: labels as words, so that most come more than once."""
+    path = scratch(spark, "vectors")
+    lines = F.concat_ws(" ", F.concat(F.lit("W"), F.pmod("vec_id", F.lit(97)).cast("string")), F.array_join(F.col("embedding").cast("array<string>"), " "))
+    table(spark, d, "embeddings").repartitionByRange(4, "vec_id").sortWithinPartitions("vec_id").select(lines.alias("value")).write.text(path)
+    return files.read_vectors(spark, path)
+
+
+QUERIES = {f.__name__: f for f in (resumable_pairs, pair_manifest, rarity_refresh, rarity_backfill, visits, stream_visits, timely_visits, late_events, index_lookup, index_join, fill_plan, json_round_trip, tsv_round_trip, term_lookup, vector_ranks)}
 
 _PAIRS = f"SELECT a, b, round(s, 6) AS score FROM (SELECT x.vec_id AS a, y.vec_id AS b, list_cosine_similarity(CAST(x.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[])) AS s FROM embeddings x JOIN embeddings y ON x.vec_id < y.vec_id) WHERE s >= {THRESHOLD}"
 _WORDS = r"SELECT term, count(*) AS n, count(*) FILTER (doc_id % 2 = 0) AS half FROM (SELECT doc_id, regexp_replace(unnest(string_split_regex(lower(text), '[ \t\n\r\f]+')), '[^\p{L}]', '', 'g') AS term FROM documents) WHERE length(term) > 1 GROUP BY 1"
@@ -170,6 +200,10 @@ ORACLES = {
     "index_lookup": f"SELECT * FROM ({_YEARS}) WHERE word IN (SELECT word FROM (SELECT {_SPLIT} FROM benchmark))",
     "index_join": f"SELECT word, count(*) AS years, CAST(sum(matches) AS BIGINT) AS matches FROM ({_YEARS}) WHERE word IN (SELECT word FROM (SELECT {_SPLIT} FROM conversations WHERE role = 'assistant')) GROUP BY 1",
     "fill_plan": _FILL,
+    "json_round_trip": "SELECT conv_id, turn, CASE WHEN role = 'user' THEN role END AS role, sha256(text) AS digest FROM conversations",
+    "tsv_round_trip": "SELECT c_custkey, c_name, CAST(c_acctbal AS DOUBLE) AS c_acctbal FROM customer",
+    "term_lookup": f"SELECT term, coalesce(n, -999)::DOUBLE AS score FROM (SELECT DISTINCT word AS term FROM (SELECT {_SPLIT} FROM benchmark) WHERE length(word) > 1) LEFT JOIN (SELECT word, count(*) AS n FROM (SELECT {_SPLIT} FROM conversations WHERE role = 'assistant') GROUP BY 1) ON word = term",
+    "vector_ranks": "SELECT concat('w', vec_id % 97) AS word, min(r) AS rank FROM (SELECT vec_id, row_number() OVER (ORDER BY vec_id) AS r FROM embeddings) GROUP BY 1",
     "resumable_pairs": _PAIRS,
     "pair_manifest": f"SELECT {BLOCKS * (BLOCKS + 1) // 2} AS finished, {BLOCKS * (BLOCKS + 1) // 2} AS different, count(*) AS pairs FROM ({_PAIRS})",
     "rarity_refresh": f"SELECT term, n, rank, rarity FROM ({_RANKED})",

@@ -23,6 +23,15 @@ def write_tsv(df: DataFrame, path: str) -> None:
     df.write.option("header", True).option("sep", "\t").csv(path)
 
 
+def read_tsv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return spark.read.schema(schema).option("header", True).option("sep", "\t").csv(path)
+
+
+def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Records of a schema; fields that a line lacks are null, lines that aren't records are left out."""
+    return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
+
+
 def write_json(df: DataFrame, path: str) -> None:
     """A JSON record a line; nulls are left out, other scripts stay as they are."""
     df.write.json(path)
