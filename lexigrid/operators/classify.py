@@ -56,3 +56,28 @@ def cluster_domains(members: DataFrame, secondary: float = 0.3) -> DataFrame:
     placed = counts.withColumns({"place": F.row_number().over(w), "top": F.max("n").over(Window.partitionBy("cluster"))})
     others = F.array_compact(F.array(*(F.max(F.when((F.col("place") == k) & (F.col("n") >= secondary * F.col("top")), F.col("domain"))) for k in (2, 3))))
     return placed.groupBy("cluster").agg(F.max(F.when(F.col("place") == 1, F.col("domain"))).alias("primary"), F.array_join(others, ",").alias("secondary"), F.sum("n").alias("size"))
+
+
+def keyword_counts(texts: DataFrame, id_col: str, text_col: str, rules: DataFrame) -> DataFrame:
+    """id, place, domain, score: how many of each domain's keywords the text holds; domains without any are left out."""
+    low = texts.select(F.col(id_col).alias("id"), F.lower(F.coalesce(text_col, F.lit(""))).alias("__text"))
+    return low.crossJoin(F.broadcast(rules)).select("id", "place", "domain", _hits("keywords").cast("double").alias("score")).where("score > 0")  # a fixed list of domains
+
+
+def word_overrides(items: DataFrame, scores: DataFrame, clusters: DataFrame, strong: float = 2.0, least: float = 1.0) -> DataFrame:
+    """id, primary and domains: the cluster's domain, unless the item's own score speaks strongly for another one.
+
+    items: id, cluster; scores: id, place, domain, score; clusters as `cluster_domains` gives them. Domains are the primary
+    one, unless it is General, then those with the least score in the order of rules, then the cluster's secondary ones.
+    Items of no known cluster are General; ties between scores go to the first domain.
+    """
+    best = scores.groupBy("id").agg(
+        F.max(F.struct("score", -F.col("place"), "domain")).alias("best"),
+        F.transform(F.sort_array(F.collect_list(F.when(F.col("score") >= least, F.struct("place", "domain")))), lambda x: x["domain"]).alias("own"),
+    )
+    met = items.join(clusters.select("cluster", "primary", F.filter(F.split("secondary", ","), lambda s: s != "").alias("others")), "cluster", "left").join(best, "id", "left")
+    primary = F.when(F.col("best.score") >= strong, F.col("best.domain")).otherwise(F.coalesce("primary", F.lit("General")))
+    none = F.array().cast("array<string>")
+    said = met.withColumn("primary", primary)
+    every = F.array_distinct(F.concat(F.when(F.col("primary") != "General", F.array("primary")).otherwise(none), F.coalesce("own", none), F.coalesce("others", none)))
+    return said.select("id", "primary", F.array_join(every, ",").alias("domains"))

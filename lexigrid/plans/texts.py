@@ -230,6 +230,13 @@ def cluster_domain(spark, d):
     return classify.cluster_domains(members)
 
 
+def domain_overrides(spark, d):
+    """Documents' domains: those of their source, by its languages, unless their own keywords speak for another."""
+    docs = table(spark, d, "documents")
+    scores = classify.keyword_counts(docs, "doc_id", "text", classify.rules_table(spark, RULES))
+    return classify.word_overrides(docs.select(F.col("doc_id").alias("id"), F.col("source").alias("cluster")), scores, cluster_domain(spark, d), strong=3.0)
+
+
 def text_mining(spark, d):
     """Sections of documents whose lines look like headings."""
     lines = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("place", "line"))
@@ -377,7 +384,7 @@ def dedup_terms(spark, d):
     return merged.where("page_id >= 0")
 
 
-QUERIES = {f.__name__: f for f in (cosine_pairs, neighbours_topk, similar_band, similarity_ranges, ego_graph_nodes, ego_graph_edges, endpoint_coverage, isolated_items, analogy_filter, analogy_stats, jaccard_pairs, levenshtein_pairs, word_sounds, phonetic_pairs, syllable_similarity, clean_text, clean_definition, split_definition, pos_rules, pos_impute, canonical_pos, obsolete, circular_correction, circular_repair, sense_split, ascii_punctuation, url_keys, same_host_links, domain_vote, rule_score, fuse_scores, cluster_domain, text_mining, extract_terms, page_structure, word_list_pages, link_definitions, similar_groups, tfidf_weights, word_clusters, principal_components, dense_groups, pos_classifier, wiki_senses, csv_round_trip, ngram_totals, ngram_zipf, stream_daily_activity, stream_mastery, dedup_terms)}
+QUERIES = {f.__name__: f for f in (cosine_pairs, neighbours_topk, similar_band, similarity_ranges, ego_graph_nodes, ego_graph_edges, endpoint_coverage, isolated_items, analogy_filter, analogy_stats, jaccard_pairs, levenshtein_pairs, word_sounds, phonetic_pairs, syllable_similarity, clean_text, clean_definition, split_definition, pos_rules, pos_impute, canonical_pos, obsolete, circular_correction, circular_repair, sense_split, ascii_punctuation, url_keys, same_host_links, domain_vote, rule_score, fuse_scores, cluster_domain, domain_overrides, text_mining, extract_terms, page_structure, word_list_pages, link_definitions, similar_groups, tfidf_weights, word_clusters, principal_components, dense_groups, pos_classifier, wiki_senses, csv_round_trip, ngram_totals, ngram_zipf, stream_daily_activity, stream_mastery, dedup_terms)}
 
 EDGES = f"SELECT * FROM (SELECT a.vec_id AS a, b.vec_id AS b, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS score FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id) WHERE score >= {THRESHOLD}"
 BOTH = f"SELECT a AS src, b AS dst, score FROM ({EDGES}) UNION ALL SELECT b, a, score FROM ({EDGES})"
@@ -436,6 +443,10 @@ for _pattern, _instead in text.TIDY:
     _TIDIED = f"regexp_replace({_TIDIED}, '{_pattern}', '{_instead}', 'g')"
 _TIDIED = f"trim({_TIDIED}, ' ')"
 
+CLUSTERS = "SELECT cluster, max(CASE WHEN r = 1 THEN domain END) AS primary, coalesce(string_agg(CASE WHEN r IN (2, 3) AND n >= 0.3 * top THEN domain END, ',' ORDER BY r), '') AS secondary, CAST(sum(n) AS BIGINT) AS size FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY n DESC, domain) AS r, max(n) OVER (PARTITION BY cluster) AS top FROM (SELECT source AS cluster, lang AS domain, count(*) AS n FROM documents GROUP BY 1, 2)) GROUP BY 1"
+_PLACED = ", ".join(f"CASE WHEN v{i} >= 1 THEN '{n}' END" for i, (n, *_) in enumerate(RULES))
+_BEST = " ".join(f"WHEN v{i} = greatest(v0, v1, v2, v3) THEN '{n}'" for i, (n, *_) in enumerate(RULES))
+
 ORACLES = {
     "circular_correction": f"""SELECT item_id, word, concat(upper(kept[1]), substring(kept, 2)) AS corrected FROM (SELECT item_id, word, nullif(array_to_string(list_filter(list_transform(string_split_regex(text, '[;,]'), lambda p: trim(p, ' ')),
         lambda p: p <> '' AND len(list_intersect({_VARIATIONS("word")}, {_USED("p")})) = 0), '; '), '') AS kept FROM ({_FIRST_WORD})) WHERE kept IS NOT NULL
@@ -481,7 +492,9 @@ ORACLES = {
     "domain_vote": f"SELECT id, CASE WHEN greatest(v0, v1, v2, v3) = 0 THEN '{classify.GENERAL}' {' '.join(f'''WHEN v{i} = greatest(v0, v1, v2, v3) THEN '{n}' ''' for i, (n, *_) in enumerate(RULES))} END AS domain FROM (SELECT id, {_VOTES} FROM (SELECT doc_id AS id, lower(text) AS t FROM documents))",
     "rule_score": f"SELECT id, domain, round(raw, 6) AS raw, round(score, 6) AS score FROM ({SCORED})",
     "fuse_scores": f"SELECT id, CASE WHEN fused < 0.45 THEN '{classify.GENERAL}' ELSE domain END AS domain, round(fused, 6) AS fused, coalesce(fused - nxt < 0.03, false) AS borderline FROM (SELECT *, row_number() OVER w AS r, lead(fused) OVER w AS nxt FROM (SELECT id, place, domain, 0.6::DOUBLE * score + (1 - 0.6::DOUBLE) * CASE WHEN max(o) OVER p > min(o) OVER p THEN (o - min(o) OVER p) / (max(o) OVER p - min(o) OVER p) ELSE 0.5 END AS fused FROM (SELECT *, CAST((id * 7 + place * 13) % 11 AS DOUBLE) AS o FROM ({SCORED})) WINDOW p AS (PARTITION BY id)) WINDOW w AS (PARTITION BY id ORDER BY fused DESC, place)) WHERE r = 1",
-    "cluster_domain": "SELECT cluster, max(CASE WHEN r = 1 THEN domain END) AS primary, coalesce(string_agg(CASE WHEN r IN (2, 3) AND n >= 0.3 * top THEN domain END, ',' ORDER BY r), '') AS secondary, CAST(sum(n) AS BIGINT) AS size FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY n DESC, domain) AS r, max(n) OVER (PARTITION BY cluster) AS top FROM (SELECT source AS cluster, lang AS domain, count(*) AS n FROM documents GROUP BY 1, 2)) GROUP BY 1",
+    "cluster_domain": CLUSTERS,
+    "domain_overrides": f"""WITH v AS (SELECT id, {_VOTES} FROM (SELECT doc_id AS id, lower(text) AS t FROM documents)), c AS ({CLUSTERS}), p AS (SELECT id, secondary, [{_PLACED}] AS votes, CASE WHEN greatest(v0, v1, v2, v3) < 3 THEN "primary" {_BEST} END AS main FROM v JOIN documents ON doc_id = id JOIN c ON cluster = source)
+        SELECT id, main AS "primary", array_to_string(list_filter(list_concat([main], list_filter(votes, lambda x: x IS NOT NULL AND x <> main), list_filter(string_split(secondary, ','), lambda s: s <> '' AND s <> main AND NOT coalesce(list_contains(votes, s), false))), lambda x: x <> 'General'), ',') AS domains FROM p""",
     "text_mining": r"WITH l AS (SELECT doc_id, i AS place, ls[i] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), unnest(generate_series(1, len(ls))) u(i)), m AS (SELECT *, regexp_matches(line, '^[A-Z][A-Za-z'' -]{1,40}\.?$') AND len(string_split_regex(trim(line), ' +')) <= 3 AS t FROM l WHERE trim(line) <> ''), s AS (SELECT *, sum(CAST(t AS INT)) OVER (PARTITION BY doc_id ORDER BY place) AS section FROM m) SELECT doc_id, CAST(section AS BIGINT) AS section, max(CASE WHEN t THEN trim(line) END) AS term, sha256(coalesce(string_agg(CASE WHEN NOT t THEN trim(line) END, ' ' ORDER BY place), '')) AS digest FROM s WHERE section > 0 GROUP BY 1, 2",
     "tfidf_weights": r"WITH w AS (SELECT item_id AS id, unnest(regexp_extract_all(lower(text), '\p{L}{2,}')) AS word FROM benchmark), tf AS (SELECT id, word, count(*) AS tf FROM w GROUP BY 1, 2), r AS (SELECT id, word, tf * (ln((1 + (SELECT count(*) FROM benchmark)) / (1 + count(*) OVER (PARTITION BY word))) + 1) AS w FROM tf) SELECT id, word, round(w / sqrt(sum(w * w) OVER (PARTITION BY id)), 6) AS weight FROM r",
     "dense_groups": f"""WITH RECURSIVE p AS MATERIALIZED (SELECT src, dst, score FROM ({BOTH})), n AS MATERIALIZED (SELECT vec_id AS id, 1 + count(src) AS neighbours FROM embeddings LEFT JOIN p ON src = vec_id GROUP BY 1),

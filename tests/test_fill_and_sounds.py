@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexigrid.functions import phonetic, text
-from lexigrid.operators import links, planner
+from lexigrid.operators import correction, links, planner
 from lexigrid.sources import files
 
 
@@ -125,3 +125,30 @@ def test_longest_terms_in_blocks(spark):
                 expected.add((i, at, best, terms[tuple(said[at : at + best])]))
     for at_once in (2, 100):
         assert {tuple(r) for r in links.matches(docs, keys, "id", "text", at_once=at_once).collect()} == expected
+
+
+def test_smart_corrections(spark):
+    known = [("fable", "a short tale with a moral at the end"), ("Fable", "a longer tale that has a moral, too"), ("cat", "a cat is a cat, as everybody knows"), ("dog", "too short"), ("cash", r"money in coins and notes, $1 or C:\x for one"), ("none", None), (None, "a long enough definition of nothing")]
+    entries = [
+        (1, "mole", "a small animal"),
+        (2, "fable", "a fable; a short tale with a moral"),
+        (3, "fable", "the fable"),
+        (4, "cat", "a cat, pet"),
+        (5, "dog", "the dog"),
+        (6, "dog", "of, relating to, or of the nature of dog and of other animals"),
+        (7, "cash", "Cash or cashes"),
+        (8, None, "x"),
+        (9, "x", None),
+    ]
+    got = correction.smart_corrections(spark.createDataFrame(entries, "id long, term string, definition string"), spark.createDataFrame(known, "term string, definition string"))
+    assert {tuple(r) for r in got.collect()} == {
+        (1, "a small animal", "none"),
+        (2, "A short tale with a moral", "parts"),
+        (3, "the a longer tale that has a moral, too", "substituted"),
+        (4, "Pet", "parts"),
+        (5, "the dog", "unchanged"),
+        (6, "Of; relating to", "parts"),
+        (7, r"money in coins and notes, $1 or C:\x for one or cashes", "substituted"),
+        (8, "x", "none"),
+        (9, None, "none"),
+    }
