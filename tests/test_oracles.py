@@ -6,12 +6,12 @@ import duckdb
 import pandas as pd
 import pytest
 
-from lexigrid.plans import entries, frames, terms, texts, upkeep
+from lexigrid.plans import entries, frames, profiles, terms, texts, upkeep
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-QUERIES = terms.QUERIES | frames.QUERIES | texts.QUERIES | entries.QUERIES | upkeep.QUERIES
-ORACLES = terms.ORACLES | frames.ORACLES | texts.ORACLES | entries.ORACLES | upkeep.ORACLES
+QUERIES = terms.QUERIES | frames.QUERIES | texts.QUERIES | entries.QUERIES | upkeep.QUERIES | profiles.QUERIES
+ORACLES = terms.ORACLES | frames.ORACLES | texts.ORACLES | entries.ORACLES | upkeep.ORACLES | profiles.ORACLES
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the driver's tables")
 
