@@ -1,7 +1,7 @@
 """All pairs in blocks that are kept as they are finished, so that a run that was stopped goes on where it was.
 
 Items are dealt to blocks by a hash of their ids, which is the same in every run. A pair of blocks is
-one group and one matrix product; a round runs some of them, writes their pairs in a folder for each,
+one group, multiplied by tiles of bounded size, whose pairs leave the task as they are found; a round runs some of them, writes their pairs in a folder for each,
 and then notes them in a manifest. A run takes the pairs of blocks that the manifest lacks. What a stopped round
 has left is overwritten, as its folders are those of the same blocks, so no pair is there twice.
 
@@ -14,10 +14,13 @@ Scale: a round moves the items of its own blocks only, and the manifest has a ro
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
-from lexigrid.operators.pairs import product
+from lexigrid.operators import tiles
 
 PAIRS = "a long, b long, score double"
 NOTED = "i int, j int, mark long, pairs long"
@@ -36,11 +39,6 @@ def manifest(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.schema(NOTED).parquet(path) if _exists(spark, path) else spark.createDataFrame([], NOTED)
 
 
-def _dealt(items: DataFrame, id_col: str, vector_col: str, blocks: int) -> DataFrame:
-    own = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
-    return items.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where("id IS NOT NULL AND v IS NOT NULL").withColumn("own", own)
-
-
 def pending(spark: SparkSession, folder: str, blocks: int) -> DataFrame:
     """(i, j) of the pairs of blocks that are still to do, i <= j."""
     grid = spark.range(blocks).select(F.col("id").cast("int").alias("i")).withColumn("j", F.explode(F.sequence("i", F.lit(blocks - 1))))
@@ -50,8 +48,8 @@ def pending(spark: SparkSession, folder: str, blocks: int) -> DataFrame:
 def run_blocks(items: DataFrame, id_col: str, vector_col: str, threshold: float, folder: str, *, blocks: int, at_once: int = AT_ONCE, rounds: int | None = None) -> int:
     """Run what is pending, or so many rounds of it. Gives the number of pairs of blocks that were run."""
     spark = items.sparkSession
-    dealt = _dealt(items, id_col, vector_col, blocks)
-    seen = dealt.agg(F.bit_xor(F.xxhash64("id", "v")), F.count("*")).first()
+    dealt = tiles.strips(items, id_col, vector_col, blocks)
+    seen = dealt.agg(F.bit_xor(F.xxhash64("id", F.col("v").cast("array<double>"))), F.count("*")).first()
     mark = spark.range(1).select(F.xxhash64(F.lit(seen[0]), F.lit(seen[1]), F.lit(blocks), F.lit(float(threshold)))).first()[0]
     if manifest(spark, folder).where(F.col("mark") != mark).limit(1).count():
         raise ValueError(f"{folder} holds blocks of other items, or of another number of blocks or threshold")
@@ -61,7 +59,7 @@ def run_blocks(items: DataFrame, id_col: str, vector_col: str, threshold: float,
         if not todo:
             break
         asked = spark.createDataFrame([(r["i"], r["i"], r["j"]) for r in todo] + [(r["j"], r["i"], r["j"]) for r in todo if r["i"] != r["j"]], "own int, i int, j int")
-        found = dealt.join(F.broadcast(asked), "own").groupBy("i", "j").applyInPandas(_kept(threshold), f"i int, j int, {PAIRS}")
+        found = dealt.join(F.broadcast(asked), "own").groupBy("i", "j").applyInArrow(tiles.in_tasks(threshold, f"i int, j int, {PAIRS}", _kept), f"i int, j int, {PAIRS}")
         found.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("i", "j").parquet(f"{folder}/pairs")
         counts = {(r["i"], r["j"]): r["n"] for r in pairs_of(spark, folder, noted=False).join(F.broadcast(asked.select("i", "j").distinct()), ["i", "j"]).groupBy("i", "j").agg(F.count("*").alias("n")).collect()}
         noted = [(r["i"], r["j"], mark, counts.get((r["i"], r["j"]), 0)) for r in todo]
@@ -71,16 +69,9 @@ def run_blocks(items: DataFrame, id_col: str, vector_col: str, threshold: float,
     return done
 
 
-def _kept(threshold: float):
-    one = product(threshold)
-
-    def run(pdf):
-        out = one(pdf)
-        out.insert(0, "i", int(pdf["i"].iloc[0]))
-        out.insert(1, "j", int(pdf["j"].iloc[0]))
-        return out
-
-    return run
+def _kept(own: tiles.Strips, found: tiles.Tiles) -> Iterator[list]:
+    for a, b, score in tiles.every(own, found):
+        yield [np.full(len(a), own.low, np.int32), np.full(len(a), own.high, np.int32), a, b, score]
 
 
 def pairs_of(spark: SparkSession, folder: str, *, noted: bool = True) -> DataFrame:
