@@ -90,19 +90,21 @@ def mean_zipf(ngrams: DataFrame, totals: DataFrame, alpha: float = 1e-6) -> Data
     return joined.groupBy("word").agg(F.avg(F.log10(share * 1e6)).alias("zipf"))
 
 
-def read_vectors(spark: SparkSession, path: str, most: int = 500_000) -> DataFrame:
+def read_vectors(spark: SparkSession, path: str, most: int | None = 500_000) -> DataFrame:
     """word, rank from text files of word vectors in order of frequency; the least rank of equal words, header left out.
 
-    Ranks count lines over all partitions: a line's place in its partition, after the lines of those before it.
+    Ranks count lines over all files in order of their names: a line's place in its stretch of a file, after the lines of the
+    stretches before it. Spark may deal stretches to partitions in any order.
     """
-    words = spark.read.text(path).select(F.split("value", " ", 2)[0].alias("word"), F.size(F.split("value", " ")).alias("n")).where("n > 2")
-    lines = written(words.select("word", F.monotonically_increasing_id().alias("id")), "vector-words")
-    part, place = F.shiftright("id", 33), F.col("id").bitwiseAND((1 << 33) - 1)
-    sizes = lines.groupBy(part.alias("part")).agg((F.max(place) + 1).alias("size"))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row per partition
-    offsets = sizes.select("part", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("offset"))
-    ranked = lines.join(F.broadcast(offsets), part == F.col("part")).select(F.lower("word").alias("word"), (F.col("offset") + place + 1).alias("rank"))
-    return ranked.where(F.col("rank") <= most).groupBy("word").agg(F.min("rank").alias("rank"))
+    at = (F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+    words = spark.read.text(path).select(F.split("value", " ", 2)[0].alias("word"), F.size(F.split("value", " ")).alias("n"), *at).where("n > 2")
+    lines = written(words.select("word", "file", "start", F.monotonically_increasing_id().alias("id")), "vector-words")
+    sizes = lines.groupBy("file", "start").agg(F.count("*").alias("size"), F.min("id").alias("least"))
+    before = Window.orderBy("file", "start").rowsBetween(Window.unboundedPreceding, -1)  # a row per stretch of a file
+    offsets = sizes.select("file", "start", (F.coalesce(F.sum("size").over(before), F.lit(0)) - F.col("least")).alias("offset"))
+    ranked = lines.join(F.broadcast(offsets), ["file", "start"]).select(F.lower("word").alias("word"), (F.col("offset") + F.col("id") + 1).alias("rank"))
+    kept = ranked if most is None else ranked.where(F.col("rank") <= most)
+    return kept.groupBy("word").agg(F.min("rank").alias("rank"))
 
 
 def read_dump(spark: SparkSession, path: str) -> DataFrame:
