@@ -79,8 +79,9 @@ def stream_visits(spark: SparkSession, d: str) -> DataFrame:
     for b in range(4):
         events.where(F.col("batch") == b).drop("batch").repartition(FILES).write.mode("append").parquet(path)
     stream = activity.sessions(activity.event_stream(spark, path, FILES), GAP, DELAY)
-    activity.run_to_end(stream, out, scratch(spark, "stream-checkpoint"))
-    return spark.read.schema("user_id long, began timestamp, ended timestamp, n long").parquet(out)
+    checkpoint = scratch(spark, "stream-checkpoint")
+    activity.run_to_end(stream, out, checkpoint)
+    return activity.whole_sessions(spark.read.schema("user_id long, began timestamp, ended timestamp, n long").parquet(out), checkpoint)
 
 
 def timely_visits(spark: SparkSession, d: str) -> DataFrame:
@@ -159,7 +160,7 @@ def vector_ranks(spark: SparkSession, d: str) -> DataFrame:
     path = scratch(spark, "vectors")
     lines = F.concat_ws(" ", F.concat(F.lit("W"), F.pmod("vec_id", F.lit(97)).cast("string")), F.array_join(F.col("embedding").cast("array<string>"), " "))
     table(spark, d, "embeddings").repartitionByRange(4, "vec_id").sortWithinPartitions("vec_id").select(lines.alias("value")).write.text(path)
-    return files.read_vectors(spark, path)
+    return files.read_vectors(spark, path, most=None)
 
 
 QUERIES = {f.__name__: f for f in (resumable_pairs, pair_manifest, rarity_refresh, rarity_backfill, visits, stream_visits, timely_visits, late_events, index_lookup, index_join, fill_plan, json_round_trip, tsv_round_trip, term_lookup, vector_ranks)}

@@ -6,7 +6,7 @@ import math
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
@@ -32,6 +32,23 @@ def sessions(events: DataFrame, gap: str = "30 minutes", delay: str = "2 days")
     return events.withWatermark("ts", delay).groupBy(F.session_window("ts", gap), "user_id").agg(F.count("*").alias("n")).select("user_id", F.col("session_window.start").alias("began"), F.col("session_window.end").alias("ended"), "n")
 
 
+def whole_sessions(emitted: DataFrame, checkpoint: str) -> DataFrame:
+    """The visits of a stream of `sessions` that has ended, each once: user_id, began, ended, n, all closed.
+
+    An event may be in time and yet come after the visit that it goes on with was closed; the stream then has a visit of
+    its own for it. Visits of a user that meet are one. So are those that meet one that the stream still holds open, in
+    its state, and these aren't closed.
+    """
+    state = emitted.sparkSession.read.format("statestore").load(checkpoint)
+    held = state.select(F.col("value.user_id").alias("user_id"), F.col("value.session_window.start").alias("began"), F.col("value.session_window.end").alias("ended"), F.col("value.count").alias("n"), F.lit(True).alias("open"))
+    order = Window.partitionBy("user_id").orderBy("began", "ended")
+    upto = F.max("ended").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    every = emitted.select("user_id", "began", "ended", "n", F.lit(False).alias("open")).union(held).withColumn("begins", (upto.isNull() | (F.col("began") > upto)).cast("long"))
+    visit = every.withColumn("visit", F.sum("begins").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    whole = visit.groupBy("user_id", "visit").agg(F.min("began").alias("began"), F.max("ended").alias("ended"), F.sum("n").alias("n"), F.max("open").alias("open"))
+    return whole.where("NOT open").select("user_id", "began", "ended", "n")
+
+
 def mastery_step(state: tuple, ok: bool) -> tuple:
     """(level, total, correct, streak, ease, days) after an answer."""
     level, total, correct, streak, ease, days = state

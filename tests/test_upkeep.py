@@ -8,6 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexigrid.operators import blocks, graphs, pairs, sessions
+from lexigrid.plans import texts
+from lexigrid.sources import files
 from lexigrid.streaming import activity, refresh
 
 BEGAN = datetime(2024, 1, 1)
@@ -173,6 +175,34 @@ def test_late_events_are_those_that_the_watermark_says(spark, tmp_path):
     assert got == expected and len(got) > 3
 
 
+def test_events_in_time_join_visits_that_were_closed_before(spark, tmp_path):
+    rows = [(0, 1, 50), (0, 2, 55), (0, 3, 100), (1, 3, 101), (2, 3, 102), (3, 1, 75), (3, 2, 80), (3, 2, 105), (3, 2, 130), (3, 9, 150)]
+    events = as_events(spark, rows)
+    for b in range(4):
+        events.where(F.col("batch") == b).drop("batch").coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in")
+    stream = activity.sessions(activity.event_stream(spark, f"file://{tmp_path}/in", 1), "30 minutes", "10 minutes")
+    activity.run_to_end(stream, f"file://{tmp_path}/out", f"file://{tmp_path}/checkpoint")
+    emitted = spark.read.schema("user_id long, began timestamp, ended timestamp, n long").parquet(f"file://{tmp_path}/out")
+    assert in_minutes(emitted)[(2, 55, 85, 1)] == 1  # closed, and gone on with
+    assert in_minutes(activity.whole_sessions(emitted, f"file://{tmp_path}/checkpoint")) == Counter({(1, 50, 105, 2): 1, (3, 100, 132, 3): 1})
+
+
+def test_ranks_of_vectors_go_by_the_names_of_files(spark, tmp_path):
+    """Spark reads the largest file first."""
+    for name, lines in (("a", 2), ("b", 50), ("c", 7)):
+        (tmp_path / f"{name}.txt").write_text("".join(f"{name}{k} 1 2\n" for k in range(lines)))
+    found = {r["word"]: r["rank"] for r in files.read_vectors(spark, f"file://{tmp_path}").collect()}
+    assert (found["a0"], found["b0"], found["b49"], found["c0"], found["c6"], len(found)) == (1, 3, 52, 53, 59, 59)
+    assert len(files.read_vectors(spark, f"file://{tmp_path}", 5).collect()) == 5
+
+
+def test_every_word_meets_all_others_by_syllables(spark, tmp_path):
+    spark.createDataFrame([(1, "cat dog banana"), (2, "potato cat")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = texts.syllable_similarity(spark, str(tmp_path)).collect()
+    total = {w: sum(r["words"] for r in rows if r["word"] == w) for w in ("cat", "dog", "banana", "potato")}
+    assert total == dict.fromkeys(total, 3) and {(r["other"], r["words"], r["similarity"]) for r in rows if r["word"] == "cat"} == {(1, 1, 1.0), (3, 2, round(1 / 3, 9))}
+
+
 def clusters_of(n, scores, least):
     near = {i: {} for i in range(n)}
     for (a, b), s in scores.items():
