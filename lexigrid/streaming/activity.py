@@ -64,23 +64,31 @@ def mastery_step(state: tuple, ok: bool) -> tuple:
     return "learning", total, correct, streak, ease, 1
 
 
+#: A word's state before its first answer, and what its parts are called.
+UNSEEN = ("learning", 0, 0, 0, 2.5, 1)
+PARTS = "level string, total int, correct int, streak int, ease double, days int"
+
+
 def _update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    now = state.get if state.exists else ("learning", 0, 0, 0, 2.5, 1)
+    held = {word: tuple(s) for word, *s in zip(*state.get, strict=True)} if state.exists else {}
     rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])  # of one trigger
-    for ok in rows["correct"].fillna(False):
-        now = mastery_step(tuple(now), bool(ok))
-    state.update(tuple(now))
-    names = ("level", "total", "correct", "streak", "ease", "days")
-    yield pd.DataFrame([{"user_id": key[0], "word": key[1]} | dict(zip(names, now, strict=True))])
+    touched: dict[str | None, tuple] = {}
+    for word, ok in zip(rows["word"].tolist(), (rows["correct"] == True).tolist(), strict=True):  # noqa: E712
+        touched[word] = mastery_step(touched.get(word) or held.get(word, UNSEEN), ok)
+    held.update(touched)
+    state.update(tuple(map(list, zip(*((word, *s) for word, s in held.items()), strict=True))))
+    names = [p.split()[0] for p in PARTS.split(", ")]
+    yield pd.DataFrame([(key[0], word, *s) for word, s in touched.items()], columns=["user_id", "word", *names])
 
 
 def mastery_stream(answers: DataFrame) -> DataFrame:
     """The state of each (user_id, word) after each trigger, of (user_id, word, ts, event_id, correct).
 
+    A user's words are kept together, as most of the cost of a state is to fetch it; a trigger gives those that it has answers of.
     Answers of a key have to come in order across triggers, as from a log that is partitioned by key.
     """
-    state = "level string, total int, correct int, streak int, ease double, days int"
-    return answers.groupBy("user_id", "word").applyInPandasWithState(_update, f"user_id long, word string, {state}", state, "update", GroupStateTimeout.NoTimeout)
+    kept = "word array<string>, " + ", ".join(f"{n} array<{t}>" for n, t in (p.split() for p in PARTS.split(", ")))
+    return answers.groupBy("user_id").applyInPandasWithState(_update, f"user_id long, word string, {PARTS}", kept, "update", GroupStateTimeout.NoTimeout)
 
 
 def run_to_end(stream: DataFrame, out: str, checkpoint: str, mode: str = "append") -> None:
