@@ -11,8 +11,7 @@ the hash of each sequence of as many words.
 
 The SVD is distributed: tasks multiply their passages' TF-IDF matrix with a random one and with its
 own transpose; these products, whose size is fixed, are summed by Spark, and the small rest is
-solved on the driver. Word statistics cover all documents; the SVD is fitted on a bounded sample of
-them (FIT_DOCS, picked by hash); the search covers every passage of every document.
+solved on the driver. Word statistics and the SVD cover all documents, as does the search every passage of them.
 
 Defined cases. Null or empty text: no passages. Items without words, or null, match nothing; items under
 SHORT words match only if whole. Items over 64 words are cut into pieces, any of which counts.
@@ -20,7 +19,7 @@ Repeated rows are judged alike, repeated items give their ids, items of equal id
 searched in blocks, whole. An empty table or benchmark gives no hits. Other columns pass through whatever their names; __items
 replaces a column so called.
 
-Scale: two scans of the documents and one of the sample; no shuffle but of word counts and products of
+Scale: four scans of the documents; no shuffle but of word counts and products of
 fixed size, and only texts go to Python. The benchmark is a stated query set: its pieces go to all tasks in blocks of
 ITEMS, of which the driver holds one at a time. The work is a product of passages and pieces in RANK dimensions.
 """
@@ -53,7 +52,6 @@ COSINE = 0.2
 SURE, LIKELY, ORDERED = 0.8, 0.6, 0.4
 ANSWER_WORDS = 3
 SHORT = 8
-FIT_DOCS = 8_000
 #: Pieces that are broadcast at once, and cosines that a task holds.
 ITEMS, COSINES = 20_000, 1 << 22
 _SUM_ROWS = 1024
@@ -185,12 +183,12 @@ def _summed(rows: DataFrame) -> dict[int, np.ndarray]:
     return {r["part"]: np.frombuffer(r["sums"], np.float32) for r in rows.groupBy("part").applyInArrow(_add, "part long, sums binary").collect()}
 
 
-def fit(docs: DataFrame, *, text_col: str = "text", fit_docs: int = FIT_DOCS, seed: int = 42) -> Model:
-    """The latent model; a plain random projection if no document of the sample has words."""
+def fit(docs: DataFrame, *, text_col: str = "text", fit_docs: int | None = None, seed: int = 42) -> Model:
+    """The latent model of all documents, or of some fit_docs of them if asked for; a plain random projection if none of these has words."""
     sc = docs.sparkSession.sparkContext
     texts = docs.select(F.col(f"`{text_col}`").cast("string").alias("text"))
     idf = inverse_frequencies(texts)
-    sample = texts.sample(min(1.0, fit_docs / max(docs.count(), 1)), seed)
+    sample = texts if fit_docs is None else texts.sample(min(1.0, fit_docs / max(docs.count(), 1)), seed)
     omega = np.random.default_rng(seed).standard_normal((FEATURES, RANK)).astype(np.float32)
     shared_idf = sc.broadcast(idf)
     z = _summed(sample.mapInArrow(_sketch(shared_idf, sc.broadcast(omega)), "part long, sums binary"))
@@ -377,7 +375,7 @@ def _search(shared, cosine: float):
     return F.arrow_udf(search, ArrayType(LongType())).asNondeterministic()
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", cosine: float = COSINE, fit_docs: int = FIT_DOCS) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", cosine: float = COSINE, fit_docs: int | None = None) -> DataFrame:
     """The documents with __items, the sorted ids of the benchmark items that each holds."""
     sc = docs.sparkSession.sparkContext
     rows = docs.select(boxed(docs, [c for c in docs.columns if c != "__items"]), F.col(f"`{text_col}`").cast("string").alias("text"))

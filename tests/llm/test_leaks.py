@@ -105,3 +105,13 @@ def test_blocks_of_items_and_small_parts(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "ITEMS", 30)
     monkeypatch.setattr(decontaminate, "COSINES", 2_000)
     assert found(spark, rows, items) == whole
+
+
+def test_the_model_is_of_all_documents(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, f"rare things {k} happen here {k * 7} as said") for k in range(40)], "doc_id long, text string")
+
+    def sampled(*args, **more):
+        raise AssertionError("a sample was taken")
+
+    monkeypatch.setattr(type(docs), "sample", sampled)
+    assert decontaminate.fit(docs).basis.any()
