@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lexigrid.operators import blocks, graphs, pairs, sessions
 from lexigrid.plans import texts
 from lexigrid.sources import files
+from lexigrid.sources.tables import tokens
 from lexigrid.streaming import activity, refresh
 
 BEGAN = datetime(2024, 1, 1)
@@ -203,6 +204,29 @@ def test_every_word_meets_all_others_by_syllables(spark, tmp_path):
     assert total == dict.fromkeys(total, 3) and {(r["other"], r["words"], r["similarity"]) for r in rows if r["word"] == "cat"} == {(1, 1, 1.0), (3, 2, round(1 / 3, 9))}
 
 
+def test_mastery_goes_on_over_triggers_for_each_word(spark, tmp_path):
+    """Three triggers, of which not every one has each word; a user's words are one state, so it isn't grouped by word."""
+    rows = [(b, 1, w, k * 10 + b, ok) for b in range(3) for k, (w, ok) in enumerate([("a", True), ("b", b != 1), (None, True), ("a", None)]) if (b, w) != (1, "a")]
+    schema = "user_id long, word string, ts timestamp, event_id long, correct boolean"
+    for b in range(3):
+        mine = [(u, w, BEGAN + timedelta(minutes=100 * b + e), e, ok) for x, u, w, e, ok in rows if x == b]
+        spark.createDataFrame(mine, schema).coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in")
+    stream = activity.mastery_stream(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/in"))
+    activity.run_to_end(stream, f"file://{tmp_path}/out", f"file://{tmp_path}/checkpoint", "update")
+    found = {(r["epoch"], r["word"]): (r["level"], r["total"], r["correct"], r["streak"], r["ease"], r["days"]) for r in spark.read.parquet(f"file://{tmp_path}/out").collect()}
+    state, expected = {}, {}
+    for b, _, w, _, ok in sorted(rows, key=lambda r: (r[0], r[3])):
+        state[w] = expected[(b, w)] = activity.mastery_step(state.get(w, ("learning", 0, 0, 0, 2.5, 1)), bool(ok))
+    assert found == expected and (1, "a") not in found
+
+
+def test_words_are_taken_from_whole_texts(spark):
+    text = "It's  a-b\t\u00c4pfel\n--- x1y \u00a0no\u00a0gap 12 \u0130s \x0bz"
+    docs = spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id long, text string")
+    old = docs.select("doc_id", F.explode(F.split(F.lower("text"), r"[ \t\n\r\f]+")).alias("word")).withColumn("word", F.regexp_replace("word", r"[^\p{L}]", "")).where(F.length("word") > 1)
+    assert [r["word"] for r in tokens(docs, "doc_id").collect()] == [r["word"] for r in old.collect()] and old.count() > 4
+
+
 def clusters_of(n, scores, least):
     near = {i: {} for i in range(n)}
     for (a, b), s in scores.items():
