@@ -28,6 +28,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -53,10 +54,12 @@ SURE, LIKELY, ORDERED = 0.8, 0.6, 0.4
 ANSWER_WORDS = 3
 SHORT = 8
 #: Pieces that are broadcast at once, and cosines that a task holds.
-ITEMS, COSINES = 20_000, 1 << 22
+ITEMS, COSINES = 20_000, 1 << 20
 _SUM_ROWS = 1024
 WIDEST = WIDTHS[-1][1]
 LANES = 8
+#: Runs of words whose vectors are gathered at once.
+RUNS = 1024
 
 
 @dataclass
@@ -64,8 +67,10 @@ class Model:
     idf: np.ndarray
     basis: np.ndarray  # FEATURES x RANK: TF-IDF to latent
 
-    def __post_init__(self):
-        self.weighted = (self.basis * self.idf[:, None]).astype(np.float32)
+    @cached_property
+    def weighted(self) -> np.ndarray:
+        """Made in the tasks, so that the driver neither holds nor sends it."""
+        return self.basis * self.idf.astype(np.float32)[:, None]
 
 
 def _words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -133,21 +138,57 @@ def _tfidf(hashes: np.ndarray, starts: np.ndarray, idf: np.ndarray) -> tuple[np.
     return features, passage, weight / norm[passage]
 
 
-def _sketch(idf, omega):
-    """Rows of A'(A omega), A the tasks' passages by features, in blocks of _SUM_ROWS."""
+def _sums(vectors: np.ndarray, rows: np.ndarray, weight: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Weighted sums of the rows of vectors that a run names; runs have BLOCK places at most.
+
+    A small product for each run, as reduceat takes several times as long for sums over rows.
+    """
+    out = np.empty((len(starts), vectors.shape[1]), np.float32)
+    places = np.arange(BLOCK)
+    for a in range(0, len(starts), RUNS):
+        at = starts[a : a + RUNS, None] + places
+        there = places < sizes[a : a + RUNS, None]
+        at = np.where(there, at, 0)
+        out[a : a + RUNS] = np.matmul(np.where(there, weight[at], np.float32(0))[:, None, :], vectors[rows[at]])[:, 0]
+    return out
+
+
+def _add_by_feature(z: np.ndarray, y: np.ndarray, features: np.ndarray, passage: np.ndarray, weight: np.ndarray) -> None:
+    """Adds A'y to z: to each feature's row those of its passages, by its weight there. A feature's words are summed by BLOCK first."""
+    order = np.argsort(features.astype(np.uint16), kind="stable")
+    found = features[order]
+    heads = np.flatnonzero(np.append(True, found[1:] != found[:-1]))
+    n = np.diff(np.append(heads, len(found)))
+    runs = -(-n // BLOCK)
+    first = np.cumsum(runs) - runs
+    skipped = (np.arange(runs.sum()) - np.repeat(first, runs)) * BLOCK
+    sums = _sums(y, passage[order], weight[order], np.repeat(heads, runs) + skipped, np.minimum(np.repeat(n, runs) - skipped, BLOCK))
+    z[found[heads]] += np.add.reduceat(sums, first)
+
+
+def _random(seed: int) -> np.ndarray:
+    """FEATURES x RANK, the same wherever it is drawn; by parts, so that only one is held in double precision."""
+    draw = np.random.default_rng(seed)
+    out = np.empty((FEATURES, RANK), np.float32)
+    for a in range(0, FEATURES, _SUM_ROWS):
+        out[a : a + _SUM_ROWS] = draw.standard_normal((_SUM_ROWS, RANK))
+    return out
+
+
+def _sketch(idf, seed: int):
+    """Rows of A'(A omega), A the tasks' passages by features, omega drawn at random, in blocks of _SUM_ROWS."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        omega = _random(seed)
         z = np.zeros((FEATURES, RANK), np.float32)
-        for batch in _batches(batches, "text", 1 << 19):
+        for batch in _batches(batches, "text"):
             hashes, offsets = _words(batch.column(0).to_pylist())
             starts, _ = _blocks(offsets)
             if not len(starts):
                 continue
             features, passage, weight = _tfidf(hashes, starts, idf.value)
-            y = np.add.reduceat(omega.value[features] * weight[:, None], starts)
-            order = np.argsort(features, kind="stable")
-            firsts = np.flatnonzero(np.append(True, np.diff(features[order]) != 0))
-            z[features[order][firsts]] += np.add.reduceat(y[passage[order]] * weight[order][:, None], firsts)
+            y = _sums(omega, features, weight, starts, np.diff(np.append(starts, len(hashes))))
+            _add_by_feature(z, y, features, passage, weight)
         if z.any():
             parts = range(0, FEATURES, _SUM_ROWS)
             yield pa.RecordBatch.from_arrays([pa.array([p // _SUM_ROWS for p in parts], pa.int64()), pa.array([z[p : p + _SUM_ROWS].tobytes() for p in parts], pa.binary())], ["part", "sums"])
@@ -160,12 +201,12 @@ def _gram(idf, basis):
 
     def gram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = np.zeros((RANK, RANK), np.float32)
-        for batch in _batches(batches, "text", 1 << 19):
+        for batch in _batches(batches, "text"):
             hashes, offsets = _words(batch.column(0).to_pylist())
             starts, _ = _blocks(offsets)
             if len(starts):
                 features, _, weight = _tfidf(hashes, starts, idf.value)
-                y = np.add.reduceat(basis.value[features] * weight[:, None], starts)
+                y = _sums(basis.value, features, weight, starts, np.diff(np.append(starts, len(hashes))))
                 c += y.T @ y
         if c.any():
             yield pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), pa.array([c.tobytes()], pa.binary())], ["part", "sums"])
@@ -178,9 +219,24 @@ def _add(group: pa.Table) -> pa.Table:
     return pa.table({"part": group.column("part").slice(0, 1), "sums": pa.array([total.tobytes()], pa.binary())})
 
 
-def _summed(rows: DataFrame) -> dict[int, np.ndarray]:
-    """Sums by part; a part has a row per task."""
-    return {r["part"]: np.frombuffer(r["sums"], np.float32) for r in rows.groupBy("part").applyInArrow(_add, "part long, sums binary").collect()}
+def _summed(rows: DataFrame) -> np.ndarray | None:
+    """Sums by part, one part after the other, RANK columns; a part has a row per task. None if there are none."""
+    parts = sorted((r["part"], r["sums"]) for r in rows.groupBy("part").applyInArrow(_add, "part long, sums binary").collect())
+    return np.frombuffer(b"".join(sums for _, sums in parts), np.float32).reshape(-1, RANK).copy() if parts else None
+
+
+def _orthonormal(z: np.ndarray) -> np.ndarray:
+    """z, overwritten by an orthonormal basis of what its columns span, blank where they depend on each other.
+
+    From its small Gram matrix, twice for precision, by parts: so the driver holds z once, and a part in double precision.
+    """
+    for _ in range(2):
+        parts = [z[a : a + _SUM_ROWS] for a in range(0, len(z), _SUM_ROWS)]
+        values, vectors = np.linalg.eigh(sum(p.T @ p for p in (part.astype(np.float64) for part in parts)))
+        turn = vectors * np.where(values > values.max() * 1e-12, 1 / np.sqrt(np.maximum(values, 1e-30)), 0.0)
+        for part in parts:
+            part[:] = part.astype(np.float64) @ turn
+    return z
 
 
 def fit(docs: DataFrame, *, text_col: str = "text", fit_docs: int | None = None, seed: int = 42) -> Model:
@@ -189,16 +245,18 @@ def fit(docs: DataFrame, *, text_col: str = "text", fit_docs: int | None = None,
     texts = docs.select(F.col(f"`{text_col}`").cast("string").alias("text"))
     idf = inverse_frequencies(texts)
     sample = texts if fit_docs is None else texts.sample(min(1.0, fit_docs / max(docs.count(), 1)), seed)
-    omega = np.random.default_rng(seed).standard_normal((FEATURES, RANK)).astype(np.float32)
     shared_idf = sc.broadcast(idf)
-    z = _summed(sample.mapInArrow(_sketch(shared_idf, sc.broadcast(omega)), "part long, sums binary"))
-    if not z:
-        return Model(idf, omega)
-    q, _ = np.linalg.qr(np.concatenate([z[k].reshape(-1, RANK) for k in sorted(z)]).astype(np.float64))
-    c = _summed(sample.mapInArrow(_gram(shared_idf, sc.broadcast(q.astype(np.float32))), "part long, sums binary"))
-    values, vectors = np.linalg.eigh(c[0].reshape(RANK, RANK).astype(np.float64))
+    z = _summed(sample.mapInArrow(_sketch(shared_idf, seed), "part long, sums binary"))
+    if z is None:
+        return Model(idf, _random(seed))
+    q = _orthonormal(z)
+    basis = sc.broadcast(q)
+    c = _summed(sample.mapInArrow(_gram(shared_idf, basis), "part long, sums binary"))
+    basis.destroy()
+    shared_idf.destroy()
+    values, vectors = np.linalg.eigh(c.astype(np.float64))
     scale = np.where(values > values.max() * 1e-7, 1 / np.sqrt(np.maximum(values, 1e-30)), 0.0)
-    return Model(idf, (q @ (vectors * scale)).astype(np.float32))
+    return Model(idf, q @ (vectors * scale).astype(np.float32))
 
 
 @dataclass
@@ -241,7 +299,13 @@ def confirmed(piece: Piece, words: np.ndarray) -> bool:
     n, region = len(piece.words), words.tolist()
     if n < SHORT:
         return any(region[k : k + n] == piece.words.tolist() for k in range(len(region) - n + 1))
-    there = piece.masks.keys() & set(region)
+    return _held(piece, region, set(region))
+
+
+def _held(piece: Piece, region: list[int], distinct: set[int]) -> bool:
+    """The same for pieces that aren't short, of a passage's words and the set of these."""
+    n = len(piece.words)
+    there = piece.masks.keys() & distinct
     if len(there) < len(piece.masks) - (1 - LIKELY) * n:  # more words are missing than may be
         return False
     found = common_subsequence(piece.masks, n, region)
@@ -250,9 +314,15 @@ def confirmed(piece: Piece, words: np.ndarray) -> bool:
 
 def _marks(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """512 bits for each block: one for each of its words, by hash."""
-    bit = (hashes & np.uint64(511)).astype(np.uint16)
-    one = np.uint64(1) << (bit & 63).astype(np.uint64)
-    return np.stack([np.bitwise_or.reduceat(np.where(bit >> 6 == k, one, np.uint64(0)), starts) for k in range(LANES)], axis=1)
+    out = np.empty((len(starts), LANES), np.uint64)
+    ends = np.append(starts[1:], len(hashes))
+    bit = (hashes & np.uint64(511)).astype(np.int64)
+    for a in range(0, len(starts), RUNS):
+        mine, to = starts[a : a + RUNS], ends[a : a + RUNS]
+        set_ = np.zeros((len(mine), 64 * LANES), bool)
+        set_[np.repeat(np.arange(len(mine)), to - mine), bit[mine[0] : to[-1]]] = True
+        out[a : a + RUNS] = np.packbits(set_, axis=1, bitorder="little").view("<u8")
+    return out
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -320,7 +390,8 @@ class Searcher:
         n = int(last + gap * text[last] - low + 1)
         mine = hashes[ends[first] : ends[upto]]
         padded = np.zeros((n + WIDEST + 1, RANK), np.float32)
-        padded[place] = np.add.reduceat(self.model.weighted[_features(mine)], starts[first:upto] - ends[first])
+        sizes = ends[first + 1 : upto + 1] - starts[first:upto]
+        padded[place] = _sums(self.model.weighted, _features(mine), np.ones(len(mine), np.float32), starts[first:upto] - ends[first], sizes)
         block_at = np.full(n, -1)
         block_at[place[: b - a]] = np.arange(a, b)
         marks = np.zeros((n + WIDEST + 1, LANES), np.uint64)
@@ -344,14 +415,16 @@ class Searcher:
             for begin in range(0, len(at), COSINES >> 4):
                 i, j = at[begin : begin + (COSINES >> 4)], p[begin : begin + (COSINES >> 4)]
                 fits = np.bitwise_count(wanted[j] & ~words[i]).sum(axis=1, dtype=np.int64) <= missing[j]
+                before = -1
                 for x, y in zip(i[fits].tolist(), j[fits].tolist(), strict=True):
-                    block, piece = block_at[x], pieces[y]
-                    t = text[block]
-                    if piece.item_id not in out[t]:
+                    if x != before:  # a passage's candidates follow each other
+                        before, block = x, block_at[x]
+                        t = text[block]
                         start = max(starts[block] - BLOCK // 2, offsets[t])
-                        region = hashes[start : min(starts[block] + blocks * BLOCK + BLOCK // 2, offsets[t + 1])]
-                        if confirmed(piece, region):
-                            out[t].add(piece.item_id)
+                        region = hashes[start : min(starts[block] + blocks * BLOCK + BLOCK // 2, offsets[t + 1])].tolist()
+                        distinct = set(region)
+                    if pieces[y].item_id not in out[t] and _held(pieces[y], region, distinct):
+                        out[t].add(pieces[y].item_id)
 
 
 def _text_slices(texts: pa.Array, limit: int = 4 << 20) -> Iterator[pa.Array]:

@@ -1,5 +1,6 @@
 """Benchmark items that leaked so often that their words are common."""
 
+import pickle
 import random
 
 import numpy as np
@@ -115,3 +116,41 @@ def test_the_model_is_of_all_documents(spark, monkeypatch):
 
     monkeypatch.setattr(type(docs), "sample", sampled)
     assert decontaminate.fit(docs).basis.any()
+
+
+def test_sums_of_runs_and_by_feature():
+    """As by plain products: runs of different sizes, features with many and with few words."""
+    rng = np.random.default_rng(3)
+    sizes = rng.integers(1, decontaminate.BLOCK + 1, 3_000)
+    starts = np.cumsum(sizes) - sizes
+    n = int(sizes.sum())
+    features = np.minimum(rng.zipf(1.3, n), decontaminate.FEATURES) - 1
+    passage, weight = np.repeat(np.arange(len(sizes)), sizes), rng.random(n, np.float32)
+    vectors = rng.standard_normal((decontaminate.FEATURES, decontaminate.RANK)).astype(np.float32)
+    y, z = np.zeros((len(sizes), decontaminate.RANK)), np.zeros((decontaminate.FEATURES, decontaminate.RANK))
+    np.add.at(y, passage, vectors[features] * weight[:, None])
+    got = decontaminate._sums(vectors, features, weight, starts, sizes)
+    assert np.allclose(got, y, atol=1e-4)
+    np.add.at(z, features, got[passage].astype(float) * weight[:, None])
+    sums = np.zeros_like(z, np.float32)
+    decontaminate._add_by_feature(sums, got, features, passage, weight)
+    assert np.allclose(sums, z, atol=1e-2, rtol=1e-4)
+
+
+def test_orthonormal_in_place():
+    """Spans what it spanned, in the memory that was there; columns that others give are blank."""
+    rng = np.random.default_rng(5)
+    z = (rng.standard_normal((4_000, 20)) * np.logspace(3, 0, 20)).astype(np.float32)
+    z[:, 7] = 0
+    q = decontaminate._orthonormal(before := z.copy())
+    assert q is before
+    gram = q.T.astype(float) @ q
+    assert np.allclose(np.sort(np.linalg.eigvalsh(gram))[1:], 1, atol=1e-4) and abs(np.linalg.eigvalsh(gram)[0]) < 1e-6
+    assert np.allclose(q.astype(float) @ (q.T.astype(float) @ z), z, atol=1e-2)
+
+
+def test_the_driver_sends_the_model_once(spark):
+    """The weighted basis is made in the tasks: the model is pickled with its basis and weights alone."""
+    model = decontaminate.Model(np.ones(decontaminate.FEATURES), np.ones((decontaminate.FEATURES, decontaminate.RANK), np.float32))
+    assert len(pickle.dumps(model)) < 1.1 * (model.idf.nbytes + model.basis.nbytes)
+    assert (pickle.loads(pickle.dumps(model)).weighted == 1).all()
