@@ -31,3 +31,10 @@ def test_texts_with_a_word_by_sums(spark, tmp_path):
     by_sums = tokens_once(docs, "doc_id").groupBy("word").agg(F.count_if(F.col("again") == 0).alias("n"), F.sum("again").alias("v"))
     by_distinct = tokens(docs, "doc_id").groupBy("word").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("v"))
     assert sorted(map(tuple, by_sums.collect())) == sorted(map(tuple, by_distinct.collect()))
+
+
+def test_zipf_splits_texts_once(spark, tmp_path):
+    documents(spark, tmp_path)
+    found = texts.ngram_zipf(spark, str(tmp_path))
+    assert "Generate" not in plan(found)
+    assert {r["word"] for r in found.collect()} == {"the", "dog"}
