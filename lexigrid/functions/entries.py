@@ -52,10 +52,20 @@ def decomposed(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFKD", t))
 
 
+def decomposed_runs(text: Column) -> Column:
+    """The same of any text: only its runs of characters beyond ASCII go to Python, a line each.
+
+    ASCII characters stay as they are, and marks aren't put in order across them; no decomposition has a line feed.
+    """
+    runs = F.array_join(F.regexp_extract_all(text, F.lit(r"([^\x00-\x7F]+)"), F.lit(1)), "\n")
+    between, turned = F.split(text, r"[^\x00-\x7F]+"), F.split(decomposed(runs), "\n")
+    return F.array_join(F.zip_with(between, turned, lambda b, t: F.concat(b, F.coalesce(t, F.lit("")))), "")
+
+
 def clean_prose(text: Column) -> Column:
     """Without citations, tags, links and special characters, decomposed, white space collapsed."""
     bare = F.regexp_replace(F.regexp_replace(text, CITATIONS, ""), KEPT_CHARACTERS, " ")
-    return F.trim(F.regexp_replace(decomposed(bare), r"[ \t\n\r\f]+", " "))
+    return F.trim(F.regexp_replace(decomposed_runs(bare), r"[ \t\n\r\f]+", " "))
 
 
 def pos_prefix(text: Column) -> Column:
