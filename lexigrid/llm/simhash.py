@@ -296,7 +296,7 @@ def shingle_order(texts: DataFrame, shingle: int, seed: int) -> np.ndarray:
     """
     sample = texts.sample(min(1.0, ORDER_DOCS / max(texts.count(), 1)), seed)
     out = np.zeros((ORDER_PARTS, (1 << ORDER_BITS) // ORDER_PARTS), np.int32)
-    for r in sample.mapInArrow(_count_shingles(shingle), "part long, sums binary").groupBy("part").applyInArrow(_add_counts, "part long, sums binary").toLocalIterator():
+    for r in sample.mapInArrow(_count_shingles(shingle), "part long, sums binary").groupBy("part").applyInArrow(_add_counts, "part long, sums binary").collect():  # 4 MB
         out[r["part"]] = np.frombuffer(r["sums"], np.int32)
     return out.ravel()
 
