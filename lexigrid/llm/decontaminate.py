@@ -57,9 +57,11 @@ SHORT = 8
 ITEMS, COSINES = 20_000, 1 << 20
 _SUM_ROWS = 1024
 WIDEST = WIDTHS[-1][1]
-LANES = 8
-#: Runs of words whose vectors are gathered at once.
-RUNS = 1024
+#: Marks of a block, in numbers of 64 bits: for all candidates, and, by other bits of the hashes, for those that are left.
+LANES, MORE_LANES = 8, 16
+#: Runs of words whose vectors are gathered at once, few enough for the processor's cache, and the places that runs are given.
+RUNS = 256
+PLACES = (BLOCK // 4, BLOCK)
 
 
 @dataclass
@@ -133,7 +135,7 @@ def _tfidf(hashes: np.ndarray, starts: np.ndarray, idf: np.ndarray) -> tuple[np.
     """Feature, passage and weight of each word; a passage's vector of weights has length 1 (words counted apart)."""
     features = _features(hashes)
     passage = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(hashes))))
-    weight = idf[features].astype(np.float32)
+    weight = idf.astype(np.float32)[features]
     norm = np.sqrt(np.maximum(np.add.reduceat(weight * weight, starts), 1e-12))
     return features, passage, weight / norm[passage]
 
@@ -141,15 +143,23 @@ def _tfidf(hashes: np.ndarray, starts: np.ndarray, idf: np.ndarray) -> tuple[np.
 def _sums(vectors: np.ndarray, rows: np.ndarray, weight: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Weighted sums of the rows of vectors that a run names; runs have BLOCK places at most.
 
-    A small product for each run, as reduceat takes several times as long for sums over rows.
+    A small product for each run, as reduceat takes several times as long for sums over rows. Short runs get fewer places.
     """
-    out = np.empty((len(starts), vectors.shape[1]), np.float32)
-    places = np.arange(BLOCK)
-    for a in range(0, len(starts), RUNS):
-        at = starts[a : a + RUNS, None] + places
-        there = places < sizes[a : a + RUNS, None]
-        at = np.where(there, at, 0)
-        out[a : a + RUNS] = np.matmul(np.where(there, weight[at], np.float32(0))[:, None, :], vectors[rows[at]])[:, 0]
+    out = np.zeros((len(starts), vectors.shape[1]), np.float32)
+    gathered = np.empty((RUNS * BLOCK, vectors.shape[1]), np.float32)
+    least = 0
+    for width in PLACES:
+        places = np.arange(width)
+        mine = np.flatnonzero((sizes > least) & (sizes <= width))
+        least = width
+        for a in range(0, len(mine), RUNS):
+            runs = mine[a : a + RUNS]
+            at = starts[runs, None] + places
+            there = places < sizes[runs, None]
+            named = np.where(there, rows.take(at, mode="clip"), 0)
+            scaled = np.where(there, weight.take(at, mode="clip"), np.float32(0))
+            got = vectors.take(named.ravel(), axis=0, out=gathered[: named.size], mode="clip").reshape(len(runs), width, -1)
+            out[runs] = np.matmul(scaled[:, None, :], got)[:, 0]
     return out
 
 
@@ -163,7 +173,10 @@ def _add_by_feature(z: np.ndarray, y: np.ndarray, features: np.ndarray, passage:
     first = np.cumsum(runs) - runs
     skipped = (np.arange(runs.sum()) - np.repeat(first, runs)) * BLOCK
     sums = _sums(y, passage[order], weight[order], np.repeat(heads, runs) + skipped, np.minimum(np.repeat(n, runs) - skipped, BLOCK))
-    z[found[heads]] += np.add.reduceat(sums, first)
+    one = runs == 1
+    z[found[heads[one]]] += sums[first[one]]
+    if not one.all():
+        z[found[heads[~one]]] += np.add.reduceat(sums[~np.repeat(one, runs)], np.cumsum(runs[~one]) - runs[~one])
 
 
 def _random(seed: int) -> np.ndarray:
@@ -312,19 +325,29 @@ def _held(piece: Piece, region: list[int], distinct: set[int]) -> bool:
     return found >= SURE * n or (found >= ORDERED * n and piece.answer <= there)
 
 
-def _marks(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """512 bits for each block: one for each of its words, by hash."""
-    out = np.empty((len(starts), LANES), np.uint64)
+def _marks(hashes: np.ndarray, starts: np.ndarray, lanes: int = LANES, skipped: int = 0) -> np.ndarray:
+    """64 * lanes bits for each block: one for each of its words, by its hash without the lowest bits."""
+    out = np.empty((len(starts), lanes), np.uint64)
     ends = np.append(starts[1:], len(hashes))
-    bit = (hashes & np.uint64(511)).astype(np.int64)
+    bit = (hashes >> np.uint64(skipped) & np.uint64(64 * lanes - 1)).astype(np.int64)
     for a in range(0, len(starts), RUNS):
         mine, to = starts[a : a + RUNS], ends[a : a + RUNS]
-        set_ = np.zeros((len(mine), 64 * LANES), bool)
+        set_ = np.zeros((len(mine), 64 * lanes), bool)
         set_[np.repeat(np.arange(len(mine)), to - mine), bit[mine[0] : to[-1]]] = True
         out[a : a + RUNS] = np.packbits(set_, axis=1, bitorder="little").view("<u8")
     return out
 
 
+def _more_marks(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    return _marks(hashes, starts, MORE_LANES, (64 * LANES).bit_length() - 1)
+
+
+def _bits(marks: np.ndarray) -> np.ndarray:
+    """Number of bits set in each row, 255 at most: the bytes of a number's product with ones are sums of its bytes."""
+    by_lane = np.bitwise_count(marks)
+    return sum((by_lane.view(np.uint64)[:, k] * np.uint64(0x0101010101010101)) >> np.uint64(56) for k in range(marks.shape[1] // 8))
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
@@ -350,9 +373,10 @@ class Searcher:
             mine = [p for p in long if p.blocks == blocks]
             vectors = np.stack([model.weighted[_features(p.words)].sum(axis=0) for p in mine])
             wanted = np.concatenate([_marks(p.words, np.zeros(1, np.int64)) for p in mine])
+            more = np.concatenate([_more_marks(p.words, np.zeros(1, np.int64)) for p in mine])
             # so many words may be missing at most; marks can hide that words are missing, not make them so
-            missing = np.array([int((1 - LIKELY) * len(p.words) + 1e-9) for p in mine])
-            self.by_width[blocks] = (mine, np.ascontiguousarray(_unit(vectors).T), wanted, missing)
+            missing = np.array([int((1 - LIKELY) * len(p.words) + 1e-9) for p in mine], np.uint64)
+            self.by_width[blocks] = (mine, np.ascontiguousarray(_unit(vectors).T), wanted, more, missing)
 
     def hits(self, texts: list[str | None]) -> list[set[int]]:
         """The ids of the items found in each text."""
@@ -394,27 +418,39 @@ class Searcher:
         padded[place] = _sums(self.model.weighted, _features(mine), np.ones(len(mine), np.float32), starts[first:upto] - ends[first], sizes)
         block_at = np.full(n, -1)
         block_at[place[: b - a]] = np.arange(a, b)
-        marks = np.zeros((n + WIDEST + 1, LANES), np.uint64)
-        marks[place] = _marks(mine, starts[first:upto] - ends[first])
-        if a and text[a - 1] == text[a]:  # a passage's region begins within the block before
-            before = _marks(hashes[starts[a - 1] : starts[a]], np.zeros(1, np.int64))[0]
-        else:
-            before = np.zeros(LANES, np.uint64)
-        shifted = np.concatenate([before[None, :], marks[:-1]])
+        # a row before the first block: a passage's region begins within the block before
+        low_block = first - 1 if a and text[a - 1] == text[a] else first
+        marks, more_marks = (np.zeros((n + WIDEST + 2, lanes), np.uint64) for lanes in (LANES, MORE_LANES))
+        marked = np.append(0, place + 1)[low_block - first + 1 :]
+        of = hashes[ends[low_block] : ends[upto]], starts[low_block:upto] - ends[low_block]
+        marks[marked], more_marks[marked] = _marks(*of), _more_marks(*of)
         window, had = padded[:n].copy(), 1
-        for blocks, (pieces, vectors, wanted, missing) in self.by_width.items():
+        room = max(COSINES >> 7, 1)
+        asked, absent = np.empty((room, LANES), np.uint64), np.empty((room, LANES), np.uint64)
+        for blocks, (pieces, vectors, wanted, more, missing) in self.by_width.items():
             for k in range(had, blocks):
                 window += padded[k : k + n]
             had = blocks
             least = self.cosine * np.sqrt(np.einsum("ij,ij->i", window, window))
             least[block_at < 0] = np.inf
-            at, p = np.nonzero(window @ vectors >= np.maximum(least, 1e-9)[:, None])
-            words = shifted[:n].copy()
-            for k in range(blocks + 1):
+            near = window @ vectors >= np.maximum(least, 1e-9)[:, None]
+            at = np.repeat(np.arange(n), np.count_nonzero(near, axis=1))
+            p = np.flatnonzero(near) - at * len(pieces)
+            words = marks[:n].copy()
+            for k in range(1, blocks + 2):
                 words |= marks[k : k + n]
-            for begin in range(0, len(at), COSINES >> 4):
-                i, j = at[begin : begin + (COSINES >> 4)], p[begin : begin + (COSINES >> 4)]
-                fits = np.bitwise_count(wanted[j] & ~words[i]).sum(axis=1, dtype=np.int64) <= missing[j]
+            np.invert(words, out=words)
+            for begin in range(0, len(at), room):
+                i, j = at[begin : begin + room], p[begin : begin + room]
+                gone = np.bitwise_and(wanted.take(j, axis=0, out=asked[: len(j)], mode="clip"), words.take(i, axis=0, out=absent[: len(i)], mode="clip"), out=asked[: len(j)])
+                fits = np.flatnonzero(_bits(gone) <= missing.take(j))
+                if not len(fits):
+                    continue
+                i, j = i[fits], j[fits]
+                had_words = more_marks[i]
+                for k in range(1, blocks + 2):
+                    had_words |= more_marks[i + k]
+                fits = _bits(more[j] & ~had_words) <= missing[j]
                 before = -1
                 for x, y in zip(i[fits].tolist(), j[fits].tolist(), strict=True):
                     if x != before:  # a passage's candidates follow each other

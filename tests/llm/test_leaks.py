@@ -2,10 +2,11 @@
 
 import pickle
 import random
+import re
 
 import numpy as np
 
-from lexigrid.llm import decontaminate
+from lexigrid.llm import decontaminate, hashing
 
 
 def found(spark, rows, items, **more):
@@ -154,3 +155,47 @@ def test_the_driver_sends_the_model_once(spark):
     model = decontaminate.Model(np.ones(decontaminate.FEATURES), np.ones((decontaminate.FEATURES, decontaminate.RANK), np.float32))
     assert len(pickle.dumps(model)) < 1.1 * (model.idf.nbytes + model.basis.nbytes)
     assert (pickle.loads(pickle.dumps(model)).weighted == 1).all()
+
+
+def test_few_candidates_are_left_to_plain_python(monkeypatch):
+    """Marks leave few pairs of a passage and an item beside those with enough words in common; 20 times as many with 512 marks alone."""
+    rows, items, _ = corpus()
+    rng = np.random.default_rng(2)
+    model = decontaminate.Model(np.ones(decontaminate.FEATURES), rng.standard_normal((decontaminate.FEATURES, decontaminate.RANK)).astype(np.float32))
+    pieces = decontaminate.pieces_of(items, model)
+    held, enough = decontaminate._held, []
+
+    def counted(piece, region, distinct):
+        enough.append(len(piece.masks.keys() & distinct) >= len(piece.masks) - (1 - decontaminate.LIKELY) * len(piece.words))
+        return held(piece, region, distinct)
+
+    monkeypatch.setattr(decontaminate, "_held", counted)
+    decontaminate.Searcher(model, pieces, -2.0).hits([text for _, text in rows])
+    assert sum(enough) > 100
+    assert len(enough) < 8 * sum(enough)
+
+
+def test_bits_of_rows():
+    marks = np.random.default_rng(1).integers(0, 1 << 63, (500, 16), np.uint64) & np.random.default_rng(2).integers(0, 1 << 63, (500, 16), np.uint64)
+    marks[:, 3:11] = 0
+    marks[0], marks[1] = 0, [0xFFFFFFFFFFFFFFFF] * 3 + [0] * 13
+    assert decontaminate._bits(marks).tolist() == [sum(x.bit_count() for x in row) for row in marks.tolist()]
+
+
+def test_hashes_as_by_plain_numbers(monkeypatch):
+    """At the ends of texts and pieces, in words longer than a piece, with letters of several bytes."""
+    whole = 1 << 64
+
+    def plain(word):
+        total = sum((b + 1) * pow(hashing._BASE, k, whole) for k, b in enumerate(word)) + len(word)
+        return int(hashing.mix(np.array([total % whole], np.uint64))[0])
+
+    rng = random.Random(9)
+    texts = ["", "a", " a", "a ", "a  bc\n", "ß é 日本語 x", "x" * 9_000 + " y " + "z" * 700, " , "] + [" ".join("abcdeéf"[: rng.randrange(1, 8)] for _ in range(rng.randrange(300))) for _ in range(60)]
+    blobs = [t.encode() for t in texts]
+    for piece in (hashing.PIECE, 64):
+        monkeypatch.setattr(hashing, "PIECE", piece)
+        for is_word, cut in ((hashing.NOT_SPACE, rb"[^\x20\x09-\x0D]+"), (hashing.ALNUM, rb"[0-9A-Za-z\x80-\xFF]+")):
+            hashes, offsets = hashing.hash_words(blobs, is_word)
+            expected = [[plain(w) for w in re.findall(cut, b)] for b in blobs]
+            assert [hashes[a:b].tolist() for a, b in zip(offsets, offsets[1:])] == expected
