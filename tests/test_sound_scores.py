@@ -79,3 +79,11 @@ def test_bands_and_letters_lose_no_pair(monkeypatch):
             found = [(frozenset((x, y)), d) for l, r, e in edits.Strips(said, numbers, second).measured(share, 0.3) for x, y, d in zip(l.tolist(), r.tolist(), e.tolist(), strict=True)]  # noqa: E741
             kept = {p: d for p, d in want.items() if not second.any() or len({second[x] for x in p}) == 2}
             assert len(found) == len(kept) and dict(found) == kept
+
+
+def test_texts_that_are_all_alike_or_empty():
+    for said in (["NG"] * 5, [""] * 5, ["", "", "A"], ["TA", "A"]):
+        n = len(said)
+        found = [(x, y, d) for l, r, e in edits.Strips(said, np.ones(n), np.zeros(n, bool)).measured(lambda m, _: 0.5 + 0 * m, 0.5) for x, y, d in zip(l.tolist(), r.tolist(), e.tolist(), strict=True)]  # noqa: E741
+        want = {(x, y) for x in range(n) for y in range(x) if plain(said[x], said[y]) <= 0.5 * max(len(said[x]), len(said[y]))}
+        assert {(max(x, y), min(x, y)) for x, y, _ in found} == want and all(d == plain(said[x], said[y]) for x, y, d in found)
